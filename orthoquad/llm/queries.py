@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, langid, secrets
+from . import bpe, langid, quality, secrets
 from .common import held_out, table
 
 
@@ -24,10 +23,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 # RE2 folds more letters than A-Z under (?i), so the classes are written out.
