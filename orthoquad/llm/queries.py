@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, secrets
+from . import bpe, langid, quality, secrets, warc
 from .common import held_out, table
 
 
@@ -19,6 +19,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -30,6 +34,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
 }
@@ -71,6 +76,18 @@ def _secret_sql() -> str:
     FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 
+_WARC_SQL = """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+    q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+    SELECT page_id, payload_bytes,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+      CASE WHEN first_id IS NULL OR first_id IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+    FROM q"""
+
+
 ORACLE_SQL = {
+    "op5_warc": _WARC_SQL,
     "op3_secret_scan": _secret_sql(),
 }
