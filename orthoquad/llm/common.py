@@ -48,10 +48,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def bounded_sample(rows: DataFrame, key: str, n: int) -> list:
+    """About ``n`` rows (at most ``n``) by a hash of ``key``, on the driver.
+
+    The share of rows to fetch follows from their count, so that what tasks send
+    is about ``n`` rows however many tasks there are.
+    """
+    total = rows.count()
+    if total > n:
+        bits = 1 << 30
+        share = min(bits, int(bits * (n + 4 * n**0.5) / total) + 1)
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(bits)) < share)
+    found = rows.withColumn("_hash", F.xxhash64(key)).collect()
+    return sorted(found, key=lambda r: (r["_hash"], *map(repr, r)))[:n]
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 4_000_000, max_rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts
+from .common import bounded_sample, held_out, map_texts
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -163,13 +163,8 @@ def train(texts: list[bytes], labels: list[str], steps: int = 400, batch: int =
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
     """At most ``texts`` labelled texts outside the held-out fold, of up to ``max_bytes`` bytes, by a hash of the id."""
-    rows = (
-        docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col).between(1, max_bytes)))
-        .select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("k"), F.encode(text_col, "utf-8").alias("t"), F.col(lang_col).alias("l"))
-        .orderBy("h", "k", "l", "t")
-        .limit(texts)
-        .collect()
-    )
+    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, max_bytes))
+    rows = bounded_sample(labelled.select(F.col(id_col).alias("k"), F.encode(text_col, "utf-8").alias("t"), F.col(lang_col).alias("l")), "k", texts)
     return [bytes(r.t) for r in rows], [r.l for r in rows]
 
 
