@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, quality, secrets, warc
+from . import bpe, langid, ngram_join, packing, quality, secrets, warc
 from .common import held_out, table
 
 
@@ -35,6 +35,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
@@ -42,6 +46,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 # RE2 folds more letters than A-Z under (?i), so the classes are written out.
