@@ -37,18 +37,31 @@ BLOCK = 1 << 18
 FREE, AT_SENTENCE, AT_TOKEN = 0, 1, 2
 #: Characters that str.split() takes for white space but the tokenizer doesn't.
 ODD = "\x1c\x1d\x1e\x1f"
-MARKS = frozenset(".,!?;:")
+MARKS = ".,!?;:"
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
 
 class WordTokens:
     """Token ids of texts through a bounded memory of white-space separated words.
 
     The tokenizer drops white space and no token spans it, so a text's ids are
-    its words' ids in turn.  Texts with separators on which Python and the
+    its words' ids in turn.  Words that differ in case, or in one mark at their
+    end, are encoded once.  Texts with separators on which Python and the
     tokenizer disagree are encoded as one word.
     """
 
-    def __init__(self, raw: str, capacity: int = 300_000):
+    def __init__(self, raw: str, capacity: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,56 +71,93 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # of tokens that end a pre-token
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: e.ids[0] for m, e in zip(MARKS, self.tokenizer.encode_batch_fast(list(MARKS), add_special_tokens=False), strict=True) if len(e.ids) == 1}
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.number = Numbers()
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.ends = np.zeros(0, bool)
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        marked = [w for w in words if w[-1] in MARKS and w[:-1].isalpha()]
-        rest = [w for w in words if not (w.isalpha() or (w[-1] in MARKS and w[:-1].isalpha()))]
-        for group, parts in ((plain, 1), (marked, 2), (rest, 0)):
-            if group:
-                self._add(group, *(parts and self._together(group, parts) or self._apart(group)))
+    def learn(self) -> None:
+        """Encode the words numbered since the last call."""
+        number, fresh, known = self.number, self.number.fresh, len(self.ends)
+        number.fresh = []
+        plain, apart, bare, marked = [], [], [], []
+        for i, w in enumerate(fresh, known):
+            mark = self.marks.get(w[-1])
+            base = w if mark is None else w[:-1]
+            if not base.isalpha() or "\u03a3" in base:  # lower() treats a final sigma in its own way
+                apart.append((i, w))
+                continue
+            low = base.lower()
+            if low == w:
+                plain.append((i, w))
+                continue
+            j = number.get(low)
+            if j is None:
+                number[low] = j = len(number)
+                plain.append((j, low))
+            (bare if mark is None else marked).append((i, j, mark))
+        total = len(number)
+        grow = lambda x: np.concatenate([x, np.zeros(total - len(x), x.dtype)])
+        self.start, self.size, self.ends = grow(self.start), grow(self.size), grow(self.ends)
+        self.ends[known : known + len(fresh)] = [w[-1] in ".!?" or w.rstrip("\"')").endswith((".", "!", "?")) for w in fresh]
+        if plain:
+            words = [w for _, w in plain]
+            self._put([i for i, _ in plain], *(self._together(words) or self._apart(words)))
+        if apart:
+            self._put([i for i, _ in apart], *self._apart([w for _, w in apart]))
+        if bare:
+            i, j, _ = map(list, zip(*bare, strict=True))
+            self.start[i], self.size[i] = self.start[j], self.size[j]
+        if marked:
+            i, j, mark = map(list, zip(*marked, strict=True))
+            sizes = self.size[j] + 1
+            ids = self._gather(self.start[j], sizes)  # one too many for each, overwritten
+            ids[np.cumsum(sizes) - 1] = mark
+            self._put(i, ids, sizes)
+
+    def _put(self, which: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) >= len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids) + 1), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[which] = self.used + np.cumsum(sizes) - sizes
+        self.size[which] = sizes
+        self.used += len(ids)
+
+    def _gather(self, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        last = np.cumsum(sizes)
+        return self.flat[np.repeat(start - (last - sizes), sizes) + np.arange(last[-1] if len(last) else 0)]
 
     def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.fromiter((x for i in ids for x in i), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def _together(self, words: list[str], parts: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of words of ``parts`` pre-tokens each, encoded as one text; None if it has another number of pre-tokens."""
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of one pre-token each, encoded as one text; None if it has another number of pre-tokens."""
         flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.final[flat]) + 1
-        if len(last) != parts * len(words) or (len(flat) and last[-1] != len(flat)):
+        if len(last) != len(words) or last[-1] != len(flat):
             return None
-        return flat, np.diff(last[parts - 1 :: parts], prepend=0)
-
-    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        at = len(self.number)
-        self.number.update(zip(words, range(at, at + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, flat])
-        self.ends = np.concatenate([self.ends, np.fromiter((w.rstrip("\"')").endswith((".", "!", "?")) for w in words), bool, len(words))])
+        return flat, np.diff(last, prepend=0)
 
     def __call__(self, texts: list, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text: ids with ``end`` last, and the positions where a sentence ends."""
         words = [[] if not t else [t] if any(c in t for c in ODD) else t.split() for t in texts]
         if len(self.number) > self.capacity:
             self.clear()
-        if new := set().union(*words).difference(self.number):
-            self.learn(list(new))
+        numbers = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in words]
+        if self.number.fresh:
+            self.learn()
         out = []
-        for w in words:
-            n = np.fromiter(map(self.number.__getitem__, w), np.int64, len(w))
-            sizes = self.starts[n + 1] - self.starts[n]
+        for n in numbers:
+            sizes = self.size[n]
             last = np.cumsum(sizes)
-            total = int(last[-1]) if len(w) else 0
+            total = int(last[-1]) if len(n) else 0
             ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(self.starts[n] - (last - sizes), sizes) + np.arange(total)]
+            ids[:total] = self._gather(self.start[n], sizes)
             ids[total] = end
             out.append((ids, last[self.ends[n]]))
         return out
