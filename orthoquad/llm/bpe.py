@@ -184,7 +184,9 @@ class Codec:
         import regex
 
         self.merges = Merges(ranks)
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split = compiled.findall
+        self.scan = lambda text: (m[0] for m in compiled.finditer(text))
         self.capacity = capacity
         self.ids: dict[str, tuple[int, ...]] = {}
         self.shown: dict[str, str] = {}

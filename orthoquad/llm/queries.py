@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, quality, secrets, warc
+from . import bpe, langid, ngram_join, packing, quality, secrets, token_counts, topk, toxicity, warc
 from .common import held_out, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs))
@@ -35,17 +42,34 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), k=20, scale=64, query_modulus=20)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after a new heading, a replacement in the middle and a cut of the last ten characters."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+    middle = F.floor(size / 2)
+    step = lambda a, b, t: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit(t).alias("replacement"))
+    edits = F.array(step(F.lit(0), F.lit(0), "Note: "), step(middle + 6, middle + 11, " (edited)"), step(size - 1, size + 9, ""))
+    return token_counts.count(docs.select("doc_id", "text", edits.alias("edits")), "edits", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_topk_search": op8_topk_search,
+    "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
 }
 
@@ -97,7 +121,17 @@ _WARC_SQL = """
     FROM q"""
 
 
+_TOPK_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 20"""
+
+
 ORACLE_SQL = {
     "op5_warc": _WARC_SQL,
+    "op8_topk_search": _TOPK_SQL,
     "op3_secret_scan": _secret_sql(),
 }
