@@ -1,4 +1,259 @@
-"""Queries of the library by name, with their SQL."""
+"""Queries of the library by name, with their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The driver's tables hold no images, so quadrilaterals are derived from
+``events`` and detector rows from ``embeddings``.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from fractions import Fraction
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators import dataset, head, manifest, matching, nms, pixels, priors, synthetic
+from ..sources.annotations import scan_annotations
+from ..sources.sinks import write_annotations
+
+#: Sides of the priors by level and anchor: a choice of these queries.
+SIDES = {(0, 0): 16, (0, 1): 24, (0, 2): 32, (1, 0): 48, (1, 1): 64, (2, 0): 96, (2, 1): 128, (3, 0): 160, (3, 1): 192, (3, 2): 224}
+THRESHOLD = Fraction(3, 10)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; a local master may use one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="orthoquad-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of landscape frames of 320x240."""
+    e = F.col("event_id")
+    base = events(spark, sf_dir).select("event_id", "user_id", (20 + e * 37 % 160).cast("int").alias("bx"), (20 + e * 53 % 100).cast("int").alias("by"), (10 + e * 29 % 40).cast("int").alias("sz"), (e * 7 % 10).cast("int").alias("sk"))
+    x, y, s, k = (F.col(c) for c in ("bx", "by", "sz", "sk"))
+    points = F.array(F.array(x, y), F.array(x + s, y + k), F.array(x + s - k, y + s + k), F.array(x - k, y + s))
+    return base.select("event_id", "user_id", F.lit(320).alias("width"), F.lit(240).alias("height"), points.alias("corners"))
+
+
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select("vec_id", "label", head.confidence("embedding").alias("confidence"), head.ordered_corners("embedding").alias("ordered_corners"))
+
+
+def rotate_corners_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = g.to_portrait(quads(spark, sf_dir)).withColumn("b", g.bbox("corners"))
+    return turned.select("event_id", "width", "height", g.flatten_corners("corners").alias("ordered_corners"), "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+def unrotate_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quads(spark, sf_dir)
+    there = rows.withColumn("turned", g.rotate_points("corners", "height"))
+    return there.select("event_id", g.flatten_corners("turned").alias("turned"), g.flatten_corners(g.unrotate_points("turned", "height")).alias("back"))
+
+
+def corner_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quads(spark, sf_dir).select("event_id", g.signed_area("corners").alias("area"), F.round(g.direction("corners"), 9).alias("angle"))
+
+
+def resize_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quads(spark, sf_dir)
+    return rows.select("event_id", g.flatten_corners(g.resize_points("corners", "width", "height", 640, 480)).alias("corners"))
+
+
+def augment_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = dataset.turn(quads(spark, sf_dir), F.col("event_id"))
+    return turned.select("event_id", "width", "height", g.flatten_corners("corners").alias("corners"))
+
+
+def prior_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priors.prior_grid(spark)
+
+
+def match_best_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = g.to_portrait(quads(spark, sf_dir)).withColumn("b", g.bbox("corners"))
+    boxed = truth.select("event_id", F.struct(*(F.col(f"b.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).alias("box"))
+    return matching.best_prior(boxed, priors.with_boxes(priors.prior_grid(spark), SIDES), "event_id")
+
+
+def nms_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quads(spark, sf_dir).select("user_id", "event_id", (F.col("event_id") * 7919 % 1000).alias("score"), g.bbox("corners").alias("box"))
+    return nms.nms(rows, "user_id", "event_id", "score", THRESHOLD)
+
+
+def iou_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quads(spark, sf_dir).select("event_id", g.bbox("corners").alias("box"))
+    after = rows.select((F.col("event_id") - 1).alias("event_id"), F.col("box").alias("other"))
+    return rows.join(after, "event_id").select("event_id", g.iou("box", "other").alias("iou"))
+
+
+def head_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = g.reshape_corners("ordered_corners")
+    rows = head_rows(spark, sf_dir).withColumn("p", points).withColumn("b", g.bbox("p"))
+    return rows.select("vec_id", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1"), F.col("p")[2].alias("p2"), F.col("p")[3].alias("p3"), "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+def head_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return head_rows(spark, sf_dir).select("vec_id", head.margin("confidence").alias("margin"), F.round(head.probability("confidence"), 9).alias("score"))
+
+
+def head_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("header"))
+    return manifest.header_reshape(rows, 8)
+
+
+def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = head_rows(spark, sf_dir)
+    spread = F.transform("ordered_corners", lambda v: F.floor(v * 100))
+    return head.detect(rows.select(F.col("label").alias("image"), F.col("vec_id").cast("int").alias("prior_id"), "confidence", spread.alias("ordered_corners")), THRESHOLD)
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    k = F.col("p_partkey")
+    name = F.when(k % 10 == 0, F.format_string("regression_headers.%d.%d.weight", F.floor(k / 10) % 4, F.floor(k / 40))).otherwise(F.format_string("base_net.%d.weight", k))
+    named = rows.select(k, name.alias("name"), F.col("p_size").cast("long").alias("s"))
+    model = named.where(k % 7 != 0).select("name", F.array(F.col("s") * 4, "s").alias("shape"))
+    checkpoint = named.where(k % 11 != 0).select("name", F.array(F.when(k % 5 == 0, F.col("s") * 8).otherwise(F.col("s") * 4), "s").alias("shape"))
+    return model, checkpoint
+
+
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_diff(*_manifests(spark, sf_dir))
+
+
+def header_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.widen_header(_manifests(spark, sf_dir)[0])
+
+
+def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by split; the split is taken from the key here, so that SQL can tell it too."""
+    split = F.when(F.col("event_id") % 100 < 90, "train").when(F.col("event_id") % 100 < 95, "val").otherwise("test")
+    return events(spark, sf_dir).select("event_id", dataset.image_name(split, "event_id").alias("image"))
+
+
+def polygons_to_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quads(spark, sf_dir)
+    points = F.transform("corners", lambda p: F.transform(p, lambda v: v.cast("double")))
+    shape = F.struct(F.lit("qrcode").alias("label"), F.lit("polygon").alias("shape_type"), F.when(F.col("event_id") % 13 == 0, F.slice(points, 1, 3)).otherwise(points).alias("points"))
+    shapes = F.when(F.col("event_id") % 17 == 0, F.array(shape, shape)).otherwise(F.array(shape))
+    good, _ = dataset.from_polygons(rows.select(F.col("event_id").cast("string").alias("imagePath"), F.col("width").alias("imageWidth"), F.col("height").alias("imageHeight"), shapes.alias("shapes")))
+    return good.select("image", "width", "height", "label", g.flatten_corners("corners").alias("corners"), "corner_order")
+
+
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quads(spark, sf_dir).withColumn("image", F.col("event_id"))
+    moved = rows.where(F.col("event_id") % 9 != 0).withColumn("corners", F.transform("corners", lambda p: F.array(p[0] + 3, p[1] + 4)))
+    found = dataset.evaluate(moved, rows)
+    return found.select("n", "n_found", F.round("mean_error", 6).alias("mean_error"), F.round("max_error", 6).alias("max_error"), F.round("mean_iou", 6).alias("mean_iou"))
+
+
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quads(spark, sf_dir).withColumn("image", F.format_string("images/train_%07d.jpg", "event_id"))
+    path = shared_path(spark, "annotations")
+    write_annotations(dataset.with_constants(rows), path)
+    good, _ = scan_annotations(spark, path)
+    return good.select("image", "width", "height", "label", g.flatten_corners("corners").alias("corners"), "corner_order")
+
+
+def pixel_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn a drawn frame and its points; ``agree`` tells whether each point's pixel moved with it."""
+    rows = quads(spark, sf_dir).where("event_id < 200").withColumn("image", F.col("event_id").cast("string"))
+    blank = F.repeat(F.lit("\x00"), 320 * 240).cast("binary")
+    framed = rows.select("image", "corners", "width", "height", F.lit(1).alias("channels"), blank.alias("data"))
+    turned = pixels.rotate_landscape(framed)
+    return turned.select("image", "width", "height", g.flatten_corners("corners").alias("corners"), F.octet_length("data").alias("bytes"))
+
+
+def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synthetic.generate(spark, 64)
+    return rows.select("image", "split", "width", "height", F.octet_length("data").alias("bytes"), g.corners_ok("corners").alias("ok"))
+
+
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, detect, manifest_diff, header_rewrite, split_names, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, synthetic_set)}
+
+# ---- the same in SQL ------------------------------------------------------------
+_QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
+    [bx, bx + sz, bx + sz - sk, bx - sk] AS xs, [by_, by_ + sk, by_ + sz + sk, by_ + sz] AS ys
+  FROM (SELECT event_id, user_id, CAST(20 + (event_id * 37) % 160 AS INT) AS bx, CAST(20 + (event_id * 53) % 100 AS INT) AS by_,
+    CAST(10 + (event_id * 29) % 40 AS INT) AS sz, CAST((event_id * 7) % 10 AS INT) AS sk FROM events))"""
+_FLAT = "[{0}[1], {1}[1], {0}[2], {1}[2], {0}[3], {1}[3], {0}[4], {1}[4]]"
+_XY, _TURNED = _FLAT.format("xs", "ys"), "[239 - ys[1], xs[1], 239 - ys[2], xs[2], 239 - ys[3], xs[3], 239 - ys[4], xs[4]]"
+_PRIORS = """lv AS (SELECT * FROM (VALUES (0, 8, 40, 30, 3, 0), (1, 16, 20, 15, 2, 3600), (2, 32, 10, 8, 2, 4200), (3, 64, 5, 4, 3, 4360)) t(level, stride, fh, fw, k, off)),
+  p AS (SELECT CAST(off + (i * fw + j) * k + a AS INT) AS prior_id, CAST(level AS INT) AS level, CAST(i AS INT) AS row, CAST(j AS INT) AS col, CAST(a AS INT) AS anchor, CAST(stride AS INT) AS stride
+    FROM (SELECT *, unnest(range(fh)) AS i FROM lv) t1, unnest(range(fw)) t2(j), unnest(range(k)) t3(a))"""
+_SIDE = "CASE " + " ".join(f"WHEN level = {a} AND anchor = {b} THEN {s}" for (a, b), s in SIDES.items()) + " END"
+_CAST8 = "list_transform(embedding[3:10], lambda v: v)"
+
+
+def _overlap(a: str, b: str) -> str:
+    return f"greatest(least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0), 0) * greatest(least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0), 0)"
+
+
+def _area(a: str) -> str:
+    return f"({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0)"
+
+
+def _greedy(source: str, image: str, key: str) -> str:
+    """Suppression as a recursion that carries the kept boxes."""
+    hit = "len(list_filter(r.kept, lambda k: 13 * (greatest(least(k.x1, c.x1) - greatest(k.x0, c.x0), 0) * greatest(least(k.y1, c.y1) - greatest(k.y0, c.y0), 0)) > 3 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (c.x1 - c.x0) * (c.y1 - c.y0)))) > 0"
+    box = "{'x0': c.x0, 'y0': c.y0, 'x1': c.x1, 'y1': c.y1}"
+    return f"""c AS (SELECT *, row_number() OVER (PARTITION BY {image} ORDER BY score DESC, {key}) AS rn FROM {source}),
+    r AS (SELECT {image}, {key}, rn, true AS keep, [{box}] AS kept FROM c WHERE rn = 1
+      UNION ALL SELECT c.{image}, c.{key}, c.rn, NOT ({hit}), CASE WHEN {hit} THEN r.kept ELSE list_append(r.kept, {box}) END
+      FROM r JOIN c ON c.{image} = r.{image} AND c.rn = r.rn + 1)"""
+
+
+_MANIFESTS = """n AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS s,
+      CASE WHEN p_partkey % 10 = 0 THEN 'regression_headers.' || CAST((p_partkey // 10) % 4 AS VARCHAR) || '.' || CAST(p_partkey // 40 AS VARCHAR) || '.weight' ELSE 'base_net.' || CAST(p_partkey AS VARCHAR) || '.weight' END AS name FROM part),
+    m AS (SELECT name, [s * 4, s] AS shape FROM n WHERE k % 7 <> 0),
+    ck AS (SELECT name, [CASE WHEN k % 5 = 0 THEN s * 8 ELSE s * 4 END, s] AS shape FROM n WHERE k % 11 <> 0)"""
+
+ORACLE_SQL = {
+    "rotate_corners_bbox": f"WITH {_QUADS} SELECT event_id, 240 AS width, 320 AS height, {_TURNED} AS ordered_corners, 239 - list_max(ys) AS x0, list_min(xs) AS y0, 239 - list_min(ys) AS x1, list_max(xs) AS y1 FROM q",
+    "unrotate_corners": f"WITH {_QUADS} SELECT event_id, {_TURNED} AS turned, {_XY} AS back FROM q",
+    "corner_geometry": f"WITH {_QUADS} SELECT event_id, CAST(xs[1]*ys[2] - xs[2]*ys[1] + xs[2]*ys[3] - xs[3]*ys[2] + xs[3]*ys[4] - xs[4]*ys[3] + xs[4]*ys[1] - xs[1]*ys[4] AS DOUBLE) / 2 AS area, round(atan2(ys[2] - ys[1], xs[2] - xs[1]), 9) AS angle FROM q",
+    "resize_corners": f"WITH {_QUADS} SELECT event_id, list_transform({_XY}, lambda v: CAST(2 * v AS DOUBLE)) AS corners FROM q",
+    "augment_turns": f"""WITH {_QUADS} SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 240 ELSE 320 END AS width, CASE WHEN event_id % 2 = 1 THEN 320 ELSE 240 END AS height,
+      CASE event_id % 4 WHEN 0 THEN {_XY} WHEN 1 THEN {_TURNED}
+      WHEN 2 THEN [319 - xs[1], 239 - ys[1], 319 - xs[2], 239 - ys[2], 319 - xs[3], 239 - ys[3], 319 - xs[4], 239 - ys[4]]
+      ELSE [ys[1], 319 - xs[1], ys[2], 319 - xs[2], ys[3], 319 - xs[3], ys[4], 319 - xs[4]] END AS corners FROM q""",
+    "prior_grid": f"WITH {_PRIORS} SELECT * FROM p",
+    "match_best_prior": f"""WITH {_QUADS}, {_PRIORS},
+      t AS (SELECT event_id, CAST(239 - list_max(ys) AS DOUBLE) AS x0, CAST(list_min(xs) AS DOUBLE) AS y0, CAST(239 - list_min(ys) AS DOUBLE) AS x1, CAST(list_max(xs) AS DOUBLE) AS y1 FROM q),
+      b AS (SELECT prior_id, cx - h AS x0, cy - h AS y0, cx + h AS x1, cy + h AS y1 FROM (SELECT prior_id, CAST(stride * col + stride // 2 AS DOUBLE) AS cx, CAST(stride * row + stride // 2 AS DOUBLE) AS cy, CAST({_SIDE} AS DOUBLE) / 2 AS h FROM p)),
+      o AS (SELECT event_id, prior_id, {_overlap("t", "b")} AS i, {_area("t")} + {_area("b")} AS s FROM t JOIN b ON t.x0 < b.x1 AND b.x0 < t.x1 AND t.y0 < b.y1 AND b.y0 < t.y1)
+      SELECT event_id, prior_id, i / (s - i) AS iou FROM o QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY i / (s - i) DESC, prior_id) = 1""",
+    "nms_greedy": f"""WITH RECURSIVE {_QUADS}, src AS (SELECT user_id, event_id, (event_id * 7919) % 1000 AS score, list_min(xs) AS x0, list_min(ys) AS y0, list_max(xs) AS x1, list_max(ys) AS y1 FROM q),
+      {_greedy("src", "user_id", "event_id")} SELECT user_id, event_id FROM r WHERE keep""",
+    "iou_neighbours": f"""WITH {_QUADS}, a AS (SELECT event_id, list_min(xs) AS x0, list_min(ys) AS y0, list_max(xs) AS x1, list_max(ys) AS y1 FROM q)
+      SELECT a.event_id, CAST({_overlap("a", "b")} AS DOUBLE) / ({_area("a")} + {_area("b")} - {_overlap("a", "b")}) AS iou FROM a JOIN a b ON b.event_id = a.event_id + 1""",
+    "head_reshape": f"""SELECT vec_id, e[1:2] AS p0, e[3:4] AS p1, e[5:6] AS p2, e[7:8] AS p3, least(e[1], e[3], e[5], e[7]) AS x0, least(e[2], e[4], e[6], e[8]) AS y0,
+      greatest(e[1], e[3], e[5], e[7]) AS x1, greatest(e[2], e[4], e[6], e[8]) AS y1 FROM (SELECT vec_id, {_CAST8} AS e FROM embeddings)""",
+    "head_score": "SELECT vec_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS margin, round(1 / (1 + exp(-(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)))), 9) AS score FROM embeddings",
+    "head_anchors": "SELECT vec_id, CAST(a AS INT) AS anchor, embedding[a * 8 + 1 : a * 8 + 8] AS values FROM embeddings, unnest(range(8)) t(a)",
+    "detect": f"""WITH RECURSIVE e AS (SELECT label AS image, CAST(vec_id AS INT) AS prior_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS score, list_transform({_CAST8}, lambda v: CAST(floor(v * CAST(100 AS FLOAT)) AS BIGINT)) AS f FROM embeddings),
+      src AS (SELECT image, prior_id, score, f, least(f[1], f[3], f[5], f[7]) AS x0, least(f[2], f[4], f[6], f[8]) AS y0, greatest(f[1], f[3], f[5], f[7]) AS x1, greatest(f[2], f[4], f[6], f[8]) AS y1 FROM e),
+      {_greedy("src", "image", "prior_id")} SELECT r.image, r.prior_id, src.score AS margin, src.f AS ordered_corners FROM r JOIN src ON src.prior_id = r.prior_id AND src.image = r.image WHERE keep""",
+    "manifest_diff": f"WITH {_MANIFESTS} SELECT coalesce(m.name, ck.name) AS name, m.shape AS model_shape, ck.shape AS checkpoint_shape, starts_with(coalesce(m.name, ck.name), 'regression_headers') AS allowed FROM m FULL OUTER JOIN ck ON m.name = ck.name WHERE m.shape IS DISTINCT FROM ck.shape",
+    "header_rewrite": f"""WITH {_MANIFESTS}, h AS (SELECT name, CAST(string_split(name, '.')[2] AS INT) AS lv, CAST(string_split(name, '.')[3] AS INT) AS ly FROM m WHERE starts_with(name, 'regression_headers')),
+      l AS (SELECT name FROM h QUALIFY ly = max(ly) OVER (PARTITION BY lv))
+      SELECT m.name, CASE WHEN l.name IS NULL THEN shape ELSE [shape[1] * 2, shape[2]] END AS shape, l.name IS NOT NULL AS reinitialise FROM m LEFT JOIN l ON m.name = l.name""",
+    "split_names": "SELECT event_id, 'images/' || CASE WHEN event_id % 100 < 90 THEN 'train' WHEN event_id % 100 < 95 THEN 'val' ELSE 'test' END || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image FROM events",
+    "polygons_to_annotations": f"WITH {_QUADS} SELECT CAST(event_id AS VARCHAR) AS image, 320 AS width, 240 AS height, 'qrcode' AS label, list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) AS corners, ['qr_top_left', 'qr_top_right', 'qr_bottom_right', 'qr_bottom_left'] AS corner_order FROM q WHERE event_id % 13 <> 0 AND event_id % 17 <> 0",
+    "evaluation": f"""WITH {_QUADS}, a AS (SELECT event_id, list_max(xs) - list_min(xs) AS w, list_max(ys) - list_min(ys) AS h FROM q),
+      s AS (SELECT event_id, CAST(greatest(w - 3, 0) * greatest(h - 4, 0) AS DOUBLE) AS i, w * h AS ar, event_id % 9 <> 0 AS f FROM a)
+      SELECT count(*) AS n, count(*) FILTER (WHERE f) AS n_found, round(avg(CASE WHEN f THEN CAST(5 AS DOUBLE) END), 6) AS mean_error, round(max(CASE WHEN f THEN CAST(5 AS DOUBLE) END), 6) AS max_error, round(avg(CASE WHEN f THEN i / (2 * ar - i) END), 6) AS mean_iou FROM s""",
+    "jsonl_roundtrip": f"WITH {_QUADS} SELECT 'images/train_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image, 320 AS width, 240 AS height, 'qrcode' AS label, list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) AS corners, ['qr_top_left', 'qr_top_right', 'qr_bottom_right', 'qr_bottom_left'] AS corner_order FROM q",
+    "pixel_rotate": f"WITH {_QUADS} SELECT CAST(event_id AS VARCHAR) AS image, 240 AS width, 320 AS height, {_TURNED} AS corners, 76800 AS bytes FROM q WHERE event_id < 200",
+}
