@@ -63,6 +63,32 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> list:
     return sorted(found, key=lambda r: (r["_hash"], *map(repr, r)))[:n]
 
 
+#: log2 of the words of the bit maps that thin out a join's larger side (16 M bits, under 16 MB as a table).
+BITMAP_WORDS = 18
+
+
+def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with _hit: false where ``key`` is surely not in ``wanted``, by a bit map of fixed size."""
+    hashed = F.xxhash64(key)
+    word, bit = F.pmod(hashed, F.lit(1 << BITMAP_WORDS)), F.pmod(F.shiftright(hashed, BITMAP_WORDS), F.lit(64)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = wanted.select(word.alias("_w"), mask.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    joined = rows.withColumn("_w", word).join(F.broadcast(bits), "_w", "left")
+    return joined.withColumn("_hit", F.coalesce(mask.bitwiseAND(F.col("_bits")) != 0, F.lit(False))).drop("_w", "_bits")
+
+
+def thin_out(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Drop rows whose ``key`` is surely not in ``wanted``, without a shuffle of ``rows``."""
+    return _marked(rows, key, wanted).where("_hit").drop("_hit")
+
+
+def drop_ids(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``dropped``; only rows that a bit map can't clear are shuffled."""
+    dropped = materialize(dropped, "dropped")
+    marked = _marked(rows, key, dropped)
+    return marked.where("NOT _hit").drop("_hit").unionByName(marked.where("_hit").drop("_hit").join(dropped, key, "left_anti"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 4_000_000, max_rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut Arrow batches into runs of rows with about ``max_chars`` bytes of ``column``.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, thin_out
 
 U = np.uint64
 SKETCH_WORDS = 8
@@ -42,8 +42,6 @@ SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 SUBSETS_UP_TO = 26
 #: Classes of one signature that are compared in one piece of work.
 BLOCK = 2048
-#: log2 of the words of the bit maps that thin out a join's larger side (16 M bits, under 16 MB).
-BITMAP_WORDS = 18
 
 _rng = np.random.default_rng(20240601)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -205,16 +203,6 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
     return picked.mapInArrow(run, f"_id {id_type}, " + ", ".join(f"{f} {k}" for f, k in zip(fields[1:-1], kinds, strict=True)) + ", sigs array<bigint>")
 
 
-def thin_out(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Drop rows whose ``key`` is surely not in ``wanted`` by a bit map of fixed size (2 ** BITMAP_WORDS words)."""
-    hashed = F.xxhash64(key)
-    word, bit = F.pmod(hashed, F.lit(1 << BITMAP_WORDS)), F.pmod(F.shiftright(hashed, BITMAP_WORDS), F.lit(64)).cast("int")
-    one = F.lit(1).cast("long")
-    bits = wanted.select(word.alias("_w"), F.call_function("shiftleft", one, bit).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
-    hit = F.call_function("shiftleft", one, bit).bitwiseAND(F.col("_bits")) != 0
-    return rows.withColumn("_w", word).join(F.broadcast(bits), "_w").where(hit).drop("_w", "_bits")
-
-
 def most_apart(na: Column, nb: Column, percent: int) -> Column:
     return F.floor((100 - percent) * (na + nb) / (100 + percent))
 
