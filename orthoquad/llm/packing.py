@@ -5,8 +5,8 @@ programming over the cuts between sequences minimises padding plus penalties:
 a cut at a document's end is free, at a sentence's end it costs ``SENTENCE``
 tokens, and elsewhere ``HARD``.  As padding is linear in a sequence's length,
 the best earlier cut is the minimum of (cost + position) over a sliding range
-of positions, kept in a monotone queue; the lengths that need no padding at all
-(powers of two) are a few further transitions.  A stream is solved in blocks;
+of positions, kept in a monotone queue; the longer lengths that need no padding at
+all (powers of two) are a few further transitions.  A stream is solved in blocks;
 the last sequence of a block is reopened in the next one.
 
 A null or empty text is its end token alone.  Repeated rows are packed one by
@@ -17,6 +17,7 @@ dropped, and a text of any length is packed whole.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -32,12 +33,14 @@ from .common import slices
 LENGTH = 2048
 SENTENCE = 8
 HARD = 48
+#: Shorter powers of two are no sequences of their own, but for a task's tail.
+SHORTEST = 64
 #: Tokens of a block; its last sequence is packed again with what follows.
 BLOCK = 1 << 18
 FREE, AT_SENTENCE, AT_TOKEN = 0, 1, 2
 #: Characters that str.split() takes for white space but the tokenizer doesn't.
 ODD = "\x1c\x1d\x1e\x1f"
-MARKS = ".,!?;:"
+PUNCTUATION = string.punctuation
 
 
 class Numbers(dict):
@@ -56,8 +59,9 @@ class WordTokens:
     """Token ids of texts through a bounded memory of white-space separated words.
 
     The tokenizer drops white space and no token spans it, so a text's ids are
-    its words' ids in turn.  Words that differ in case, or in one mark at their
-    end, are encoded once.  Texts with separators on which Python and the
+    its words' ids in turn.  Words that differ in case, or in punctuation at
+    their end, are encoded once; those met only once are the first to be
+    forgotten.  Texts with separators on which Python and the
     tokenizer disagree are encoded as one word.
     """
 
@@ -71,55 +75,75 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # of tokens that end a pre-token
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: e.ids[0] for m, e in zip(MARKS, self.tokenizer.encode_batch_fast(list(MARKS), add_special_tokens=False), strict=True) if len(e.ids) == 1}
         self.clear()
 
     def clear(self) -> None:
         self.number = Numbers()
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.ends = np.zeros(0, bool)
+        self.ends, self.hits = np.zeros(0, bool), np.zeros(0, np.int32)
 
     def learn(self) -> None:
-        """Encode the words numbered since the last call."""
+        """Encode the words numbered since the last call.
+
+        Letters with ASCII punctuation behind them are two pre-tokens, of which
+        the letters count in lower case.
+        """
         number, fresh, known = self.number, self.number.fresh, len(self.ends)
         number.fresh = []
-        plain, apart, bare, marked = [], [], [], []
+        plain, apart, same, joint = [], [], [], []
+
+        def of(word: str, group: list) -> int:
+            n = number.get(word)
+            if n is None:
+                number[word] = n = len(number)
+                group.append((n, word))
+            return n
+
         for i, w in enumerate(fresh, known):
-            mark = self.marks.get(w[-1])
-            base = w if mark is None else w[:-1]
+            base = w.rstrip(PUNCTUATION)
             if not base.isalpha() or "\u03a3" in base:  # lower() treats a final sigma in its own way
                 apart.append((i, w))
                 continue
             low = base.lower()
             if low == w:
                 plain.append((i, w))
-                continue
-            j = number.get(low)
-            if j is None:
-                number[low] = j = len(number)
-                plain.append((j, low))
-            (bare if mark is None else marked).append((i, j, mark))
+            elif len(base) == len(w):
+                same.append((i, of(low, plain)))
+            else:
+                joint.append((i, of(low, plain), of(w[len(base) :], apart)))
         total = len(number)
         grow = lambda x: np.concatenate([x, np.zeros(total - len(x), x.dtype)])
-        self.start, self.size, self.ends = grow(self.start), grow(self.size), grow(self.ends)
-        self.ends[known : known + len(fresh)] = [w[-1] in ".!?" or w.rstrip("\"')").endswith((".", "!", "?")) for w in fresh]
+        self.start, self.size, self.ends, self.hits = grow(self.start), grow(self.size), grow(self.ends), grow(self.hits)
+        self.ends[known : known + len(fresh)] = [w[-1] in ".!?" or (w[-1] in "\"')" and w.rstrip("\"')").endswith((".", "!", "?"))) for w in fresh]
         if plain:
             words = [w for _, w in plain]
             self._put([i for i, _ in plain], *(self._together(words) or self._apart(words)))
         if apart:
             self._put([i for i, _ in apart], *self._apart([w for _, w in apart]))
-        if bare:
-            i, j, _ = map(list, zip(*bare, strict=True))
+        if same:
+            i, j = np.array(same).T
             self.start[i], self.size[i] = self.start[j], self.size[j]
-        if marked:
-            i, j, mark = map(list, zip(*marked, strict=True))
-            sizes = self.size[j] + 1
-            ids = self._gather(self.start[j], sizes)  # one too many for each, overwritten
-            ids[np.cumsum(sizes) - 1] = mark
-            self._put(i, ids, sizes)
-
-    def _put(self, which: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if joint:
+            parts = np.array(joint)
+            pairs = parts[:, 1:].ravel()
+            self._put(parts[:, 0], self._gather(self.start[pairs], self.size[pairs]), self.size[parts[:, 1]] + self.size[parts[:, 2]])
+
+    def forget(self) -> None:
+        """Drop the words that were met only once; all, if that frees less than half."""
+        kept = [(w, n) for w, n in self.number.items() if self.hits[n] > 1]
+        old = (self.start, self.size, self.ends, self.flat)
+        self.clear()
+        if not kept or 2 * len(kept) > self.capacity:
+            return
+        n = np.array([n for _, n in kept])
+        self.number.update(zip((w for w, _ in kept), range(len(kept)), strict=True))
+        self.start, self.size, self.ends, self.hits = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), old[2][n], np.ones(len(n), np.int32)
+        sizes = old[1][n]
+        last = np.cumsum(sizes)
+        self._put(np.arange(len(n)), old[3][np.repeat(old[0][n] - (last - sizes), sizes) + np.arange(last[-1])], sizes)
+
+    def _put(self, which: list[int] | np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         if self.used + len(ids) >= len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids) + 1), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -147,10 +171,12 @@ class WordTokens:
         """Per text: ids with ``end`` last, and the positions where a sentence ends."""
         words = [[] if not t else [t] if any(c in t for c in ODD) else t.split() for t in texts]
         if len(self.number) > self.capacity:
-            self.clear()
+            self.forget()
         numbers = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in words]
         if self.number.fresh:
             self.learn()
+        for n in numbers:
+            self.hits[n] += 1
         out = []
         for n in numbers:
             sizes = self.size[n]
@@ -185,14 +211,11 @@ def plan(at: np.ndarray, kind: np.ndarray, length: int = LENGTH, sentence: int =
     price[-1] = 0
     where = np.concatenate([[0], at])
     exact: dict[int, list[int]] = {}
-    size = 1
-    while size < length:
-        if length % size == 0 or size & (size - 1) == 0:
-            found = np.searchsorted(where, where - size)
-            hit = np.flatnonzero((where >= size) & (where[found] == where - size))
-            for j, i in zip(hit.tolist(), found[hit].tolist(), strict=True):
-                exact.setdefault(j, []).append(i)
-        size *= 2
+    for size in (1 << k for k in range(SHORTEST.bit_length() - 1, 40) if 1 << k < length):
+        found = np.searchsorted(where, where - size)
+        hit = np.flatnonzero((where >= size) & (where[found] == where - size))
+        for j, i in zip(hit.tolist(), found[hit].tolist(), strict=True):
+            exact.setdefault(j, []).append(i)
     place, charge = where.tolist(), [0, *price.tolist()]
     cost, back = [0] * len(place), [0] * len(place)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, cut), increasing in both
