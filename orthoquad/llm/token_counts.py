@@ -146,7 +146,8 @@ def count(docs: DataFrame, edits_col: str, ranks_path: str, pattern: str, id_col
     ``edits_col`` holds an array of structs (start, end, replacement).
     """
     shipped, name = ship_ranks(docs, ranks_path)
-    each = F.transform(edits_col, lambda e: F.struct(e[0].cast("long").alias("a"), e[1].cast("long").alias("b"), e[2].cast("string").alias("t")))
+    start, end, new = docs.schema[edits_col].dataType.elementType.names[:3]
+    each = F.transform(edits_col, lambda e: F.struct(e[start].cast("long").alias("a"), e[end].cast("long").alias("b"), e[new].cast("string").alias("t")))
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), each.alias("_edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
