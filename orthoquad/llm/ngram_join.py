@@ -10,7 +10,7 @@ that subset of parts.  A subset without elements says nothing, and is a
 signature only of sets so sparse that they might have no other to share.
 
 Equal sets are one class.  Classes that share a signature are compared with
-the smallest class of the signature first; verified links are joined into
+a few of its classes first; verified links are joined into
 components; then only signatures whose classes lie in several components are
 looked into, in blocks, by comparing parity sketches, which bound the symmetric
 difference from below.  What remains is verified on whole texts.  Pairs inside
@@ -40,6 +40,8 @@ SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 #: Up to this k, a range has 4 parts of which 3 make a signature; beyond it, ranges are whole.
 SUBSETS_UP_TO = 26
+#: Classes of a signature with which its others are compared first.
+CENTRES = 4
 #: Classes of one signature that are compared in one piece of work.
 BLOCK = 2048
 
@@ -207,6 +209,17 @@ def most_apart(na: Column, nb: Column, percent: int) -> Column:
     return F.floor((100 - percent) * (na + nb) / (100 + percent))
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each signature's classes with ``CENTRES`` of its classes.
+
+    One centre might be an outlier of its signature; then no links would be
+    found among the others, and all of these would have to be looked into.
+    """
+    centres = members.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by("k1", F.xxhash64("k1", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
+    pairs = members.select("sig", "k1").join(centres, "sig").select("k1", F.explode("centres").alias("c")).where("k1 <> c")
+    return pairs.select(F.least("k1", "c").alias("a"), F.greatest("k1", "c").alias("b")).distinct()
+
+
 def sketch_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that sizes and sketches don't rule out, with their documents."""
     side = lambda x: classes.select(F.col("k1").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), *(F.col(s).alias(f"{x}_{s}") for s in SKETCH))
@@ -328,10 +341,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     nodes = signed.where(F.col("_id").isNotNull() & (F.col("n") > 0))
     classes = materialize(nodes.groupBy("k1", "k2", "n").agg(F.min("_id").alias("rep"), *(F.min(s).alias(s) for s in SKETCH)), "ngram-classes")
     exploded = nodes.select("k1", F.explode("sigs").alias("sig"))
-    shared = materialize(exploded.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("sig", "lo"), "ngram-shared")
-    members = materialize(thin_out(exploded, "sig", shared.select("sig")).join(shared, "sig").select("sig", "lo", "k1").distinct(), "ngram-members")
-    stars = members.where("k1 <> lo").select(F.col("lo").alias("a"), F.col("k1").alias("b")).distinct()
-    tried = materialize(sketch_filter(stars, classes, percent), "ngram-stars")
+    shared = materialize(exploded.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("sig"), "ngram-shared")
+    members = materialize(thin_out(exploded, "sig", shared).join(shared, "sig").select("sig", "k1").distinct(), "ngram-members")
+    tried = materialize(sketch_filter(stars(members), classes, percent), "ngram-stars")
     links = materialize(verify(tried, docs, id_col, text_col, n, percent), "ngram-links")
     grouped = components(links)
 
