@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as a hashed embedding beside the last states of a bidirectional
-gated recurrent network over its characters.  A second such network runs over
-the words of a window; attention pools its states and a logistic unit scores
+A word enters as hashed embeddings of itself and of its first letters beside
+the last states of a bidirectional gated recurrent network over its characters.
+A second such network runs over the words of a window; attention pools its states and a logistic unit scores
 the window.  Every text is cut into overlapping windows that cover it whole,
 and its score is that of its worst window.  All of it is trained in numpy, by
 multiple-instance learning: the label of a text is learned at its worst window.
@@ -30,7 +30,9 @@ from .common import bounded_sample, held_out, map_texts, slices
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8  # of either direction, over words and over characters
 EMBED = 8  # of words and of characters
+STEM, STEM_EMBED = 4, 4  # first letters of a word, embedded beside it
 ATTEND = 8
+LEXICAL = EMBED + STEM_EMBED
 BUCKETS = 1 << 14
 CODES = 512
 #: Bounds of the training sample: texts of each label, and bytes of a text that may enter it.
@@ -88,20 +90,30 @@ class Network:
     def fresh(cls, seed: int = 3) -> Network:
         rng = np.random.default_rng(seed)
         make = lambda *shape, scale=0.3: (rng.standard_normal(shape) * scale).astype(f32)
-        h, wide = HIDDEN, EMBED + 2 * HIDDEN
-        p = {"code": make(CODES, EMBED), "word": make(BUCKETS, EMBED, scale=0.1)}
+        h, wide = HIDDEN, LEXICAL + 2 * HIDDEN
+        p = {"code": make(CODES, EMBED), "word": make(BUCKETS, EMBED, scale=0.1), "stem": make(BUCKETS, STEM_EMBED, scale=0.1)}
         for way in "fb":
             p |= {f"cx{way}": make(EMBED, 3 * h), f"cb{way}": np.zeros(3 * h, f32), f"cu{way}": make(h, 3 * h), f"wx{way}": make(wide, 3 * h), f"wb{way}": np.zeros(3 * h, f32), f"wu{way}": make(h, 3 * h)}
         return cls(p | {"a": make(2 * h, ATTEND), "ab": np.zeros(ATTEND, f32), "v": make(ATTEND), "w": make(2 * h), "b": np.array([-1], f32)})
 
 
 def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes (length x words, -1 behind the end) and word buckets."""
+    """Character codes (length x words, -1 behind the end) and buckets."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % CODES
     codes = np.full((len(words), int(sizes.max())), -1, np.int64)
     codes[np.arange(codes.shape[1]) < sizes[:, None]] = flat
-    return codes.T, np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64)
+    return codes.T, buckets_of(words)
+
+
+def buckets_of(words: list[str]) -> np.ndarray:
+    """Buckets of each word and of its first letters (2 x words)."""
+    code = lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
+    return np.array([[code(w) for w in words], [code(w[:STEM]) for w in words]], np.int64)
+
+
+def lexical(p: dict, buckets: np.ndarray) -> np.ndarray:
+    return np.concatenate([p["word"][buckets[0]], p["stem"][buckets[1]]], axis=1)
 
 
 def _char_inputs(p: dict, codes: np.ndarray, way: str) -> np.ndarray:
@@ -113,7 +125,7 @@ def _char_inputs(p: dict, codes: np.ndarray, way: str) -> np.ndarray:
 
 def word_inputs(p: dict, words: list[str]) -> np.ndarray:
     """Embedding and character states of each word."""
-    out = np.empty((len(words), EMBED + 2 * HIDDEN), f32)
+    out = np.empty((len(words), LEXICAL + 2 * HIDDEN), f32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     at = 0
     while at < len(order):  # words of like length together
@@ -123,7 +135,7 @@ def word_inputs(p: dict, words: list[str]) -> np.ndarray:
             end += 1
         which = order[at:end]
         codes, buckets = spell([words[i] for i in which])
-        out[which] = np.concatenate([p["word"][buckets], *(gru(_char_inputs(p, codes, way), p[f"cu{way}"])[-1] for way in "fb")], axis=1)
+        out[which] = np.concatenate([lexical(p, buckets), *(gru(_char_inputs(p, codes, way), p[f"cu{way}"])[-1] for way in "fb")], axis=1)
         at = end
     return out
 
@@ -237,7 +249,7 @@ def _step(p: dict, words: list[str], index: np.ndarray, y: np.ndarray, rng: np.r
     for way in "fb":
         kept[way] = []
         last[way] = gru(_char_inputs(p, codes, way), p[f"cu{way}"], kept[way])[-1]
-    inputs = np.concatenate([p["word"][buckets] * shown, last["f"], last["b"]], axis=1)
+    inputs = np.concatenate([lexical(p, buckets) * shown, last["f"], last["b"]], axis=1)
     project = {way: np.concatenate([padding(), x]) for way, x in projections(p, inputs).items()}
     deep: dict[str, list] = {"f": [], "b": []}
     states = np.concatenate([gru(project["f"][index], p["wuf"], deep["f"]), gru(project["b"][index[::-1]], p["wub"], deep["b"])[::-1]], axis=2)
@@ -261,12 +273,13 @@ def _step(p: dict, words: list[str], index: np.ndarray, y: np.ndarray, rng: np.r
         g_project = g_project[1:]
         grads |= {f"wx{way}": inputs.T @ g_project, f"wb{way}": g_project.sum(0)}
         g_inputs += g_project @ p[f"wx{way}"].T
-    grads["word"] = np.zeros_like(p["word"])
-    np.add.at(grads["word"], buckets, g_inputs[:, :EMBED] * shown)
+    for k, (name, part) in enumerate((("word", slice(0, EMBED)), ("stem", slice(EMBED, LEXICAL)))):
+        grads[name] = np.zeros_like(p[name])
+        np.add.at(grads[name], buckets[k], g_inputs[:, part] * shown)
     grads["code"] = np.zeros_like(p["code"])
     for i, way in enumerate("fb"):
         g_last = np.zeros((*codes.shape, HIDDEN), f32)
-        g_last[-1] = g_inputs[:, EMBED + i * HIDDEN : EMBED + (i + 1) * HIDDEN]
+        g_last[-1] = g_inputs[:, LEXICAL + i * HIDDEN : LEXICAL + (i + 1) * HIDDEN]
         gx, grads[f"cu{way}"] = gru_back(g_last, p[f"cu{way}"], kept[way])
         where = codes if way == "f" else codes[::-1]
         table = np.zeros((CODES + 1, 3 * HIDDEN), f32)
@@ -277,8 +290,20 @@ def _step(p: dict, words: list[str], index: np.ndarray, y: np.ndarray, rng: np.r
     return grads
 
 
-def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48, warm: int = 80, rate: float = 0.02, seed: int = 5) -> Network | None:
-    """Fit by Adam on as many texts of either label a step; None unless both labels occur.
+def lean(p: dict, rows: list[np.ndarray], y: list[int], buckets: np.ndarray) -> None:
+    """Start the first embedding dimension of words and stems at how much more often texts of label 1 hold them, as a z score."""
+    n = np.bincount(y, minlength=2)
+    for name, own in zip(("word", "stem"), buckets, strict=True):
+        held = np.zeros((2, BUCKETS))
+        for r, k in zip(rows, y, strict=True):
+            held[k, np.unique(own[r - 1])] += 1
+        mean = held.sum(axis=0) / n.sum()
+        z = (held[1] / n[1] - held[0] / n[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / n[0] + 1 / n[1]))
+        p[name][:, 0] = np.clip(z, -4, 8) / 4
+
+
+def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 60, share: float = 0.2, warm: int = 80, rate: float = 0.01, seed: int = 5) -> Network | None:
+    """Fit by Adam on batches with a fixed share of label 1; None unless both labels occur.
 
     The first ``warm`` steps take any window of a text, later ones its worst.
     """
@@ -293,9 +318,10 @@ def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 48
     kinds = [[i for i in k.tolist() if len(rows[i])] for k in kinds]
     if not all(kinds):
         return None
+    lean(p, [rows[i] for k in kinds for i in k], [y for y, k in enumerate(kinds) for _ in k], buckets_of(names[1:]))
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        chosen = [k[i] for k in kinds for i in rng.integers(len(k), size=batch // 2)]
+        chosen = [k[i] for k, n in zip(kinds, (batch - round(batch * share), round(batch * share)), strict=True) for i in rng.integers(len(k), size=n)]
         index, owner = windows([rows[i] for i in chosen])
         used, inverse = np.unique(np.concatenate([[0], index.ravel()]), return_inverse=True)
         local = inverse[1:].reshape(index.shape)
