@@ -27,6 +27,8 @@ from .common import map_texts
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens of more bytes than this use the scalar tree.
 WIDE = 64
+#: So few pre-tokens of one width use it too.
+FEW = 24
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -170,6 +172,10 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> list[list[int]]:
         else:
             groups.setdefault(max(4, 1 << (len(p) - 1).bit_length()), []).append(i)
     for width, which in groups.items():
+        if len(which) < FEW:
+            for i in which:
+                out[i] = encode_scalar(pieces[i], merges)
+            continue
         for a in range(0, len(which), 4096):
             part = which[a : a + 4096]
             for i, ids in zip(part, encode_rows([pieces[i] for i in part], width, merges), strict=True):

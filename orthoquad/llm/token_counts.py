@@ -41,8 +41,11 @@ class CountTree:
         self._build(tokens)
 
     def _counts(self, tokens: list[str]) -> list[int]:
-        self.codec.learn([tokens])
-        return list(map(len, map(self.codec.ids.__getitem__, tokens)))
+        try:
+            return list(map(len, map(self.codec.ids.__getitem__, tokens)))
+        except KeyError:
+            self.codec.learn([tokens])
+            return list(map(len, map(self.codec.ids.__getitem__, tokens)))
 
     def _build(self, tokens: list[str]) -> None:
         at = np.arange(0, max(1, len(tokens)), LEAF)
