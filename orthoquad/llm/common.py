@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 HELD_OUT_BUCKET = 2
@@ -117,14 +118,14 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, make: Call
     the id, in the order of ``schema``.  Other columns of ``df`` are ignored.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    names = StructType.fromDDL(schema).names
+    kinds = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for part, texts in slices(batches, "_text"):
             work = work or make()
             out = work(texts)
-            yield pa.RecordBatch.from_arrays([part.column("_id"), *(out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names)], names=[id_col, *names])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), *(out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], kind) for n, kind in kinds.items())], names=[id_col, *kinds])
 
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return picked.mapInArrow(run, f"`{id_col}` {id_type}, {schema}")
