@@ -158,7 +158,7 @@ def posterior(votes: tuple[int, ...], bad: float, sens: list[float], spec: list[
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """One row per row of ``docs``: counts, ``base_failed``, the posterior ``quality`` and ``kept``."""
+    """One row per row of ``docs``: counts, ``base_failed``, ``posterior`` (of being good) and ``kept``."""
     names = list(RULES)
     counted = counts(docs, id_col, text_col)
     voted = materialize(counted.select("*", *(rule().cast("int").alias(f"vote_{n}") for n, rule in RULES.items())), "quality")
@@ -170,4 +170,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
         total = total + F.when(F.col(column) > 0, g).when(F.col(column) < 0, b).otherwise(0.0)
     quality = 1 / (1 + F.exp(-total))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return voted.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"), quality.alias("quality"), *own)
+    return voted.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"), quality.alias("posterior"), *own)
