@@ -15,6 +15,10 @@ from orthoquad.llm import langid, ngram_join, packing, secrets, toxicity
 from orthoquad.llm.common import drop_ids, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words that packing remembers, few as workers also serve the other stages.
+WORDS = 150_000
+#: Score from which a text is toxic.
+TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop toxic texts."""
-    return toxicity.keep(docs.select(COLUMNS), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.keep(docs.select(COLUMNS), toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("lang", "source"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("lang", "source"), capacity=WORDS)
 
 
 STAGES = [

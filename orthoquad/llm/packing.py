@@ -21,6 +21,7 @@ import string
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ HARD = 48
 SHORTEST = 64
 #: Tokens of a block; its last sequence is packed again with what follows.
 BLOCK = 1 << 18
+#: Words that a worker remembers; half a kilobyte each, so fewer mean less memory and more time.
+WORDS = 800_000
 FREE, AT_SENTENCE, AT_TOKEN = 0, 1, 2
 #: Characters that str.split() takes for white space but the tokenizer doesn't.
 ODD = "\x1c\x1d\x1e\x1f"
@@ -65,13 +68,13 @@ class WordTokens:
     tokenizer disagree are encoded as one word.
     """
 
-    def __init__(self, raw: str, capacity: int = 800_000):
+    def __init__(self, raw: str, end: int = 1, capacity: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw)
         self.tokenizer.encode_special_tokens = True
-        self.capacity = capacity
+        self.end, self.capacity = end, capacity
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # of tokens that end a pre-token
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -79,9 +82,10 @@ class WordTokens:
 
     def clear(self) -> None:
         self.number = Numbers()
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.ends, self.hits = np.zeros(0, bool), np.zeros(0, np.int32)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.number[""] = 0  # the end of a text, as a word of one token
+        self.start, self.size, self.ends, self.hits = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, bool), np.ones(1, np.int64)
+        self.flat[0], self.used = self.end, 1
 
     def learn(self) -> None:
         """Encode the words numbered since the last call.
@@ -131,14 +135,14 @@ class WordTokens:
 
     def forget(self) -> None:
         """Drop the words that were met only once; all, if that frees less than half."""
-        kept = [(w, n) for w, n in self.number.items() if self.hits[n] > 1]
+        kept = [(w, n) for w, n in self.number.items() if self.hits[n] > 1 or not n]
         old = (self.start, self.size, self.ends, self.flat)
         self.clear()
-        if not kept or 2 * len(kept) > self.capacity:
+        if 2 * len(kept) > self.capacity:
             return
         n = np.array([n for _, n in kept])
         self.number.update(zip((w for w, _ in kept), range(len(kept)), strict=True))
-        self.start, self.size, self.ends, self.hits = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), old[2][n], np.ones(len(n), np.int32)
+        self.start, self.size, self.ends, self.hits = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), old[2][n], np.ones(len(n), np.int64)
         sizes = old[1][n]
         last = np.cumsum(sizes)
         self._put(np.arange(len(n)), old[3][np.repeat(old[0][n] - (last - sizes), sizes) + np.arange(last[-1])], sizes)
@@ -167,26 +171,28 @@ class WordTokens:
             return None
         return flat, np.diff(last, prepend=0)
 
-    def __call__(self, texts: list, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per text: ids with ``end`` last, and the positions where a sentence ends."""
+    def __call__(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text: ids with the end token last, and the positions where a sentence ends."""
+        if not texts:
+            return []
         words = [[] if not t else [t] if any(c in t for c in ODD) else t.split() for t in texts]
         if len(self.number) > self.capacity:
             self.forget()
-        numbers = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in words]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        last_word = np.cumsum(counts + 1) - 1
+        inner = np.ones(int(last_word[-1]) + 1, bool)
+        inner[last_word] = False
+        n = np.zeros(len(inner), np.int64)
+        n[inner] = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.number.fresh:
             self.learn()
-        for n in numbers:
-            self.hits[n] += 1
-        out = []
-        for n in numbers:
-            sizes = self.size[n]
-            last = np.cumsum(sizes)
-            total = int(last[-1]) if len(n) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self._gather(self.start[n], sizes)
-            ids[total] = end
-            out.append((ids, last[self.ends[n]]))
-        return out
+        self.hits += np.bincount(n, minlength=len(self.hits))
+        sizes = self.size[n]
+        ids, upto = self._gather(self.start[n], sizes), np.cumsum(sizes)
+        ends = upto[self.ends[n]]
+        bounds = [0, *upto[last_word].tolist()]
+        cuts = np.searchsorted(ends, bounds, side="right").tolist()
+        return [(ids[a:b], ends[i:j] - a) for a, b, i, j in zip(bounds, bounds[1:], cuts, cuts[1:], strict=False)]
 
 
 def candidates(total: int, ends: np.ndarray, sentences: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +307,7 @@ class Packer:
 _TOKENS: dict = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, keep: tuple[str, ...] = (), block: int = BLOCK, capacity: int = WORDS) -> DataFrame:
     """Pieces of ``docs``: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the columns ``keep``.
 
     The order within a task is kept; sequences never span tasks, so each task
@@ -314,10 +320,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{kept}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shipped.value)
+        key = (hash(shipped.value), end, capacity)
         if key not in _TOKENS:
             _TOKENS.clear()
-            _TOKENS[key] = WordTokens(shipped.value)
+            _TOKENS[key] = WordTokens(shipped.value, end, capacity)
         tokens, packer = _TOKENS[key], Packer(length, sentence, hard, block)
         base = TaskContext.get().partitionId() << 40
         open_rows: deque = deque()  # (first document's number, rows) of documents not yet packed whole
@@ -342,7 +348,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for part, texts in slices(batches, "_text"):
             open_rows.append((packer.number, part.select(["_id", *(f"_keep{i}" for i in range(len(keep)))])))
-            for ids, ends in tokens(texts, end):
+            for ids, ends in tokens(texts):
                 if found := packer.add(ids, ends):
                     yield from shown(found)
         yield from shown(packer.finish())

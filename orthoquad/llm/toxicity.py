@@ -204,7 +204,7 @@ class Words(dict):
 
 
 class Scorer:
-    def __init__(self, network: Network, capacity: int = 250_000):
+    def __init__(self, network: Network, capacity: int = 120_000):
         self.p, self.capacity = network.p, capacity
         self.clear()
 
@@ -349,11 +349,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from at most ``texts`` texts of each label outside the held-out fold, of up to ``max_bytes`` bytes."""
     named = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(~held_out("k") & F.col("y").isin(0, 1))
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t").between(1, max_bytes))
-    found = []
-    for y in (0, 1):
-        few = bounded_sample(named.where(F.col("y") == y), "k", texts)
-        keys = docs.sparkSession.createDataFrame([(r.k, int(r.y)) for r in few], named.select("k", F.col("y").cast("int")).schema)
-        found += rows.join(F.broadcast(keys), "k").collect()
+    few = [(r.k, y) for y in (0, 1) for r in bounded_sample(named.where(F.col("y") == y).select("k"), "k", texts)]
+    keys = docs.sparkSession.createDataFrame(few, named.select("k", F.lit(0).alias("y")).schema)
+    found = rows.join(F.broadcast(keys), "k").collect()
     found.sort(key=lambda r: (repr(r.k), r.t))
     return train([r.t for r in found], [r.y for r in found])
 

@@ -148,14 +148,19 @@ def test_secret_rows(hard, empty):
 # ---- packing -------------------------------------------------------------------------------
 def test_word_tokens_equal_the_library():
     own = packing.WordTokens(open(WORDS, encoding="utf-8").read(), capacity=20)
+    assert own([]) == []
     whole = Tokenizer.from_file(WORDS)
     whole.encode_special_tokens = True
     more = ["Hello, WORLD!! it's 3.14 (naïve) ΑΣ ΣΑΣ. İstanbul éá! x̸= a,b c.d.e ###", "THE the The the. the, THE!", "a b　c"]
     for _ in range(3):
         for text in [t or "" for t in HARD] + more:
-            ids, ends = own([text], 1)[0]
+            ids, ends = own([text])[0]
             assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
             assert all(0 < e < len(ids) for e in ends)
+    texts = [t or "" for t in HARD] + more
+    for text, (ids, ends) in zip(texts, own(texts), strict=True):
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1] and all(0 < e < len(ids) for e in ends)
+    assert own(["One two. Three!"])[0][1].tolist() == [len(whole.encode(t, add_special_tokens=False).ids) for t in ("One two.", "One two. Three!")]
 
 
 def least_cost(at, kind, length, sentence, hard):
