@@ -45,17 +45,45 @@ class Merges:
         self.base = max(ranks.values()) + 1
         pairs = {ranks[t[:i]] * self.base + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
+        self._fill(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32))
+        single = [bytes([b]) for b in range(256)]
+        self.byte_pairs = np.array([ranks.get(a + b, NONE) for a in single for b in single], np.int32)
         self.decode = [b""] * self.base
         for t, r in ranks.items():
             self.decode[r] = t
 
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """An open-addressed table, filled in rounds of one step."""
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.slots[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.slots[at[put]], self.values[at[put]] = keys[put], values[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of pairs; NONE where a side is missing (-1) or the pair is no token."""
-        key = left * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NONE)
+        """Ranks of pairs of ids; NONE where ``right`` is missing (-1) or the pair is no token."""
+        key = np.where(right >= 0, left * self.base + right, -2)
+        at = self._slot(key)
+        found = self.slots[at]
+        out = self.values[at]
+        wrong = np.flatnonzero((found != key) & (found != -1))
+        out[found != key] = NONE
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & ((1 << self.bits) - 1)
+            found = self.slots[at[wrong]]
+            hit = found == key[wrong]
+            out[wrong[hit]] = self.values[at[wrong[hit]]]
+            wrong = wrong[~hit & (found != -1)]
+        return out
 
 
 class SegmentTree:
@@ -111,49 +139,58 @@ def encode_scalar(piece: bytes, merges: Merges) -> list[int]:
 
 def encode_rows(pieces: list[bytes], width: int, merges: Merges) -> list[list[int]]:
     """Encode pieces of up to ``width`` bytes (a power of two), one tree a row."""
-    n, rows = len(pieces), np.arange(len(pieces))
+    n, depth = len(pieces), width.bit_length() - 1
     raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
-    size = np.fromiter(map(len, pieces), np.int64, n)
-    spare = width  # neighbours off either end
-    ids = np.full((n, width + 1), -1, np.int64)
-    ids[:, :width] = np.where(np.arange(width) < size[:, None], merges.single[raw], -1)
-    after = np.tile(np.arange(1, width + 2), (n, 1))
-    after[:, width] = spare
-    before = np.tile(np.arange(-1, width), (n, 1))
-    before[:, 0] = spare
+    size = np.fromiter(map(len, pieces), np.int64, n)[:, None]
+    place = np.arange(width)
+    wide, spare = width + 1, width  # the place behind the last one stands for neighbours off either end
+    ids = np.full((n, wide), -1, np.int64)
+    ids[:, :width] = np.where(place < size, merges.single[raw], -1)
+    after = np.tile(np.minimum(np.arange(1, wide + 1), spare), n)
+    before = np.tile(np.concatenate([[spare], np.arange(width)]), n)
     tree = np.full((n, 2 * width), NONE, np.int32)
-    tree[:, width : 2 * width] = merges.rank(ids[:, :width], ids[:, 1:])
-    for level in range(width.bit_length() - 2, -1, -1):
+    pairs = merges.byte_pairs[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
+    tree[:, width:-1] = np.where(place[1:] < size, pairs, NONE)
+    for level in range(depth - 1, -1, -1):
         a = 1 << level
         tree[:, a : 2 * a] = np.minimum(tree[:, 2 * a : 4 * a : 2], tree[:, 2 * a + 1 : 4 * a : 2])
+    ids, tree = ids.ravel(), tree.ravel()
 
-    def update(r, at, value):
+    def update(root, at, value):
+        """Set leaves and the minima above them; ``root`` is where a row's tree begins."""
         node = at + width
-        tree[r, node] = value
-        for _ in range(width.bit_length() - 1):
-            node = node >> 1
-            tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
-
-    live = rows
-    while len(live := live[tree[live, 1] != NONE]):
-        best = tree[live, 1]
-        node = np.ones(len(live), np.int64)
-        for _ in range(width.bit_length() - 1):
-            node = 2 * node
-            node += tree[live, node] != best
+        tree[root + node] = value
+        for _ in range(depth):
+            node >>= 1
+            child = root + 2 * node
+            tree[root + node] = np.minimum(tree[child], tree[child + 1])
+
+    row, root = np.arange(n) * wide, np.arange(n) * (2 * width)
+    while True:
+        best = tree[root + 1]
+        live = best != NONE
+        if not live.all():
+            row, root, best = row[live], root[live], best[live]
+        if not len(row):
+            break
+        node = np.ones(len(row), np.int64)
+        for _ in range(depth):
+            node *= 2
+            node += tree[root + node] != best
         i = node - width
-        j = after[live, i]
-        k = after[live, j]
-        h = before[live, i]
-        ids[live, i] = best
-        ids[live, j] = -1
-        after[live, i] = k
-        inner = k < spare
-        before[live[inner], k[inner]] = i[inner]
-        update(live, j, NONE)
-        update(live, i, merges.rank(best.astype(np.int64), ids[live, k]))
-        left = h < spare
-        update(live[left], h[left], merges.rank(ids[live[left], h[left]], best[left].astype(np.int64)))
+        j = after[row + i]
+        k = after[row + j]
+        h = before[row + i]
+        whole = best.astype(np.int64)
+        ids[row + i] = whole
+        ids[row + j] = -1
+        after[row + i] = k
+        before[row + k] = i  # the spare place may hold anything
+        update(root, j, NONE)
+        update(root, i, merges.rank(whole, ids[row + k]))
+        left = np.flatnonzero(h < spare)
+        update(root[left], h[left], merges.rank(ids[row[left] + h[left]], whole[left]))
+    ids = ids.reshape(n, wide)
     mask = ids[:, :width] >= 0
     flat, count = ids[:, :width][mask].tolist(), mask.sum(1)
     ends = np.cumsum(count).tolist()
@@ -196,16 +233,19 @@ class Codec:
         self.capacity = capacity
         self.ids: dict[str, tuple[int, ...]] = {}
         self.shown: dict[str, str] = {}
+        self.count: dict[str, int] = {}
 
     def learn(self, tokens: list[list[str]]) -> None:
         if len(self.ids) > self.capacity:
             self.ids.clear()
             self.shown.clear()
+            self.count.clear()
         new = list(set().union(*tokens).difference(self.ids))
         pieces = [t.encode("utf-8") for t in new]
         for t, ids in zip(new, encode_pieces(pieces, self.merges), strict=True):
             self.ids[t] = tuple(ids)
             self.shown[t] = " ".join(map(str, ids))
+            self.count[t] = len(ids)
 
     def encode(self, text: str) -> list[int]:
         tokens = self.split(text)

@@ -42,10 +42,10 @@ class CountTree:
 
     def _counts(self, tokens: list[str]) -> list[int]:
         try:
-            return list(map(len, map(self.codec.ids.__getitem__, tokens)))
+            return list(map(self.codec.count.__getitem__, tokens))
         except KeyError:
             self.codec.learn([tokens])
-            return list(map(len, map(self.codec.ids.__getitem__, tokens)))
+            return list(map(self.codec.count.__getitem__, tokens))
 
     def _build(self, tokens: list[str]) -> None:
         at = np.arange(0, max(1, len(tokens)), LEAF)
