@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -49,8 +50,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that go when their work is done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str = "") -> None:
+        """Delete the tables of a name, or all."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/*-{name}" if name else self.root)
+        store = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in store.globStatus(pattern) or []:
+            store.delete(found.getPath(), True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
+
 def bounded_sample(rows: DataFrame, key: str, n: int) -> list:
-    """About ``n`` rows (at most ``n``) by a hash of ``key``, on the driver.
+    """About ``n`` rows (at most ``n``) by a hash of ``key`` and the other columns, on the driver.
 
     The share of rows to fetch follows from their count, so that what tasks send
     is about ``n`` rows however many tasks there are.
@@ -59,8 +88,8 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> list:
     if total > n:
         bits = 1 << 30
         share = min(bits, int(bits * (n + 4 * n**0.5) / total) + 1)
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(bits)) < share)
-    found = rows.withColumn("_hash", F.xxhash64(key)).collect()
+        rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(bits)) < share)
+    found = rows.withColumn("_hash", F.xxhash64(*rows.columns)).collect()
     return sorted(found, key=lambda r: (r["_hash"], *map(repr, r)))[:n]
 
 
@@ -90,14 +119,20 @@ def drop_ids(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     return marked.where("NOT _hit").drop("_hit").unionByName(marked.where("_hit").drop("_hit").join(dropped, key, "left_anti"))
 
 
+def trim() -> None:
+    """Give freed memory back, as Python workers live on and stay as large as their largest task made them."""
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 4_000_000, max_rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut Arrow batches into runs of rows with about ``max_chars`` bytes of ``column``.
 
     A single longer row makes a run of its own; no row is dropped or cut.
     """
     for batch in batches:
-        col = batch.column(column)
-        sizes = pc.binary_length(col).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and (total + n > max_chars or i - start >= max_rows):
@@ -108,6 +143,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 4_00
         if len(sizes) > start:
             part = batch.slice(start)
             yield part, part.column(column).to_pylist()
+        del batch
+        trim()
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list], dict]]) -> DataFrame:
