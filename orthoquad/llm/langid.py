@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_texts
+from .common import bounded_sample, held_out, map_texts, trim
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -169,7 +169,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: in
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> ByteCnn:
-    return train(*sample(docs, id_col, text_col, lang_col, texts))
+    model = train(*sample(docs, id_col, text_col, lang_col, texts))
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

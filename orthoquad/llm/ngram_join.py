@@ -43,7 +43,7 @@ SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 #: Up to this k, a range has 4 parts of which 3 make a signature; beyond it, ranges are whole.
 SUBSETS_UP_TO = 26
 #: Rounds in which a signature's classes are compared with one of them.
-CENTRES = 3
+CENTRES = 2
 #: Classes of one signature that are compared in one piece of work.
 BLOCK = 2048
 

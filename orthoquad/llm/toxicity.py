@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_texts, slices
+from .common import bounded_sample, held_out, map_texts, slices, trim
 
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8  # of either direction, over words and over characters
@@ -353,7 +353,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     keys = docs.sparkSession.createDataFrame(few, named.select("k", F.lit(0).alias("y")).schema)
     found = rows.join(F.broadcast(keys), "k").collect()
     found.sort(key=lambda r: (repr(r.k), r.t))
-    return train([r.t for r in found], [r.y for r in found])
+    network = train([r.t for r in found], [r.y for r in found])
+    del found
+    trim()
+    return network
 
 
 def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
