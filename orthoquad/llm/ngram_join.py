@@ -10,7 +10,7 @@ that subset of parts.  A subset without elements says nothing, and is a
 signature only of sets so sparse that they might have no other to share.
 
 Equal sets are one class.  Classes that share a signature are compared with
-one of them first, in a few rounds; verified links are joined into
+a few of its classes first; verified links are joined into
 components; then only signatures whose classes lie in several components are
 looked into, in blocks, by comparing parity sketches, which bound the symmetric
 difference from below.  What remains is verified on whole texts.  Pairs inside
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +36,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, materialize, slices, thin_out
 
 U = np.uint64
-#: Parity sketches: 2048 bits, and 512 bits that are their fold.
-WIDE_WORDS, SKETCH_WORDS = 32, 8
-WIDE = [f"w{i}" for i in range(WIDE_WORDS)]
+SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 #: Up to this k, a range has 4 parts of which 3 make a signature; beyond it, ranges are whole.
 SUBSETS_UP_TO = 26
-#: Rounds in which a signature's classes are compared with one of them.
-CENTRES = 2
+#: Classes of a signature with which its others are compared first.
+CENTRES = 4
 #: Classes of one signature that are compared in one piece of work.
 BLOCK = 2048
 
@@ -157,8 +155,8 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of 2048 buckets: two sets' sketches differ in no more bits than the sets in elements."""
-    bits = np.bincount((mix(s ^ SALTS[2]) >> U(53)).astype(np.int64), minlength=64 * WIDE_WORDS) & 1
+    """Parity of the elements in each of 512 buckets: two sets' sketches differ in no more bits than the sets in elements."""
+    bits = np.bincount((mix(s ^ SALTS[2]) >> U(55)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(bits.astype(np.uint8)).view(U)
 
 
@@ -177,19 +175,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """Per row: id, n_shingles, set key k1 and k2, long sketch and signatures.
+    """Per row: id, n_shingles, set key k1 and k2, sketch and signatures.
 
     Signatures are given with the first of a task's equal sets only.
     """
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    fields = ["_id", "n", "k1", "k2", *WIDE, "sigs"]
+    fields = ["_id", "n", "k1", "k2", *SKETCH, "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for part, texts in slices(batches, "_text", 1_000_000):
             sets = ngram_sets(texts, n)
-            keys, sketches, sigs = [], np.zeros((len(sets), WIDE_WORDS), np.int64), []
+            keys, sketches, sigs = [], np.zeros((len(sets), SKETCH_WORDS), np.int64), []
             for i, s in enumerate(sets):
                 key = set_key(s)
                 keys.append(key)
@@ -200,10 +198,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
             k1, k2 = zip(*keys, strict=True)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]), pa.int32())
             columns = [part.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
-            columns += [pa.array(sketches[:, j]) for j in range(WIDE_WORDS)]
+            columns += [pa.array(sketches[:, j]) for j in range(SKETCH_WORDS)]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sigs)))], names=fields)
 
-    kinds = ["bigint"] * (3 + WIDE_WORDS)
+    kinds = ["bigint"] * (3 + SKETCH_WORDS)
     return picked.mapInArrow(run, f"_id {id_type}, " + ", ".join(f"{f} {k}" for f, k in zip(fields[1:-1], kinds, strict=True)) + ", sigs array<bigint>")
 
 
@@ -211,54 +209,31 @@ def most_apart(na: Column, nb: Column, percent: int) -> Column:
     return F.floor((100 - percent) * (na + nb) / (100 + percent))
 
 
-def placed_in(members: DataFrame, grouped: DataFrame | None) -> DataFrame:
-    """Members (sig, k1, component) of the signatures whose classes lie in several components, with ``size``."""
-    if grouped is None:
-        placed = members.withColumn("component", F.col("k1"))
-    else:
-        placed = members.join(grouped.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    open_sigs = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("sig", "size")
-    return placed.join(open_sigs, "sig")
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each signature's classes with ``CENTRES`` of its classes.
 
-
-def stars(undecided: DataFrame, round_: int) -> DataFrame:
-    """Pairs (a, b) of each signature's classes with one of its classes that lies in another component.
-
-    Which class is the centre changes with the round: one centre might be an
-    outlier of its signature, and then no links are found among the others.
+    One centre might be an outlier of its signature; then no links would be
+    found among the others, and all of these would have to be looked into.
     """
-    order = F.xxhash64("k1", F.lit(round_))
-    centres = undecided.groupBy("sig").agg(F.min_by(F.struct(F.col("k1").alias("c"), F.col("component").alias("at")), order).alias("centre"))
-    pairs = undecided.join(centres, "sig").where(F.col("component") != F.col("centre.at")).select("k1", F.col("centre.c").alias("c"))
+    centres = members.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by("k1", F.xxhash64("k1", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
+    pairs = members.select("sig", "k1").join(centres, "sig").select("k1", F.explode("centres").alias("c")).where("k1 <> c")
     return pairs.select(F.least("k1", "c").alias("a"), F.greatest("k1", "c").alias("b")).distinct()
 
 
-def fold() -> list[Column]:
-    """The 512-bit sketch from the 2048-bit one."""
-    step = range(SKETCH_WORDS, WIDE_WORDS, SKETCH_WORDS)
-    return [reduce(lambda x, y: x.bitwiseXOR(y), (F.col(WIDE[i + j]) for j in step), F.col(WIDE[i])).alias(s) for i, s in enumerate(SKETCH)]
-
-
 def sketch_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that sizes and sketches don't rule out, with their documents.
-
-    The short sketches come first, so that few pairs carry the long ones.
-    """
-
-    def near(rows: DataFrame, words: list[str]) -> DataFrame:
-        side = lambda x: classes.select(F.col("k1").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), *(F.col(s).alias(f"{x}_{s}") for s in words))
-        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in words))
-        ok = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart <= most_apart(F.col("a_n"), F.col("b_n"), percent))
-        return rows.join(side("b"), "b").join(side("a"), "a").where(ok).select("a", "b", "a_rep", "b_rep")
-
-    return near(near(pairs, SKETCH).select("a", "b"), WIDE)
+    """Pairs (a, b) of classes that sizes and sketches don't rule out, with their documents."""
+    side = lambda x: classes.select(F.col("k1").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), *(F.col(s).alias(f"{x}_{s}") for s in SKETCH))
+    apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart <= most_apart(F.col("a_n"), F.col("b_n"), percent))
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b", "a_rep", "b_rep")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
-    """Of written pairs (a, b, a_rep, b_rep), the (a, b) whose texts are similar; reads the texts of these documents only."""
+    """Of pairs (a, b, a_rep, b_rep), the (a, b) whose texts are similar; reads the texts of these documents only."""
+    pairs = write(pairs, "ngram-pairs")
     wanted = pairs.select(F.col("a_rep").alias("_id")).union(pairs.select("b_rep")).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    texts = write(thin_out(rows, "_id", wanted).join(wanted, "_id", "left_semi"), "texts")
+    texts = write(thin_out(rows, "_id", wanted).join(wanted, "_id", "left_semi"), "ngram-texts")
     side = lambda x: texts.select(F.col("_id").alias(f"{x}_rep"), F.col("_text").alias(f"{x}_text"))
     full = pairs.join(side("b"), "b_rep").join(side("a"), "a_rep").select("a", "b", "a_text", "b_text")
 
@@ -286,7 +261,7 @@ def components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame] =
     Alternates large-star and small-star steps until nothing changes; each step
     is written to the shared folder.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -363,38 +338,30 @@ def _with_end(batches: Iterator) -> Iterator:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles and component_id (the smallest id reachable by links).
 
-    The work is done when this returns; only the answer stays in the shared folder.
+    The work is done when this returns; only the result stays in the shared folder.
     """
     with Scratch(docs.sparkSession, "ngram-join") as scratch:
         write = scratch.write
-        signed = write(sign(docs, id_col, text_col, n, percent), "sets")
+        signed = write(sign(docs, id_col, text_col, n, percent), "ngram-sets")
         nodes = signed.where(F.col("_id").isNotNull() & (F.col("n") > 0))
-        classes = write(nodes.groupBy("k1", "k2", "n").agg(F.min("_id").alias("rep"), *(F.min(w).alias(w) for w in WIDE)).select("*", *fold()), "classes")
+        classes = write(nodes.groupBy("k1", "k2", "n").agg(F.min("_id").alias("rep"), *(F.min(s).alias(s) for s in SKETCH)), "ngram-classes")
         exploded = nodes.select("k1", F.explode("sigs").alias("sig"))
-        shared = write(exploded.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("sig"), "shared")
-        members = write(thin_out(exploded, "sig", shared).join(shared, "sig").select("sig", "k1").distinct(), "members")
-        rows = write(signed.select("_id", "n", "k1", "k2"), "rows")
-        scratch.drop("sets")
-
-        tried = links = grouped = None
-        for step in range(CENTRES + 1):
-            undecided = placed_in(members, grouped)
-            if step < CENTRES:
-                pairs = stars(undecided, step)
-            else:
-                pairs = across(undecided.join(classes.select("k1", "n", *SKETCH), "k1"), percent)
-            if tried is not None:
-                pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            fresh = write(sketch_filter(pairs, classes, percent), "pairs")
-            found = write(verify(fresh, docs, id_col, text_col, n, percent, write), "links")
-            scratch.drop("texts")
-            tried = fresh if tried is None else tried.union(fresh)
-            links = found if links is None else links.union(found)
-            grouped = components(links, write)
-
-        labelled = classes.select("k1", "k2", "n", "rep").join(grouped.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+        shared = write(exploded.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("sig"), "ngram-shared")
+        members = write(thin_out(exploded, "sig", shared).join(shared, "sig").select("sig", "k1").distinct(), "ngram-members")
+        tried = write(sketch_filter(stars(members), classes, percent), "ngram-stars")
+        links = write(verify(tried, docs, id_col, text_col, n, percent, write), "ngram-links")
+        grouped = components(links, write)
+
+        placed = members.join(grouped.withColumnRenamed("node", "k1"), "k1", "left").select("sig", "k1", F.coalesce("component", "k1").alias("component"))
+        open_sigs = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("sig", "size")
+        undecided = placed.join(open_sigs, "sig").join(classes.select("k1", "n", *SKETCH), "k1")
+        fresh = across(undecided, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        more = write(verify(sketch_filter(fresh, classes, percent), docs, id_col, text_col, n, percent, write), "ngram-more")
+        final = components(links.union(more), write)
+
+        labelled = classes.select("k1", "k2", "n", "rep").join(final.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
         smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-        answer = labelled.join(smallest, "component").select("k1", "k2", "n", "component_id")
+        answer = write(labelled.join(smallest, "component").select("k1", "k2", "n", "component_id"), "ngram-answer")
+        out = signed.select("_id", "n", "k1", "k2").join(answer, ["k1", "k2", "n"], "left")
         own = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
-        out = rows.join(answer, ["k1", "k2", "n"], "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
-        return materialize(out, "ngram-answer")
+        return materialize(out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")), "ngram-result")
