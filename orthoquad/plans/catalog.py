@@ -167,12 +167,16 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixel_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn a drawn frame and its points; ``agree`` tells whether each point's pixel moved with it."""
-    rows = quads(spark, sf_dir).where("event_id < 200").withColumn("image", F.col("event_id").cast("string"))
-    blank = F.repeat(F.lit("\x00"), 320 * 240).cast("binary")
-    framed = rows.select("image", "corners", "width", "height", F.lit(1).alias("channels"), blank.alias("data"))
+    """Turn all frames, each with its corners marked 1 to 4, and their points; ``agree`` tells whether each point's mark moved with it."""
+    rows = quads(spark, sf_dir).withColumn("image", F.col("event_id").cast("string"))
+    drawn = F.repeat(F.lit("\x00"), 320 * 240).cast("binary")
+    at = lambda i: F.col("corners")[i][1] * F.col("width") + F.col("corners")[i][0] + 1
+    for i in range(4):
+        drawn = F.overlay(drawn, F.lit(bytes([i + 1])), at(i))
+    framed = rows.select("image", "corners", "width", "height", F.lit(1).alias("channels"), drawn.alias("data"))
     turned = pixels.rotate_landscape(framed)
-    return turned.select("image", "width", "height", g.flatten_corners("corners").alias("corners"), F.octet_length("data").alias("bytes"))
+    moved = [F.col("data").substr(at(i), F.lit(1)) == F.lit(bytes([i + 1])) for i in range(4)]
+    return turned.select("image", "width", "height", g.flatten_corners("corners").alias("corners"), F.octet_length("data").alias("bytes"), (moved[0] & moved[1] & moved[2] & moved[3]).alias("agree"))
 
 
 def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orthoquad.operators import dataset, pixels, synthetic
+from orthoquad.plans import catalog
 from orthoquad.sources import annotations, checkpoints, images, jpeg, sinks
 from orthoquad.streaming.ingest import ingest
 
@@ -95,6 +96,16 @@ def test_pixels_turn_with_points(spark):
     assert pixels.visualize(frame).first().content[:2] == b"\xff\xd8"
 
 
+def test_pixel_rotate_turns_every_event(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    got = catalog.pixel_rotate(spark, sf).collect()
+    want = {str(r.event_id): r.ordered_corners for r in catalog.rotate_corners_bbox(spark, sf).collect()}
+    assert len(got) == 1000 and {r.image: r.corners for r in got} == want
+    assert all((r.width, r.height, r.bytes, r.agree) == (240, 320, 76800, True) for r in got)
+    monkeypatch.setattr(pixels, "upright", lambda a: np.rot90(a))
+    assert not any(r.agree for r in catalog.pixel_rotate(spark, sf).collect())
+
+
 def test_checkpoint_shapes(spark, tmp_path):
     class Storage:
         pass
