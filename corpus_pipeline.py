@@ -17,8 +17,6 @@ from orthoquad.llm.common import drop_ids, materialize, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words that packing remembers, few as workers also serve the other stages.
 WORDS = 150_000
-#: Score from which a text is toxic.
-TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop toxic texts."""
-    return toxicity.keep(docs.select(COLUMNS), toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=TOXIC)
+    """Drop the texts that ``op1_toxicity`` predicts as toxic."""
+    return toxicity.keep(docs.select(COLUMNS), toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from .common import held_out, table
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

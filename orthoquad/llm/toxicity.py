@@ -38,6 +38,8 @@ CODES = 512
 #: Bounds of the training sample: texts of each label, and bytes of a text that may enter it.
 SAMPLE_TEXTS = 1500
 SAMPLE_BYTES = 12_000
+#: Score from which a text is toxic.
+TOXIC = 0.3
 #: An update gate this far open leaves the state as it is.
 SHUT = np.float32(30)
 f32 = np.float32
@@ -373,7 +375,7 @@ def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text
     return map_texts(docs, id_col, text_col, "score double", make)
 
 
-def keep(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def keep(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = TOXIC) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all columns."""
 
     def run(batches):

@@ -232,6 +232,15 @@ def test_slices_lose_nothing():
 
 
 # ---- pipeline ------------------------------------------------------------------------------------
+def test_stage_rejects_what_the_operator_predicts_toxic(spark, monkeypatch):
+    network = toxicity.Network.fresh()
+    network.p["w"][:], network.p["b"][:] = 0, np.log(0.4 / 0.6)  # scores 0.4 on any words
+    monkeypatch.setattr(toxicity, "fit", lambda *args: network)
+    predicted = queries.op1_toxicity(spark, SF).groupBy("predicted").count().collect()
+    assert [r.predicted for r in predicted] == [1]
+    assert corpus_pipeline.toxicity_filter(spark, common.table(spark, SF, "documents"), SF).count() == 0
+
+
 def test_stages(spark, monkeypatch):
     train = toxicity.train
     monkeypatch.setattr(toxicity, "train", lambda texts, labels: train(texts, labels, steps=40))
