@@ -177,7 +177,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def sign(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Per row: id, n_shingles, set key k1 and k2, sketch and signatures.
 
-    Signatures are given with the first of a task's equal sets only.
+    Signatures are given with the first of a task's equal sets only, rows with
+    a null id aside: these link with nothing and have none.
     """
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -188,12 +189,13 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
         for part, texts in slices(batches, "_text", 1_000_000):
             sets = ngram_sets(texts, n)
             keys, sketches, sigs = [], np.zeros((len(sets), SKETCH_WORDS), np.int64), []
-            for i, s in enumerate(sets):
+            for i, (s, named) in enumerate(zip(sets, part.column("_id").is_valid().to_pylist(), strict=True)):
                 key = set_key(s)
                 keys.append(key)
                 sketches[i] = sketch(s).view(np.int64)
-                new = len(s) and key not in seen
-                seen.add(key)
+                new = named and len(s) and key not in seen
+                if named:
+                    seen.add(key)
                 sigs.append(signatures(s, percent).view(np.int64) if new else np.zeros(0, np.int64))
             k1, k2 = zip(*keys, strict=True)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]), pa.int32())

@@ -180,6 +180,15 @@ def test_join_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == plain_join(rows, 2, 80)
 
 
+def test_join_links_texts_behind_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(None, " ".join(base)), (1, " ".join(base)), (None, near), (2, near)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_join(rows, 4, 85)
+    assert {r.component_id for r in got if r.doc_id} == {1}
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     lone = ngram_join.join(spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")).collect()
