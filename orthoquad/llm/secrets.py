@@ -46,9 +46,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: From the header through the key to its END line; without one, through the lines of base64 (or runs of 16 or more on one line).
+PEM = (
+    r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----"
+    r"(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END \1-----"
+    r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*+(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}={0,2})*+(?:[ \t]*(?:\r?\n[ \t]*)+[A-Za-z0-9+/]+={0,2}(?=[ \t]*(?:[\r\n]|\Z)))*+)"
+)
 #: Public token formats, added to the base rules.
 EXTRA_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),

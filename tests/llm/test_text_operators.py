@@ -145,6 +145,25 @@ def test_secret_rows(hard, empty):
     assert [r.text for r in clean.collect()][:-1] == [r.text for r in hard.collect()][:-1]
 
 
+def test_redaction_leaves_no_key(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6, "Qk1" * 20 + "wxyz", "c2hvcnQ="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        "\n".join(["see", head, *lines, end, "the end"]): "see\n[PEM]\nthe end",
+        "\r\n".join(["see", head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *lines, end]): "see\r\n[PEM]",
+        "\n".join([head, *lines, "", "and more words"]): "[PEM]\n\nand more words",
+        "\n".join([head, *lines]): "[PEM]",
+        "\n".join([head, "DEK-Info: AES-128-CBC,00FF", "", *lines]): "[PEM]",
+        "\\n".join([head, *lines[:2], end]) + " x": "[PEM] x",
+        " ".join([head, *lines[:2], "then prose"]): "[PEM] then prose",
+        "\n".join([head, lines[0], head, lines[1], end]): "[PEM]\n[PEM]",
+        "\n".join([head, *lines, "-----END PRIVATE KEY-----"]): "[PEM]\n-----END PRIVATE KEY-----",
+        head + " only, no key": "[PEM] only, no key",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()] == list(texts.values())
+
+
 # ---- packing -------------------------------------------------------------------------------
 def test_word_tokens_equal_the_library():
     own = packing.WordTokens(open(WORDS, encoding="utf-8").read(), capacity=20)
