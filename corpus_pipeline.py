@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage but the last returns the columns of ``documents``.  Null and empty
-texts are rejected by the first stage, as they are in no language; rows with a
+texts are rejected by the first stage, as they have no letter; rows with a
 null id are kept by the stages that reject.
 """
 
@@ -20,7 +20,11 @@ WORDS = 150_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts in no language that the network has learned."""
+    """Drop texts without a letter, and those of no clear language.
+
+    A text in a language that was not learned is taken for a learned one and
+    nearly always stays.
+    """
     return langid.keep(docs.select(COLUMNS), langid.fit(docs))
 
 
