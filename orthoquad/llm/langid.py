@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_texts, trim
+from .common import held_out, map_texts, trim
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -162,10 +162,24 @@ def train(texts: list[bytes], labels: list[str], steps: int = 400, batch: int =
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
-    """At most ``texts`` labelled texts outside the held-out fold, of up to ``max_bytes`` bytes, by a hash of the id."""
+    """Labelled texts outside the held-out fold, of up to ``max_bytes`` bytes, by a hash: of each language at most its even share of ``texts``.
+
+    Labels are counted over all labelled rows, so a rare language is learned from a large table too.
+    """
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, max_bytes))
-    rows = bounded_sample(labelled.select(F.col(id_col).alias("k"), F.encode(text_col, "utf-8").alias("t"), F.col(lang_col).alias("l")), "k", texts)
-    return [bytes(r.t) for r in rows], [r.l for r in rows]
+    rows = labelled.select(F.col(id_col).alias("k"), F.encode(text_col, "utf-8").alias("t"), F.col(lang_col).alias("l"))
+    counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
+    if not counts:
+        return [], []
+    each, bits = max(1, texts // len(counts)), 1 << 30
+    share = F.create_map(*(F.lit(x) for l, n in counts.items() for x in (l, min(bits, int(bits * (each + 4 * each**0.5) / n) + 1))))
+    hashed = F.xxhash64("k", "t", "l")
+    found = rows.withColumn("_hash", hashed).where(F.pmod("_hash", F.lit(bits)) < share[F.col("l")]).collect()
+    by_label: dict[str, list] = {l: [] for l in sorted(counts)}
+    for r in sorted(found, key=lambda r: (r["_hash"], *map(repr, r))):
+        if len(by_label[r.l]) < each:
+            by_label[r.l].append(bytes(r.t))
+    return [t for own in by_label.values() for t in own], [l for l, own in by_label.items() for _ in own]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> ByteCnn:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from orthoquad.llm import bpe, langid, packing, quality, secrets, token_counts, toxicity
+from orthoquad.llm import bpe, common, langid, packing, quality, secrets, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -292,6 +292,14 @@ def test_quality_plan_is_native(hard):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_sample_holds_rare_languages(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "rare" if i % 400 == 0 else "common") for i in range(4000)], "doc_id bigint, text string, lang string")
+    rare = docs.where("lang = 'rare'").where(~common.held_out("doc_id")).count()
+    texts, labels = langid.sample(docs, "doc_id", "text", "lang", texts=20)
+    assert 0 < rare <= 10 and (labels.count("common"), labels.count("rare")) == (10, rare) and len(set(texts)) == len(texts)
+    assert langid.sample(docs, "doc_id", "text", "lang", texts=20) == langid.sample(docs.repartition(7), "doc_id", "text", "lang", texts=20)
+
+
 # ---- trained networks ------------------------------------------------------------------------------
 def test_language_by_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
