@@ -9,28 +9,33 @@ of these some n2 - k2 parts agree: so a similar pair shares the signature of
 that subset of parts.  A subset without elements says nothing, and is a
 signature only of sets so sparse that they might have no other to share.
 
-Equal sets are one class.  Classes that share a signature are compared with
-a few of its classes first; verified links are joined into
-components; then only signatures whose classes lie in several components are
-looked into, in blocks, by comparing parity sketches, which bound the symmetric
-difference from below.  What remains is verified on whole texts.  Pairs inside
-a component are never enumerated, so a group of copies costs its size.
+Equal sets are one class.  Each signature elects one of its classes, and the
+classes that share the elected one's signatures form a bundle; a bundle is cut
+into pieces of bounded size.  A piece first compares parity sketches, which
+bound the symmetric difference from below, and names the classes that have a
+possible partner; then the texts of these alone are sent to the piece, once per
+class, and it links them through a union-find, so that a piece emits no more
+links than it has classes, however alike they are.  Links join classes into
+components, and only signatures whose classes lie in several components go on.
+After some rounds of this kind the last one is exhaustive: the bundle is the
+largest component of a signature, and all its guests are compared with all its
+members and with each other.
 
 Null and empty texts and texts without words have empty sets and link with
-nothing; a text of fewer words than n is one n-gram.  Rows with a null id get
-a null component and link with nothing.  Rows that share an id are one node.
+nothing, but for other rows of their id; a text of fewer words than n is one n-gram.  Rows with a null id get
+a null component and link with nothing.  Rows that share an id are one node,
+whatever their texts.
 Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, materialize, slices, thin_out
@@ -40,10 +45,17 @@ SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 #: Up to this k, a range has 4 parts of which 3 make a signature; beyond it, ranges are whole.
 SUBSETS_UP_TO = 26
-#: Classes of a signature with which its others are compared first.
-CENTRES = 4
-#: Classes of one signature that are compared in one piece of work.
-BLOCK = 2048
+#: Rounds in which bundles are cut into slices that each see the elected class, before the exhaustive one.
+ROUNDS = 1
+#: Classes and shingles of a block; a piece of work holds two blocks at most.
+BLOCK = 1024
+BLOCK_SHINGLES = 2_000_000
+#: What names a piece, and what its rows say of themselves.
+PIECE = ["bundle", "_i", "_j"]
+ROLE = ["_whole", "_own", "k1", "component", "n"]
+#: Bytes of text that are hashed together, and equal sets that a task remembers.
+SPAN = 1 << 20
+SEEN = 1 << 20
 
 _rng = np.random.default_rng(20240601)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -61,29 +73,55 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    out = np.full(n, BASE_INVERSE if inverse else BASE, U)
+def _powers(inverse: bool) -> np.ndarray:
+    out = np.full(SPAN + 1, BASE_INVERSE if inverse else BASE, U)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def _upto(n: int) -> int:
-    return 1 << max(16, (n - 1).bit_length())
+def _spans(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cut bytes behind white space into spans of at most ``SPAN`` bytes; a longer word is a span of its own."""
+    at = 0
+    while at < len(raw):
+        end = min(at + SPAN, len(raw))
+        while end < len(raw) and not SPACE[raw[end - 1]]:
+            back = np.flatnonzero(SPACE[raw[max(at, end - 4096) : end]])
+            if len(back):
+                end = max(at, end - 4096) + int(back[-1]) + 1
+            elif end - 4096 > at:
+                end -= 4096
+            else:  # no white space in reach
+                ahead = np.flatnonzero(SPACE[raw[at + SPAN :]])
+                end = at + SPAN + int(ahead[0]) + 1 if len(ahead) else len(raw)
+        yield at, end
+        at = end
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of lower-case bytes starts, and its hash: a polynomial in its bytes, mixed."""
+    starts, hashes = [], []
+    for a, b in _spans(raw):
+        piece = raw[a:b]
+        edge = np.flatnonzero(np.diff(SPACE[piece], prepend=True, append=True))
+        start, stop = edge[::2], edge[1::2]
+        if len(piece) <= SPAN:
+            powers, back = _powers(False)[: len(piece)], _powers(True)[start]
+        else:
+            powers = np.full(len(piece), BASE, U)
+            powers[0] = 1
+            powers, back = np.multiply.accumulate(powers), np.array([pow(int(BASE_INVERSE), int(x), 1 << 64) for x in start], U)
+        total = np.zeros(len(piece) + 1, U)
+        np.cumsum(BYTE[piece] * powers, out=total[1:])
+        starts.append(start + a)
+        hashes.append(mix((total[stop] - total[start]) * back + (stop - start).astype(U)))
+    return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, U), *hashes])
 
 
 def ngram_sets(texts: list, n: int) -> list[np.ndarray]:
     """Per text, its set as ascending hashes; A-Z are lower-cased and words end at ASCII white space."""
-    blob = b"\n".join((t or "").encode("utf-8", "surrogatepass") for t in texts).lower()
-    raw = np.frombuffer(blob + b"\n", np.uint8)
-    space = SPACE[raw]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    start, stop = edge[::2], edge[1::2]
-    sizes = np.fromiter((len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts), np.int64, len(texts))
-    size = _upto(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(BYTE[raw] * _powers(size, False)[: len(raw)], out=total[1:])
-    word = mix((total[stop] - total[start]) * _powers(size, True)[start] + (stop - start).astype(U))
-    bounds = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
+    encoded = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    start, word = word_hashes(np.frombuffer(b"\n".join([*encoded, b""]), np.uint8))
+    bounds = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in encoded])]))
     if len(word) >= n:
         gram = word[: len(word) - n + 1].copy()
         for j in range(1, n):
@@ -94,10 +132,10 @@ def ngram_sets(texts: list, n: int) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(gram[a : b - n + 1]))
         elif b > a:
-            short = U(b - a)
-            for w in word[a:b]:
-                short = short * BASE + w
-            out.append(mix(np.array([short ^ SALTS[3]], U)))
+            short = np.array([b - a], U)
+            for i in range(a, b):
+                short = short * BASE + word[i : i + 1]
+            out.append(mix(short ^ SALTS[3]))
         else:
             out.append(np.zeros(0, U))
     return out
@@ -174,15 +212,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def named_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text and _row, a hash of the text: rows that share both _id and _row are alike."""
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_row", F.xxhash64("_text"))
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """Per row: id, n_shingles, set key k1 and k2, sketch and signatures.
+    """Per row: id, a hash of the text, n_shingles, set key k1 and k2, sketch and signatures.
 
     Signatures are given with the first of a task's equal sets only, rows with
     a null id aside: these link with nothing and have none.
     """
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    picked = named_texts(docs, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    fields = ["_id", "n", "k1", "k2", *SKETCH, "sigs"]
+    fields = ["_id", "_row", "n", "k1", "k2", *SKETCH, "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -194,80 +237,247 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
                 keys.append(key)
                 sketches[i] = sketch(s).view(np.int64)
                 new = named and len(s) and key not in seen
-                if named:
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(key)
                 sigs.append(signatures(s, percent).view(np.int64) if new else np.zeros(0, np.int64))
             k1, k2 = zip(*keys, strict=True)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]), pa.int32())
-            columns = [part.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
+            columns = [part.column("_id"), part.column("_row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
             columns += [pa.array(sketches[:, j]) for j in range(SKETCH_WORDS)]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sigs)))], names=fields)
 
-    kinds = ["bigint"] * (3 + SKETCH_WORDS)
+    kinds = ["bigint"] * (4 + SKETCH_WORDS)
     return picked.mapInArrow(run, f"_id {id_type}, " + ", ".join(f"{f} {k}" for f, k in zip(fields[1:-1], kinds, strict=True)) + ", sigs array<bigint>")
 
 
-def most_apart(na: Column, nb: Column, percent: int) -> Column:
-    return F.floor((100 - percent) * (na + nb) / (100 + percent))
+def open_signatures(members: DataFrame, exhaustive: bool, salt: int) -> DataFrame:
+    """sig and home of the signatures whose classes lie in several components.
+
+    The home is the class with the least hash, or, if ``exhaustive``, the
+    component with the most classes.  Hot signatures are counted before a shuffle.
+    """
+    counts = members.groupBy("sig", "component").agg(F.count("*").alias("c"), F.min_by("k1", F.xxhash64("k1", F.lit(salt))).alias("k1"))
+    order = F.col("c") * (1 << 20) + F.pmod(F.xxhash64("component"), F.lit(1 << 20))
+    home = F.max_by("component", order) if exhaustive else F.min_by("k1", F.xxhash64("k1", F.lit(salt)))
+    return counts.groupBy("sig").agg(F.count("*").alias("m"), home.alias("home")).where("m > 1").select("sig", "home")
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each signature's classes with ``CENTRES`` of its classes.
+def bundles(elected: DataFrame, classes: DataFrame, exhaustive: bool, salt: int) -> DataFrame:
+    """One row per class and bundle with the signatures that they share; ``elected``: sig, home, k1 and component.
 
-    One centre might be an outlier of its signature; then no links would be
-    found among the others, and all of these would have to be looked into.
+    If ``exhaustive``, a class joins the bundles of all its signatures' homes;
+    else that of the home with the least hash, and its own.
+    """
+    own = elected.groupBy("k1").agg(F.first("component").alias("component"), F.min_by("home", F.xxhash64("home", F.lit(salt))).alias("_best"), F.collect_list(F.struct("home", "sig")).alias("_all"))
+    homes = F.transform("_all", lambda x: x["home"])
+    if not exhaustive:
+        homes = F.filter(F.array("_best", "k1"), lambda h: F.array_contains(homes, h))
+    spread = own.withColumn("bundle", F.explode(F.array_distinct(homes)))
+    shared = F.transform(F.filter("_all", lambda x: x["home"] == F.col("bundle")), lambda x: x["sig"])
+    at_home = F.col("component") == F.col("bundle") if exhaustive else F.col("k1") == F.col("bundle")
+    return spread.select("bundle", at_home.alias("_home"), "k1", "component", shared.alias("sigs")).join(classes.drop("k2"), "k1")
+
+
+def deal(rows: DataFrame, exhaustive: bool, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Cut bundles into pieces of two blocks at most: bundle, _i, _j, _whole and _own beside the columns of ``rows``.
+
+    Slices hold the elected class and a block of the others.  In the exhaustive
+    round each block of a home's guests meets each block of the home and each
+    other block of guests; members of the home aren't compared with each other.
+    Where _whole is 0, only rows that differ in _own are to be compared.
     """
-    centres = members.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by("k1", F.xxhash64("k1", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
-    pairs = members.select("sig", "k1").join(centres, "sig").select("k1", F.explode("centres").alias("c")).where("k1 <> c")
-    return pairs.select(F.least("k1", "c").alias("a"), F.greatest("k1", "c").alias("b")).distinct()
+    weight = 1 / BLOCK + F.col("n") / BLOCK_SHINGLES
+    count = lambda home: F.ceil(F.sum(F.when(F.col("_home") == F.lit(home), weight))).cast("int")
+    sizes = rows.groupBy("bundle").agg(F.count("*").alias("_size"), count(True).alias("_homes"), count(False).alias("_guests")).where("_size > 1 AND _guests > 0").drop("_size")
+    placed = rows.join(write(sizes, "ngram-sizes"), "bundle").withColumn("_homes", F.greatest("_homes", F.lit(1)))
+    block = lambda blocks: F.pmod(F.xxhash64("k1", F.lit(7)), F.col(blocks)).cast("int")
+    upto = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    piece = lambda i, j, whole, own: F.struct(i.cast("int").alias("_i"), j.cast("int").alias("_j"), whole.cast("int").alias("_whole"), own.cast("int").alias("_own"))
+    if exhaustive:
+        home = F.transform(upto("_guests"), lambda j: piece(block("_homes"), j, block("_homes") == 0, F.lit(0)))
+        guest = F.transform(upto("_homes"), lambda i: piece(i, block("_guests"), i == 0, F.lit(1)))
+        others = F.filter(upto("_guests"), lambda j: j != block("_guests"))
+        crossing = F.transform(others, lambda j: piece(F.col("_homes") + F.least(j, block("_guests")), F.greatest(j, block("_guests")), F.lit(0), block("_guests")))
+        guest = F.concat(guest, crossing)
+    else:
+        home = F.transform(upto("_guests"), lambda i: piece(i, F.lit(0), F.lit(1), F.lit(0)))
+        guest = F.array(piece(block("_guests"), F.lit(0), F.lit(1), F.lit(0)))
+    return placed.withColumn("_p", F.explode(F.when(F.col("_home"), home).otherwise(guest))).select("*", "_p.*").drop("_p", "_home", "_homes", "_guests")
 
 
-def sketch_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that sizes and sketches don't rule out, with their documents."""
-    side = lambda x: classes.select(F.col("k1").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), *(F.col(s).alias(f"{x}_{s}") for s in SKETCH))
-    apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart <= most_apart(F.col("a_n"), F.col("b_n"), percent))
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b", "a_rep", "b_rep")
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
-    """Of pairs (a, b, a_rep, b_rep), the (a, b) whose texts are similar; reads the texts of these documents only."""
-    pairs = write(pairs, "ngram-pairs")
-    wanted = pairs.select(F.col("a_rep").alias("_id")).union(pairs.select("b_rep")).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    texts = write(thin_out(rows, "_id", wanted).join(wanted, "_id", "left_semi"), "ngram-texts")
-    side = lambda x: texts.select(F.col("_id").alias(f"{x}_rep"), F.col("_text").alias(f"{x}_text"))
-    full = pairs.join(side("b"), "b_rep").join(side("a"), "a_rep").select("a", "b", "a_text", "b_text")
+def whole_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Sorted rows as tables of whole pieces, with the bounds of the pieces."""
+    carry: list[pa.RecordBatch] = []
+    for batch in _with_end(batches):
+        held = carry + ([batch] if batch is not None and batch.num_rows else [])
+        if not held:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = np.stack([table.column(c).to_numpy() for c in PIECE], axis=1)
+        bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        if batch is None:
+            bounds.append(len(keys))
+        carry = table.slice(bounds[-1]).to_batches()
+        if len(bounds) > 1:
+            yield table.slice(0, bounds[-1]).combine_chunks(), bounds
+
+
+def comparable(whole: np.ndarray, own: np.ndarray, component: np.ndarray, n: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Which rows of a piece row ``i`` may be linked to."""
+    sized = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+    return (component != component[i]) & sized & ((own != own[i]) | (whole[0] == 1))
+
+
+def partnered(whole, own, component, n, bits: np.ndarray, sigs: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which rows share a signature with another that sketches don't rule out."""
+    m = len(n)
+    found = np.zeros(m, bool)
+    names, owner = np.concatenate(sigs), np.repeat(np.arange(m), [len(s) for s in sigs])
+    order = np.argsort(names, kind="stable")
+    names, owner = names[order], owner[order]
+    cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+    shared = np.zeros((m, m), bool)
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)], strict=True):
+        if b - a > 1:
+            shared[np.ix_(owner[a:b], owner[a:b])] = True
+    for i in np.flatnonzero(shared.any(axis=1)):
+        near = np.flatnonzero(shared[i, i + 1 :] & comparable(whole, own, component, n, i, percent)[i + 1 :]) + i + 1
+        if found[i]:
+            near = near[~found[near]]
+        if len(near):
+            most = (100 - percent) * (n[near] + n[i]) // (100 + percent)
+            near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1) <= most]
+            if len(near):
+                found[i] = found[near] = True
+    return found
+
+
+def candidates(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows of each piece that have a possible partner in it, without sketches and signatures."""
+    fields = [*PIECE, *ROLE, "_id", "_row"]
+    id_type = dealt.schema["_id"].dataType.simpleString()
+    columns = [*fields, *SKETCH, "sigs"]
+    sorted_rows = dealt.select(*columns).repartition(*PIECE).sortWithinPartitions(*PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[str, np.ndarray] = OrderedDict()
+        for table, bounds in whole_pieces(batches):
+            role = [table.column(c).to_numpy() for c in ROLE if c != "k1"]
+            bits = np.stack([table.column(s).to_numpy() for s in SKETCH], axis=1).view(U)
+            lists = table.column("sigs").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            names, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            keep = np.zeros(table.num_rows, bool)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a > 1:
+                    sigs = [names[x:y] for x, y in zip(at[a:b].tolist(), at[a + 1 : b + 1].tolist(), strict=True)]
+                    keep[a:b] = partnered(*(x[a:b] for x in role), bits[a:b], sigs, percent)
+            yield from table.select(fields).filter(pa.array(keep)).to_batches()
 
-        def of(text: str) -> np.ndarray:
-            if text not in known:
-                known[text] = ngram_sets([text], n)[0]
-                if len(known) > 64:
-                    known.popitem(last=False)
-            return known[text]
+    kinds = ["bigint", "int", "int", "int", "int", "bigint", "bigint", "bigint", id_type, "bigint"]
+    return sorted_rows.mapInArrow(run, ", ".join(f"{f} {k}" for f, k in zip(fields, kinds, strict=True)))
 
-        for batch in batches:
-            for part, others in slices([batch], "b_text"):
-                same = [similar(of(t.as_py()), of(o), percent) for t, o in zip(part.column("a_text"), others, strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    return full.mapInArrow(run, "a bigint, b bigint").distinct()
+def spanning(sets: list[np.ndarray], whole, own, component, percent: int) -> list[tuple[int, int]]:
+    """Links between similar sets, as pairs of rows: just enough to join all that similarity joins.
+
+    Rows compared, but for a first one, are those of small components first, so
+    that the many of a large one need not be compared with one another.
+    """
+    m, n = len(sets), np.array([len(s) for s in sets])
+    label = np.unique(component, return_inverse=True)[1]
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    done, out = np.zeros(m, bool), []
+
+    def compare(i: int) -> None:
+        near = np.flatnonzero(comparable(whole, own, label, n, i, percent) & ~done)
+        done[i] = True
+        if len(near) > 4:
+            low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            count = high - low
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            common = np.bincount(owner[at], minlength=m)[near]
+            near = near[100 * common >= percent * (n[near] + n[i] - common)]
+        else:
+            near = [j for j in near if similar(sets[i], sets[j], percent)]
+        for j in near:
+            if label[i] != label[j]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+
+    sizes = np.bincount(label)[label]
+    compare(int(sizes.argmax()))
+    for i in np.argsort(np.bincount(label, minlength=m)[label], kind="stable").tolist():
+        if not done[i]:
+            compare(i)
+    return out
+
+
+def verify(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between the classes of each piece; fetches the texts of these classes only, once per row of ``found``.
+
+    A piece gives fewer links than it has classes.
+    """
+    name = F.xxhash64("_id", "_row")
+    wanted = found.select("_id", "_row").distinct().select(name.alias("_name"))
+    rows = thin_out(named_texts(docs, id_col, text_col).withColumn("_name", name), "_name", wanted).drop("_name")
+    texts = rows.dropDuplicates(["_id", "_row"])
+    fields = [*PIECE, *(c for c in ROLE if c != "n"), "_text"]
+    dealt = texts.join(found, ["_id", "_row"]).select(*fields).repartition(*PIECE).sortWithinPartitions(*PIECE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        last = None
+
+        def links() -> pa.RecordBatch:
+            keys = list(held)
+            whole, own, component = (np.array(x) for x in zip(*(held[k][1:] for k in keys), strict=True))
+            pairs = spanning([held[k][0] for k in keys], whole, own, component, percent) if len(keys) > 1 else []
+            a, b = [keys[i] for i, _ in pairs], [keys[j] for _, j in pairs]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for part, texts in slices(batches, "_text", SPAN):
+            sets = ngram_sets(texts, n)
+            pieces, role = (zip(*(part.column(c).to_pylist() for c in names), strict=True) for names in (PIECE, ["k1", "_whole", "_own", "component"]))
+            for piece, (k1, *rest), s in zip(pieces, role, sets, strict=True):
+                if piece != last and held:
+                    yield links()
+                    held.clear()
+                last = piece
+                if set_key(s)[0] == k1:
+                    held[k1] = (s, *rest)
+        if held:
+            yield links()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def same_id(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id."""
+    shared = nodes.groupBy("_id").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("_id", "a")
+    return nodes.select("_id", F.col("k1").alias("b")).join(shared, "_id").where("a <> b").select("a", "b").distinct()
 
 
 def components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """(node, component) of all nodes of ``links`` (a, b): the smallest node reachable.
 
     Alternates large-star and small-star steps until nothing changes; each step
-    is written to the shared folder.
+    is written to the shared folder, and so are the least neighbours, for a join
+    whose hot node can be split.
     """
     edges = write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -279,64 +489,6 @@ def components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame] =
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a signature that sizes and sketches don't rule out.
-
-    ``members``: sig, size (classes of the signature), k1, component, n and
-    sketch.  A signature of many classes is cut into blocks, and each pair of
-    blocks is a piece of work of its own, so none exceeds about 2 * BLOCK rows.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumn("_own", F.pmod(F.xxhash64("k1"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("sig", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "k1", "component", "n", *SKETCH)
-    dealt = rows.repartition("sig", "_i", "_j").sortWithinPartitions("sig", "_i", "_j")
-
-    def compare(own, k1, component, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        crossing = own.min() != own.max()
-        for i in range(len(k1) - 1):
-            rest = slice(i + 1, None)
-            most = (100 - percent) * (n[rest] + n[i]) // (100 + percent)
-            ok = (component[rest] != component[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if crossing:
-                ok &= own[rest] != own[i]
-            if ok.any():
-                near = np.flatnonzero(ok)
-                near = near[np.bitwise_count(bits[rest][near] ^ bits[i]).sum(axis=1) <= most[near]]
-                if len(near):
-                    yield np.full(len(near), k1[i]), k1[rest][near]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                table = np.stack([batch.column(c).to_numpy() for c in ["sig", "_i", "_j", "_own", "k1", "component", "n", *SKETCH]], axis=1)
-                table = table if carry is None else np.concatenate([carry, table])
-            else:
-                table = carry
-            if table is None or not len(table):
-                continue
-            cuts = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist(), *([len(table)] if batch is None else [])]
-            carry = table[bounds[-1] :]
-            left, right = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                g = table[a:b]
-                if b - a > 1:
-                    for x, y in compare(g[:, 3], g[:, 4], g[:, 5], g[:, 6], np.ascontiguousarray(g[:, 7:]).view(U)):
-                        left.append(np.minimum(x, y))
-                        right.append(np.maximum(x, y))
-            if left:
-                both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
-
-
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles and component_id (the smallest id reachable by links).
 
@@ -346,24 +498,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         write = scratch.write
         signed = write(sign(docs, id_col, text_col, n, percent), "ngram-sets")
         nodes = signed.where(F.col("_id").isNotNull() & (F.col("n") > 0))
-        classes = write(nodes.groupBy("k1", "k2", "n").agg(F.min("_id").alias("rep"), *(F.min(s).alias(s) for s in SKETCH)), "ngram-classes")
+        classes = write(nodes.groupBy("k1", "k2", "n").agg(F.min("_id").alias("_id"), F.min_by("_row", "_id").alias("_row"), *(F.min(s).alias(s) for s in SKETCH)), "ngram-classes")
         exploded = nodes.select("k1", F.explode("sigs").alias("sig"))
         shared = write(exploded.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("sig"), "ngram-shared")
         members = write(thin_out(exploded, "sig", shared).join(shared, "sig").select("sig", "k1").distinct(), "ngram-members")
-        tried = write(sketch_filter(stars(members), classes, percent), "ngram-stars")
-        links = write(verify(tried, docs, id_col, text_col, n, percent, write), "ngram-links")
-        grouped = components(links, write)
-
-        placed = members.join(grouped.withColumnRenamed("node", "k1"), "k1", "left").select("sig", "k1", F.coalesce("component", "k1").alias("component"))
-        open_sigs = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("sig", "size")
-        undecided = placed.join(open_sigs, "sig").join(classes.select("k1", "n", *SKETCH), "k1")
-        fresh = across(undecided, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = write(verify(sketch_filter(fresh, classes, percent), docs, id_col, text_col, n, percent, write), "ngram-more")
-        final = components(links.union(more), write)
-
-        labelled = classes.select("k1", "k2", "n", "rep").join(final.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-        smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-        answer = write(labelled.join(smallest, "component").select("k1", "k2", "n", "component_id"), "ngram-answer")
-        out = signed.select("_id", "n", "k1", "k2").join(answer, ["k1", "k2", "n"], "left")
+        links = write(same_id(nodes), "ngram-same-id")
+        grouped = None
+        for salt in range(ROUNDS + 1):
+            exhaustive = salt == ROUNDS
+            placed = members.withColumn("component", F.col("k1")) if grouped is None else write(members.join(grouped.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1")), "ngram-placed")
+            elected = placed.join(write(open_signatures(placed, exhaustive, salt), "ngram-homes"), "sig")
+            rows = write(bundles(elected, classes, exhaustive, salt), "ngram-bundles")
+            found = write(candidates(deal(rows, exhaustive, write), percent), "ngram-candidates")
+            links = links.union(write(verify(found, docs, id_col, text_col, n, percent), "ngram-links"))
+            grouped = components(links, write)
+
+        labelled = write(classes.select("k1", "k2", "n", "_id").join(grouped.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1")), "ngram-labelled")
+        smallest = write(labelled.groupBy("component").agg(F.min("_id").alias("component_id")), "ngram-smallest")
+        answer = write(labelled.drop("_id").join(smallest, "component").select("k1", "k2", "n", "component_id"), "ngram-answer")
+        rows = signed.select("_id", "n", "k1", "k2")
+        empty = rows.where("n = 0").select("_id", "n")
+        ids = write(empty.select("_id").where("_id IS NOT NULL").distinct(), "ngram-empty")
+        lent = thin_out(nodes.select("_id", "n", "k1", "k2"), "_id", ids).join(ids, "_id").join(answer, ["k1", "k2", "n"]).groupBy("_id").agg(F.min("component_id").alias("component_id"))
+        out = rows.where("n > 0").join(answer, ["k1", "k2", "n"], "left").select("_id", "n", "component_id").union(empty.join(lent, "_id", "left").select("_id", "n", "component_id"))
         own = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
         return materialize(out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")), "ngram-result")

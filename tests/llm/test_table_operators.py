@@ -172,7 +172,6 @@ def test_join_equals_all_pairs(spark, n, percent):
 
 def test_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "CENTRES", 1)
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(base[: int(rng.integers(40, 60))] + list(rng.choice(base, int(rng.integers(0, 6)))))) for i in range(60)]
@@ -189,6 +188,80 @@ def test_join_links_texts_behind_null_ids(spark):
     assert {r.component_id for r in got if r.doc_id} == {1}
 
 
+def test_join_takes_rows_of_an_id_for_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(0, a), (5, a), (5, b), (7, b + " more"), (7, ""), (8, "alone"), (None, b), (5, b), (5, b.upper())]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_join(rows, 4, 85)
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 5: 0, 7: 0, 8: 8, None: None}
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(40)), " ".join(str(int(rng.integers(9))) + x for x in a.split()[: int(rng.integers(1, 6))])) for _ in range(120)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_join(rows, 4, 85)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_join_of_a_large_group_with_outliers(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rng = np.random.default_rng(rounds)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(260):
+        near = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 10)), replace=False):
+            near[at] = f"x{int(rng.integers(10**6))}"
+        rows.append((i, " ".join(near)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = ngram_join.join(frame, n=5, percent=80).collect()
+    want = plain_join(rows, 5, 80)
+    assert sorted(map(tuple, got), key=repr) == want and 10 < len({c for _, _, c in want}) < 200
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 40), st.sampled_from([50, 80]), st.booleans())
+def test_spanning_links_join_all_that_similarity_joins(seed, m, percent, whole):
+    rng = np.random.default_rng(seed)
+    base = np.arange(1, 41, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(40) < 0.85], rng.integers(100, 10**6, int(rng.integers(0, 9)), dtype=np.uint64)])) for _ in range(m)]
+    own, component = rng.integers(0, 2, m), rng.integers(0, max(1, m // 2), m)
+
+    def groups(pairs):
+        label = component.copy()
+        for i, j in pairs:
+            label[label == label[j]] = label[i]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    allowed = lambda i, j: whole or own[i] != own[j]
+    true = [(i, j) for i in range(m) for j in range(i) if allowed(i, j) and ngram_join.similar(sets[i], sets[j], percent)]
+    found = ngram_join.spanning(sets, np.full(m, int(whole)), own, component, percent)
+    assert len(found) < m and all(ngram_join.similar(sets[i], sets[j], percent) for i, j in found)
+    assert groups(found) == groups(true)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aB \n\té")), max_size=400), st.integers(1, 5))
+def test_sets_do_not_depend_on_spans(text, n):
+    texts = [text, None, text * 3, "x" * 100]
+    want = ngram_join.ngram_sets(texts, n)
+    span = ngram_join.SPAN
+    try:
+        for ngram_join.SPAN in (1, 7, 64):
+            ngram_join._powers.cache_clear()
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(want, ngram_join.ngram_sets(texts, n), strict=True))
+    finally:
+        ngram_join.SPAN = span
+        ngram_join._powers.cache_clear()
+    assert [len(s) for s in want] == [len(grams(t, n)) for t in texts]
+
+
+def test_sets_of_very_long_texts():
+    long = " ".join(f"word{i}" for i in range(400_000))  # more than one span
+    assert len(long) > 3 * ngram_join.SPAN
+    a, b, c = ngram_join.ngram_sets([long, long + " end", "y" * (2 * ngram_join.SPAN) + " z"], 4)
+    assert (len(a), len(b), len(c)) == (399_997, 399_998, 1) and ngram_join.similar(a, b, 99)
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     lone = ngram_join.join(spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")).collect()
