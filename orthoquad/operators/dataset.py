@@ -29,8 +29,9 @@ def from_polygons(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def assign_split(key: Column | str, train: int = 90, val: int = 5) -> Column:
-    """Split by a hash of ``key``, in hundredths; the rest is test."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(100))
+    """Split by the first 32 bits of the MD5 of ``key`` as text, in hundredths; the rest is test."""
+    own = F.col(key) if isinstance(key, str) else key
+    bucket = F.conv(F.substring(F.md5(own.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
     return F.when(bucket < train, SPLITS[0]).when(bucket < train + val, SPLITS[1]).otherwise(SPLITS[2])
 
 
@@ -43,19 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.select(*FIELDS)
 
 
-def turn(df: DataFrame, turns: Column | int, corners: str = "corners", width: str = "width", height: str = "height") -> DataFrame:
-    """Augment by clockwise quarter turns (0 to 3); points keep their identity."""
-    t = F.pmod(turns if isinstance(turns, Column) else F.lit(turns), F.lit(4))
-    w, h, c = F.col(width), F.col(height), F.col(corners)
-    twice = F.transform(c, lambda p: F.array(w - 1 - p[0], h - 1 - p[1]))
-    new = F.when(t == 1, g.frame(g.rotate_points(c, h), h, w)).when(t == 2, g.frame(twice, w, h)).when(t == 3, g.frame(g.unrotate_points(c, w), h, w)).otherwise(g.frame(c, w, h))
-    return g.replace_frame(df, new, corners, width, height)
+def turned(corners: Column, width: Column, height: Column, turns: Column) -> Column:
+    """struct(c, w, h) after clockwise quarter turns (0 to 3)."""
+    twice = F.transform(corners, lambda p: F.array(width - 1 - p[0], height - 1 - p[1]))
+    once, thrice = g.rotate_points(corners, height), g.unrotate_points(corners, width)
+    return F.when(turns == 1, g.frame(once, height, width)).when(turns == 2, g.frame(twice, width, height)).when(turns == 3, g.frame(thrice, height, width)).otherwise(g.frame(corners, width, height))
 
 
-def affine(corners: Column | str, a: float, b: float, c: float, d: float, dx: float, dy: float) -> Column:
-    """Points under x' = a x + b y + dx, y' = c x + d y + dy."""
-    col = F.col(corners) if isinstance(corners, str) else corners
-    return F.transform(col, lambda p: F.array(a * p[0] + b * p[1] + dx, c * p[0] + d * p[1] + dy))
+def turn(df: DataFrame, turns: Column | int, corners: str = "corners", width: str = "width", height: str = "height") -> DataFrame:
+    """Augment by clockwise quarter turns; points keep their identity.  ``pixels.turn`` also turns the pixels."""
+    t = F.pmod(turns if isinstance(turns, Column) else F.lit(turns), F.lit(4))
+    return g.replace_frame(df, turned(F.col(corners), F.col(width), F.col(height), t), corners, width, height)
 
 
 def evaluate(predicted: DataFrame, truth: DataFrame, key: str = "image") -> DataFrame:

@@ -64,5 +64,4 @@ def detect(rows: DataFrame, threshold: Fraction, min_margin: float | None = None
     if min_margin is not None:
         scored = scored.where(F.col("margin") >= min_margin)
     boxed = scored.withColumn("_points", decode("ordered_corners", decoder)).withColumn("box", g.bbox("_points"))
-    kept = nms(boxed, "image", "prior_id", "margin", threshold)
-    return boxed.join(kept, ["image", "prior_id"]).select("image", "prior_id", "margin", "ordered_corners")
+    return nms(boxed, "image", "prior_id", "margin", threshold, keep=("margin", "ordered_corners"))

@@ -2,29 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions import geometry as g
+SIDES = ("x0", "y0", "x1", "y1")
 
 
-def overlaps(a: Column, b: Column, threshold: Fraction) -> Column:
-    """IoU above n/d, as d * I > n * (A + B - I): exact on integer boxes."""
-    i = g.intersection(a, b)
-    return threshold.denominator * i > threshold.numerator * (g.box_area(a) + g.box_area(b) - i)
+class Kept:
+    """The boxes that an image has kept so far."""
 
+    def __init__(self, kind: np.dtype):
+        self.boxes, self.areas, self.n = np.empty((4, 64), kind), np.empty(64, kind), 0
 
-def nms(candidates: DataFrame, image: str, candidate: str, score: str, threshold: Fraction, box: str = "box") -> DataFrame:
-    """Kept candidates: image and candidate.
+    def offer(self, box: np.ndarray, threshold: Fraction) -> bool:
+        """Keep ``box`` unless it overlaps a kept one too much: IoU above n/d, as d * I > n * (A + B - I), exact on integers."""
+        x0, y0, x1, y1 = box
+        b, area = self.boxes[:, : self.n], (x1 - x0) * (y1 - y0)
+        common = np.maximum(np.minimum(b[2], x1) - np.maximum(b[0], x0), 0) * np.maximum(np.minimum(b[3], y1) - np.maximum(b[1], y0), 0)
+        if (threshold.denominator * common > threshold.numerator * (self.areas[: self.n] + area - common)).any():
+            return False
+        if self.n == len(self.areas):
+            self.boxes, self.areas = np.concatenate([self.boxes, self.boxes], axis=1), np.concatenate([self.areas, self.areas])
+        self.boxes[:, self.n], self.areas[self.n] = box, area
+        self.n += 1
+        return True
+
+
+def nms(candidates: DataFrame, image: str, candidate: str, score: str, threshold: Fraction, box: str = "box", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Kept candidates: image, candidate and the columns ``keep``.
 
     Candidates are taken by falling score, ties by rising id; one is kept unless
-    it overlaps a kept one by more than ``threshold``.  An image has as many
-    candidates as there are priors at most, so its list is bounded.
+    it overlaps a kept one by more than ``threshold``.  Rows of an image come
+    sorted and in batches, and only its kept boxes are held, which overlap
+    little; so an image of any number of candidates needs bounded memory.
     """
-    entry = F.struct((-F.col(score)).alias("s"), F.col(candidate).alias("id"), F.col(box).alias("box"))
-    lists = candidates.groupBy(image).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    none = F.filter("_all", lambda x: F.lit(False))
-    kept = F.aggregate("_all", none, lambda acc, x: F.when(F.exists(acc, lambda k: overlaps(k["box"], x["box"], threshold)), acc).otherwise(F.concat(acc, F.array(x))))
-    return lists.select(image, F.explode(kept).alias("_k")).select(image, F.col("_k.id").alias(candidate))
+    out = candidates.select(image, candidate, *keep).schema
+    whole = all(f.dataType.typeName() in ("integer", "long", "short", "byte") for f in candidates.select(F.col(box)["x0"], F.col(box)["y0"], F.col(box)["x1"], F.col(box)["y1"]).schema)
+    kind = "long" if whole else "double"
+    named = candidates.select(image, candidate, *keep, F.xxhash64(image).alias("_image"), F.col(score).alias("_score"), *(F.col(box)[s].cast(kind).alias(f"_{s}") for s in SIDES))
+    dealt = named.repartition(image).sortWithinPartitions(image, F.desc("_score"), candidate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, Kept(np.dtype(np.int64 if whole else np.float64))
+        for batch in batches:
+            boxes = np.stack([batch.column(f"_{s}").to_numpy() for s in SIDES], axis=1)
+            stays = []
+            for own, row in zip(batch.column("_image").to_pylist(), boxes, strict=True):
+                if own != now:
+                    now, kept = own, Kept(boxes.dtype)
+                stays.append(kept.offer(row, threshold))
+            yield batch.select(out.names).filter(pa.array(stays, pa.bool_()))
+
+    return dealt.mapInArrow(run, StructType(out.fields))

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox, is_landscape, resize_points, rotate_points
 from ..schema import HEIGHT, WIDTH
 from ..sources import jpeg
+from .dataset import turned
 
 FRAME = "image STRING, height INT, width INT, channels INT, data BINARY"
 
@@ -52,6 +53,21 @@ def rotate_landscape(images: DataFrame) -> DataFrame:
     return map_frames(images, upright)
 
 
+def turn(images: DataFrame, turns: Column | int) -> DataFrame:
+    """Turn each image, and its points where it has ``corners``, by the same number of clockwise quarter turns."""
+    t = F.pmod(turns if isinstance(turns, Column) else F.lit(turns), F.lit(4)).cast("int")
+    rows, columns = images.withColumn("_turns", t), images.columns
+    if "corners" in columns:
+        rows = rows.withColumn("corners", turned(F.col("corners"), F.col("width"), F.col("height"), F.col("_turns"))["c"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            new = [np.rot90(_array(r), -k) for r, k in zip(batch.itertuples(), batch["_turns"], strict=True)]
+            yield batch.assign(height=[a.shape[0] for a in new], width=[a.shape[1] for a in new], data=[np.ascontiguousarray(a).tobytes() for a in new])[columns]
+
+    return rows.mapInPandas(run, rows.select(*columns).schema)
+
+
 def fit(images: DataFrame, height: int = HEIGHT, width: int = WIDTH) -> DataFrame:
     """Stretch images to the input size; with ``corners``, points are scaled too."""
     if "corners" in images.columns:
@@ -104,3 +120,29 @@ def encode_jpeg(images: DataFrame) -> DataFrame:
             yield pd.DataFrame({"image": batch["image"], "content": [jpeg.encode(_array(r)[:, :, ::-1]) for r in batch.itertuples()]})
 
     return images.select("image", "height", "width", "channels", "data").mapInPandas(run, "image STRING, content BINARY")
+
+
+def mean_grid(images: DataFrame, rows: int = 2, columns: int = 2) -> DataFrame:
+    """image and means: the mean value of each cell of a grid over the image, row by row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cut = [[float(c.mean()) for r in np.array_split(_array(x), rows) for c in np.array_split(r, columns, axis=1)] for x in batch.itertuples()]
+            yield pd.DataFrame({"image": batch["image"], "means": cut})
+
+    return images.select("image", "height", "width", "channels", "data").mapInPandas(run, "image STRING, means ARRAY<DOUBLE>")
+
+
+def find_outline(images: DataFrame, contrast: int = 100) -> DataFrame:
+    """image and the box around the pixels whose first channel exceeds the others by ``contrast``, as ``outline`` draws it."""
+
+    def box(a: np.ndarray) -> tuple:
+        y, x = np.nonzero(a[:, :, 0].astype(int) - a[:, :, 1:].max(axis=2) > contrast)
+        return (int(x.min()), int(y.min()), int(x.max()), int(y.max())) if len(x) else (None,) * 4
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = pd.DataFrame([box(_array(x)) for x in batch.itertuples()], columns=["x0", "y0", "x1", "y1"], index=batch.index, dtype="Int64")
+            yield found.assign(image=batch["image"])[["image", "x0", "y0", "x1", "y1"]]
+
+    return images.select("image", "height", "width", "channels", "data").mapInPandas(run, "image STRING, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT")

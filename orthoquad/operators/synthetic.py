@@ -49,14 +49,32 @@ def draw(seed: int, width: int = WIDTH, height: int = HEIGHT, background: np.nda
     return image, [(origin + side * p).tolist() for p in (0 * right, right, right + down, down)]
 
 
-def generate(spark: SparkSession, n: int, seed: int = 0, train: int = 90, val: int = 5) -> DataFrame:
-    """``n`` rows of split, annotation fields and decoded pixels; the same for a seed however the work is dealt."""
+def has_marks(image: np.ndarray, corners: list) -> bool:
+    """Whether a light ring and a dark centre lie where the finder marks of P0, P1 and P3 belong."""
+    p = np.stack([np.asarray(c, float) for c in corners])
+    right, down = (p[1] - p[0]) / MODULES, (p[3] - p[0]) / MODULES
+    at = lambda u, v: image[tuple(np.rint(p[0] + u * right + v * down).astype(int)[::-1])].max()
+    low, high = (1.5, 3.5), (MODULES - 1.5, MODULES - 3.5)
+    return all(at(u[0], v[0]) == 255 and at(u[1], v[1]) == 0 for u, v in ((low, low), (high, low), (low, high)))
+
+
+def generate(spark: SparkSession, n: int, seed: int = 0, train: int = 90, val: int = 5, backgrounds: DataFrame | None = None, of: int = 0) -> DataFrame:
+    """``n`` rows of split, annotation fields and decoded pixels; the same for a seed however the work is dealt.
+
+    ``backgrounds`` has decoded images of three channels, numbered by ``index``
+    from 0 to ``of`` - 1; row i is drawn over number i modulo ``of``, at its size.
+    """
+    schema = "id BIGINT, height INT, width INT, channels INT, data BINARY, corners ARRAY<ARRAY<DOUBLE>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            drawn = [draw(seed * 1_000_003 + int(i)) for i in batch["id"]]
+            behind = [np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3) if "data" in batch else None for r in batch.itertuples()]
+            drawn = [draw(seed * 1_000_003 + int(i), *((b.shape[1], b.shape[0]) if b is not None else (WIDTH, HEIGHT)), b) for i, b in zip(batch["id"], behind, strict=True)]
             yield pd.DataFrame({"id": batch["id"], "height": [a.shape[0] for a, _ in drawn], "width": [a.shape[1] for a, _ in drawn], "channels": 3, "data": [a.tobytes() for a, _ in drawn], "corners": [c for _, c in drawn]})
 
-    rows = spark.range(n).mapInPandas(run, "id BIGINT, height INT, width INT, channels INT, data BINARY, corners ARRAY<ARRAY<DOUBLE>>")
+    ids = spark.range(n)
+    if backgrounds is not None:
+        ids = ids.withColumn("index", F.pmod("id", F.lit(of))).join(backgrounds.select(F.col("index").cast("long"), "height", "width", "data"), "index").drop("index")
+    rows = ids.mapInPandas(run, schema)
     named = rows.withColumn("split", assign_split("id", train, val)).withColumn("image", image_name("split", "id"))
     return with_constants(named).drop("id")

@@ -1,38 +1,33 @@
 """Queries of the library by name, with their SQL.
 
 The driver's tables hold no images, so quadrilaterals are derived from
-``events`` and detector rows from ``embeddings``.
+``events``, detector rows from ``embeddings`` and small image files from
+``supplier``: one landscape frame a row, a grey level in each quarter.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import dataset, head, manifest, matching, nms, pixels, priors, synthetic
-from ..sources.annotations import scan_annotations
-from ..sources.sinks import write_annotations
+from ..schema import HEIGHT, REJECT, WIDTH
+from ..sources import checkpoints, images
+from ..sources.annotations import scan_annotations, scan_polygons
+from ..sources.shared import shared_path
+from ..sources.sinks import write_annotations, write_images
 
 #: Sides of the priors by level and anchor: a choice of these queries.
 SIDES = {(0, 0): 16, (0, 1): 24, (0, 2): 32, (1, 0): 48, (1, 1): 64, (2, 0): 96, (2, 1): 128, (3, 0): 160, (3, 1): 192, (3, 2): 224}
 THRESHOLD = Fraction(3, 10)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; a local master may use one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="orthoquad-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -83,7 +78,7 @@ def prior_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_best_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = g.to_portrait(quads(spark, sf_dir)).withColumn("b", g.bbox("corners"))
     boxed = truth.select("event_id", F.struct(*(F.col(f"b.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).alias("box"))
-    return matching.best_prior(boxed, priors.with_boxes(priors.prior_grid(spark), SIDES), "event_id")
+    return matching.best_grid_prior(boxed, "event_id", SIDES)
 
 
 def nms_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +108,10 @@ def head_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty rows make an image, so that images don't grow with the table."""
     rows = head_rows(spark, sf_dir)
     spread = F.transform("ordered_corners", lambda v: F.floor(v * 100))
-    return head.detect(rows.select(F.col("label").alias("image"), F.col("vec_id").cast("int").alias("prior_id"), "confidence", spread.alias("ordered_corners")), THRESHOLD)
+    return head.detect(rows.select(F.floor(F.col("vec_id") / 50).alias("image"), F.col("vec_id").cast("int").alias("prior_id"), "confidence", spread.alias("ordered_corners")), THRESHOLD)
 
 
 def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -137,9 +133,8 @@ def header_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names by split; the split is taken from the key here, so that SQL can tell it too."""
-    split = F.when(F.col("event_id") % 100 < 90, "train").when(F.col("event_id") % 100 < 95, "val").otherwise("test")
-    return events(spark, sf_dir).select("event_id", dataset.image_name(split, "event_id").alias("image"))
+    split = dataset.assign_split("event_id")
+    return events(spark, sf_dir).select("event_id", split.alias("split"), dataset.image_name(split, "event_id").alias("image"))
 
 
 def polygons_to_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,32 +154,190 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quads(spark, sf_dir).withColumn("image", F.format_string("images/train_%07d.jpg", "event_id"))
+    """Records with odd names and without corners among others; rejects are told from good ones."""
+    e = F.col("event_id")
+    name = F.when(e % 50 == 0, F.format_string('images/a}b"{c\\_%07d.jpg', e)).otherwise(F.format_string("images/train_%07d.jpg", e))
+    rows = quads(spark, sf_dir).withColumn("image", name).withColumn("corners", F.when(e % 97 != 0, F.col("corners")))
     path = shared_path(spark, "annotations")
     write_annotations(dataset.with_constants(rows), path)
-    good, _ = scan_annotations(spark, path)
-    return good.select("image", "width", "height", "label", g.flatten_corners("corners").alias("corners"), "corner_order")
+    show = lambda df, good: df.select("image", "width", "height", "label", g.flatten_corners("corners").alias("corners"), "corner_order", F.lit(good).alias("good"))
+    good, bad = scan_annotations(spark, path)
+    return show(good, True).unionByName(show(bad, False))
 
 
 def pixel_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn all frames, each with its corners marked 1 to 4, and their points; ``agree`` tells whether each point's mark moved with it."""
-    rows = quads(spark, sf_dir).withColumn("image", F.col("event_id").cast("string"))
+    """Turn all frames, each with its corners marked 1 to 4, and their points.
+
+    ``marks`` are the places in the turned frame where the marks are found, and
+    ``agree`` tells whether each lies at its point.
+    """
+    rows = quads(spark, sf_dir).withColumn("image", F.col("event_id").cast("string")).repartition(spark.sparkContext.defaultParallelism, "image")
     drawn = F.repeat(F.lit("\x00"), 320 * 240).cast("binary")
     at = lambda i: F.col("corners")[i][1] * F.col("width") + F.col("corners")[i][0] + 1
     for i in range(4):
         drawn = F.overlay(drawn, F.lit(bytes([i + 1])), at(i))
     framed = rows.select("image", "corners", "width", "height", F.lit(1).alias("channels"), drawn.alias("data"))
     turned = pixels.rotate_landscape(framed)
-    moved = [F.col("data").substr(at(i), F.lit(1)) == F.lit(bytes([i + 1])) for i in range(4)]
-    return turned.select("image", "width", "height", g.flatten_corners("corners").alias("corners"), F.octet_length("data").alias("bytes"), (moved[0] & moved[1] & moved[2] & moved[3]).alias("agree"))
+    found = [F.instr(F.col("data").cast("string"), chr(i + 1)) for i in range(4)]
+    moved = [f == at(i) for i, f in enumerate(found)]
+    return turned.select("image", "width", "height", g.flatten_corners("corners").alias("corners"), F.octet_length("data").alias("bytes"), F.array(*(f - 1 for f in found)).alias("marks"), (moved[0] & moved[1] & moved[2] & moved[3]).alias("agree"))
+
+
+#: Landscape frames of the image files.
+FRAME_WIDTH, FRAME_HEIGHT = 160, 120
+
+
+def level(key: Column, quarter: int) -> Column:
+    """Grey level (0 to 14) of a quarter: 0 is upper left, then clockwise."""
+    return key * (7, 11, 13, 17)[quarter] % 15
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded frames of split, image and corners; a level stands for the value 16 times itself and 8."""
+    k = F.col("s_suppkey")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(k.isNotNull()).select(k)
+    pixel = [F.repeat(F.lpad(F.hex(level(k, q) * 16 + 8), 2, "0"), 3 * FRAME_WIDTH // 2) for q in range(4)]
+    data = F.unhex(F.concat(F.repeat(F.concat(pixel[0], pixel[1]), FRAME_HEIGHT // 2), F.repeat(F.concat(pixel[3], pixel[2]), FRAME_HEIGHT // 2)))
+    x, y = (20 + k % 40).cast("int"), (15 + k % 30).cast("int")
+    corners = F.array(F.array(x, y), F.array(x + 60, y), F.array(x + 60, y + 50), F.array(x, y + 50))
+    split = dataset.assign_split(k)
+    return rows.select(k, split.alias("split"), dataset.image_name(split, k).alias("image"), F.lit(FRAME_HEIGHT).alias("height"), F.lit(FRAME_WIDTH).alias("width"), F.lit(3).alias("channels"), data.alias("data"), corners.alias("corners"))
+
+
+def stored_frames(spark: SparkSession, sf_dir: str, encode: Callable[[DataFrame], DataFrame] = pixels.encode_jpeg) -> str:
+    """Write the frames as <split>/images/*.jpg and return the folder."""
+    path = shared_path(spark, "images")
+    encoded = encode(frames(spark, sf_dir).withColumn("image", F.concat_ws("/", "split", "image")))
+    write_images(encoded, path).agg(F.sum("bytes")).collect()
+    return path
+
+
+def file_name(path: Column | str) -> Column:
+    return F.regexp_extract(path, r"([^/]+)$", 1)
+
+
+def levels(means: Column | str) -> Column:
+    return F.transform(means, lambda v: F.floor(v / 16).cast("int"))
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images written, scanned by split and decoded; the levels come from the decoded pixels."""
+    path = stored_frames(spark, sf_dir)
+    scanned = images.scan_images(spark, path).select("split", "image", (F.col("length") == F.octet_length("content")).alias("whole"))
+    good, _ = images.decode_images(spark, f"{path}/*/images")
+    shown = pixels.mean_grid(good).join(good.select(F.col("image").alias("_i"), "height", "width", "channels"), F.col("image") == F.col("_i"))
+    named = shown.select(F.concat(F.lit("images/"), file_name("image")).alias("image"), "height", "width", "channels", levels("means").alias("levels"))
+    return scanned.join(named, "image")
+
+
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder as it is scanned for backgrounds and for inference: its files, and whether they are JPEG."""
+    found = images.scan_folder(spark, stored_frames(spark, sf_dir))
+    return found.select(file_name("path").alias("name"), (F.hex(F.substring("content", 1, 2)) == "FFD8").alias("jpeg"), (F.col("length") > 0).alias("filled"))
+
+
+def turned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels and points turned by the same number of quarter turns."""
+    turned = pixels.turn(frames(spark, sf_dir), F.col("s_suppkey"))
+    shown = turned.select("image", "width", "height", g.flatten_corners("corners").alias("corners"))
+    return shown.join(pixels.mean_grid(turned).select("image", levels("means").alias("levels")), "image")
+
+
+def drawn_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes that visualization drew, as found in the decoded pictures."""
+    good, _ = images.decode_images(spark, f"{stored_frames(spark, sf_dir, pixels.visualize)}/*/images")
+    found = pixels.find_outline(good)
+    return found.select(file_name("image").alias("name"), "x0", "y0", "x1", "y1")
+
+
+def quarter_model() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Stands for a detector: one prior per quarter of a tensor, its grey level as logit and its outline as corners."""
+
+    def model(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, tensor in zip(batch["image"], batch["tensor"], strict=True):
+            a = np.asarray(tensor, np.float32).reshape(3, HEIGHT, WIDTH)
+            for i, (top, left) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0))):
+                y, x = top * HEIGHT // 2, left * WIDTH // 2
+                mean = float(a[:, y : y + HEIGHT // 2, x : x + WIDTH // 2].mean())
+                right, low = x + WIDTH // 2, y + HEIGHT // 2
+                out.append((name, i, [0.0, float(mean // 16)], [float(v) for v in (x, y, right, y, right, low, x, low)]))
+        return pd.DataFrame(out, columns=["image", "prior_id", "confidence", "ordered_corners"])
+
+    return model
+
+
+def forward_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From image files to a detector's outputs: scan, decode, upright, resize, channels first, forward."""
+    good, _ = images.decode_images(spark, f"{stored_frames(spark, sf_dir)}/*/images")
+    tensors = pixels.channels_first(pixels.fit(pixels.rotate_landscape(good)))
+    return head.outputs(head.forward(tensors.withColumn("image", file_name("image")), quarter_model))
+
+
+def inference_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outputs suppressed, of a margin of 3 or more."""
+    return head.detect(forward_outputs(spark, sf_dir), THRESHOLD, min_margin=3.0)
+
+
+def resized_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels and points stretched to the input size."""
+    fitted = pixels.fit(frames(spark, sf_dir))
+    shown = fitted.select("image", "width", "height", F.transform(g.flatten_corners("corners"), lambda v: F.round(v, 6)).alias("corners"))
+    return shown.join(pixels.mean_grid(fitted).select("image", levels("means").alias("levels")), "image")
+
+
+def channel_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and last value of each channel of a frame whose channels differ by one."""
+    planes = lambda a: a + np.arange(3, dtype=np.uint8)
+    tensors = pixels.channels_first(pixels.map_frames(frames(spark, sf_dir), planes))
+    size = FRAME_WIDTH * FRAME_HEIGHT
+    ends = [F.col("tensor")[c * size + at].cast("int") for c in range(3) for at in (0, size - 1)]
+    return tensors.select("image", F.size("tensor").alias("values"), F.array(*ends).alias("ends"))
+
+
+def polygon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygon files written one by one, scanned and made annotations or rejects."""
+    k = F.col("s_suppkey")
+    points = F.transform("corners", lambda p: F.transform(p, lambda v: v.cast("double")))
+    shape = F.struct(F.lit("code").alias("label"), F.lit("polygon").alias("shape_type"), F.when(k % 7 == 3, F.slice(points, 1, 3)).otherwise(points).alias("points"))
+    shapes = F.when(k % 11 == 5, F.array(shape, shape)).otherwise(F.array(shape))
+    record = F.to_json(F.struct(F.col("image").alias("imagePath"), F.col("width").alias("imageWidth"), F.col("height").alias("imageHeight"), shapes.alias("shapes")))
+    path = shared_path(spark, "polygons")
+    files = frames(spark, sf_dir).select(F.format_string("%d.json", k).alias("image"), record.cast("binary").alias("content"))
+    write_images(files, path).agg(F.sum("bytes")).collect()
+    good, bad = dataset.from_polygons(scan_polygons(spark, path))
+    taken = good.select("image", "width", "height", g.flatten_corners("corners").alias("corners"), F.lit(None).cast("string").alias("reason"))
+    return taken.unionByName(bad.select(F.col("imagePath").alias("image"), F.col("imageWidth").alias("width"), F.col("imageHeight").alias("height"), F.lit(None).cast("array<double>").alias("corners"), F.col(REJECT).alias("reason")))
+
+
+def checkpoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkpoint of one parameter a nation, written as a file and scanned."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").collect()
+    shapes = {("regression_headers" if k % 5 == 0 else "base_net") + f".{k}.weight": (r + 1, k + 1, 3) for k, r in rows}
+    path = shared_path(spark, "checkpoint")
+    file = spark.createDataFrame([("model.pth", bytearray(checkpoints.index_file(shapes)))], "image string, content binary")
+    write_images(file, path).agg(F.sum("bytes")).collect()
+    return checkpoints.scan_checkpoint(spark, f"{path}/model.pth")
 
 
 def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = synthetic.generate(spark, 64)
-    return rows.select("image", "split", "width", "height", F.octet_length("data").alias("bytes"), g.corners_ok("corners").alias("ok"))
+    """One synthetic image per background file, drawn over it: marks where the corners say, background at the frame's corners."""
+    good, _ = images.decode_images(spark, f"{stored_frames(spark, sf_dir)}/*/images")
+    behind = pixels.fit(pixels.rotate_landscape(good)).withColumn("index", F.regexp_extract("image", r"_(\d+)\.jpg$", 1).cast("long"))
+    made = synthetic.generate(spark, behind.count(), backgrounds=behind, of=spark.read.parquet(f"{sf_dir}/supplier.parquet").count())
+    fields = [f for f in made.schema if f.name in ("image", "split", "width", "height", "corners")]
+
+    def look(batches):
+        for batch in batches:
+            frame = [np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels) for r in batch.itertuples()]
+            ends = [[int(a[y, x, 0]) // 16 for y, x in ((0, 0), (0, -1), (-1, -1), (-1, 0))] for a in frame]
+            yield batch[[f.name for f in fields]].assign(marks=[synthetic.has_marks(a, c) for a, c in zip(frame, batch["corners"], strict=True)], ends=ends)
+
+    seen = made.mapInPandas(look, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", marks BOOLEAN, ends ARRAY<INT>")
+    return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, detect, manifest_diff, header_rewrite, split_names, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, detect, manifest_diff, header_rewrite, split_names, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -200,6 +353,15 @@ _SIDE = "CASE " + " ".join(f"WHEN level = {a} AND anchor = {b} THEN {s}" for (a,
 _CAST8 = "list_transform(embedding[3:10], lambda v: v)"
 
 
+#: assign_split, and frames of suppliers: levels q0 to q3 clockwise from the upper left.
+_SPLIT = "CASE WHEN CAST('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 90 THEN 'train' WHEN CAST('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 95 THEN 'val' ELSE 'test' END"
+_FRAMES = f"""f AS (SELECT *, split || '_' || lpad(CAST(k AS VARCHAR), 7, '0') || '.jpg' AS name, [x, x + 60, x + 60, x] AS xs, [y, y, y + 50, y + 50] AS ys,
+    CAST(k * 7 % 15 AS INT) AS q0, CAST(k * 11 % 15 AS INT) AS q1, CAST(k * 13 % 15 AS INT) AS q2, CAST(k * 17 % 15 AS INT) AS q3
+  FROM (SELECT s_suppkey AS k, {_SPLIT.format('s_suppkey')} AS split, CAST(20 + s_suppkey % 40 AS INT) AS x, CAST(15 + s_suppkey % 30 AS INT) AS y FROM supplier WHERE s_suppkey IS NOT NULL))"""
+_OUTPUTS = """o AS (SELECT name AS image, CAST(i AS INT) AS prior_id, [q3, q0, q1, q2][i + 1] AS level, [0, 120, 120, 0][i + 1] AS x, [0, 0, 160, 160][i + 1] AS y FROM f, unnest(range(4)) t(i)),
+  d AS (SELECT image, prior_id, level, [x, y, x + 120, y, x + 120, y + 160, x, y + 160]::FLOAT[] AS ordered_corners FROM o)"""
+
+
 def _overlap(a: str, b: str) -> str:
     return f"greatest(least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0), 0) * greatest(least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0), 0)"
 
@@ -246,18 +408,37 @@ ORACLE_SQL = {
       greatest(e[1], e[3], e[5], e[7]) AS x1, greatest(e[2], e[4], e[6], e[8]) AS y1 FROM (SELECT vec_id, {_CAST8} AS e FROM embeddings)""",
     "head_score": "SELECT vec_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS margin, round(1 / (1 + exp(-(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)))), 9) AS score FROM embeddings",
     "head_anchors": "SELECT vec_id, CAST(a AS INT) AS anchor, embedding[a * 8 + 1 : a * 8 + 8] AS values FROM embeddings, unnest(range(8)) t(a)",
-    "detect": f"""WITH RECURSIVE e AS (SELECT label AS image, CAST(vec_id AS INT) AS prior_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS score, list_transform({_CAST8}, lambda v: CAST(floor(v * CAST(100 AS FLOAT)) AS BIGINT)) AS f FROM embeddings),
+    "detect": f"""WITH RECURSIVE e AS (SELECT vec_id // 50 AS image, CAST(vec_id AS INT) AS prior_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS score, list_transform({_CAST8}, lambda v: CAST(floor(v * CAST(100 AS FLOAT)) AS BIGINT)) AS f FROM embeddings),
       src AS (SELECT image, prior_id, score, f, least(f[1], f[3], f[5], f[7]) AS x0, least(f[2], f[4], f[6], f[8]) AS y0, greatest(f[1], f[3], f[5], f[7]) AS x1, greatest(f[2], f[4], f[6], f[8]) AS y1 FROM e),
       {_greedy("src", "image", "prior_id")} SELECT r.image, r.prior_id, src.score AS margin, src.f AS ordered_corners FROM r JOIN src ON src.prior_id = r.prior_id AND src.image = r.image WHERE keep""",
     "manifest_diff": f"WITH {_MANIFESTS} SELECT coalesce(m.name, ck.name) AS name, m.shape AS model_shape, ck.shape AS checkpoint_shape, starts_with(coalesce(m.name, ck.name), 'regression_headers') AS allowed FROM m FULL OUTER JOIN ck ON m.name = ck.name WHERE m.shape IS DISTINCT FROM ck.shape",
     "header_rewrite": f"""WITH {_MANIFESTS}, h AS (SELECT name, CAST(string_split(name, '.')[2] AS INT) AS lv, CAST(string_split(name, '.')[3] AS INT) AS ly FROM m WHERE starts_with(name, 'regression_headers')),
       l AS (SELECT name FROM h QUALIFY ly = max(ly) OVER (PARTITION BY lv))
       SELECT m.name, CASE WHEN l.name IS NULL THEN shape ELSE [shape[1] * 2, shape[2]] END AS shape, l.name IS NOT NULL AS reinitialise FROM m LEFT JOIN l ON m.name = l.name""",
-    "split_names": "SELECT event_id, 'images/' || CASE WHEN event_id % 100 < 90 THEN 'train' WHEN event_id % 100 < 95 THEN 'val' ELSE 'test' END || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image FROM events",
+    "split_names": f"SELECT event_id, {_SPLIT.format('event_id')} AS split, 'images/' || {_SPLIT.format('event_id')} || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image FROM events",
     "polygons_to_annotations": f"WITH {_QUADS} SELECT CAST(event_id AS VARCHAR) AS image, 320 AS width, 240 AS height, 'qrcode' AS label, list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) AS corners, ['qr_top_left', 'qr_top_right', 'qr_bottom_right', 'qr_bottom_left'] AS corner_order FROM q WHERE event_id % 13 <> 0 AND event_id % 17 <> 0",
     "evaluation": f"""WITH {_QUADS}, a AS (SELECT event_id, list_max(xs) - list_min(xs) AS w, list_max(ys) - list_min(ys) AS h FROM q),
       s AS (SELECT event_id, CAST(greatest(w - 3, 0) * greatest(h - 4, 0) AS DOUBLE) AS i, w * h AS ar, event_id % 9 <> 0 AS f FROM a)
       SELECT count(*) AS n, count(*) FILTER (WHERE f) AS n_found, round(avg(CASE WHEN f THEN CAST(5 AS DOUBLE) END), 6) AS mean_error, round(max(CASE WHEN f THEN CAST(5 AS DOUBLE) END), 6) AS max_error, round(avg(CASE WHEN f THEN i / (2 * ar - i) END), 6) AS mean_iou FROM s""",
-    "jsonl_roundtrip": f"WITH {_QUADS} SELECT 'images/train_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image, 320 AS width, 240 AS height, 'qrcode' AS label, list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) AS corners, ['qr_top_left', 'qr_top_right', 'qr_bottom_right', 'qr_bottom_left'] AS corner_order FROM q",
-    "pixel_rotate": f"WITH {_QUADS} SELECT CAST(event_id AS VARCHAR) AS image, 240 AS width, 320 AS height, {_TURNED} AS corners, 76800 AS bytes FROM q WHERE event_id < 200",
+    "jsonl_roundtrip": f"""WITH {_QUADS} SELECT CASE WHEN event_id % 50 = 0 THEN 'images/a}}b"{{c\\_' ELSE 'images/train_' END || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image, 320 AS width, 240 AS height, 'qrcode' AS label,
+      CASE WHEN event_id % 97 <> 0 THEN list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) END AS corners, ['qr_top_left', 'qr_top_right', 'qr_bottom_right', 'qr_bottom_left'] AS corner_order, event_id % 97 <> 0 AS good FROM q""",
+    "pixel_rotate": f"""WITH {_QUADS} SELECT CAST(event_id AS VARCHAR) AS image, 240 AS width, 320 AS height, {_TURNED} AS corners, 76800 AS bytes,
+      list_transform([1, 2, 3, 4], lambda i: CAST(xs[i] * 240 + 239 - ys[i] AS INT)) AS marks, true AS agree FROM q""",
+    "image_files": f"WITH {_FRAMES} SELECT 'images/' || name AS image, split, true AS whole, 120 AS height, 160 AS width, 3 AS channels, [q0, q1, q3, q2] AS levels FROM f",
+    "folder_files": f"WITH {_FRAMES} SELECT name, true AS jpeg, true AS filled FROM f",
+    "turned_frames": f"""WITH {_FRAMES} SELECT 'images/' || name AS image, CASE WHEN k % 2 = 1 THEN 120 ELSE 160 END AS width, CASE WHEN k % 2 = 1 THEN 160 ELSE 120 END AS height,
+      CASE k % 4 WHEN 0 THEN {_XY} WHEN 1 THEN [119 - ys[1], xs[1], 119 - ys[2], xs[2], 119 - ys[3], xs[3], 119 - ys[4], xs[4]]
+        WHEN 2 THEN [159 - xs[1], 119 - ys[1], 159 - xs[2], 119 - ys[2], 159 - xs[3], 119 - ys[3], 159 - xs[4], 119 - ys[4]]
+        ELSE [ys[1], 159 - xs[1], ys[2], 159 - xs[2], ys[3], 159 - xs[3], ys[4], 159 - xs[4]] END AS corners,
+      CASE k % 4 WHEN 0 THEN [q0, q1, q3, q2] WHEN 1 THEN [q3, q0, q2, q1] WHEN 2 THEN [q2, q3, q1, q0] ELSE [q1, q2, q0, q3] END AS levels FROM f""",
+    "drawn_boxes": f"WITH {_FRAMES} SELECT name, CAST(x AS BIGINT) AS x0, CAST(y AS BIGINT) AS y0, CAST(x + 60 AS BIGINT) AS x1, CAST(y + 50 AS BIGINT) AS y1 FROM f",
+    "forward_outputs": f"WITH {_FRAMES}, {_OUTPUTS} SELECT image, prior_id, [0, level]::FLOAT[] AS confidence, ordered_corners FROM d",
+    "inference_flow": f"WITH {_FRAMES}, {_OUTPUTS} SELECT image, prior_id, CAST(level AS DOUBLE) AS margin, ordered_corners FROM d WHERE level >= 3",
+    "resized_frames": f"""WITH {_FRAMES} SELECT 'images/' || name AS image, 240 AS width, 320 AS height, list_transform(range(8), lambda i: round(CAST({_XY}[i + 1] AS DOUBLE) * CASE WHEN i % 2 = 0 THEN 240.0 / 160 ELSE 320.0 / 120 END, 6)) AS corners,
+      [q0, q1, q3, q2] AS levels FROM f""",
+    "channel_tensors": f"WITH {_FRAMES} SELECT 'images/' || name AS image, 57600 AS values, [q0 * 16 + 8, q2 * 16 + 8, q0 * 16 + 9, q2 * 16 + 9, q0 * 16 + 10, q2 * 16 + 10] AS ends FROM f",
+    "polygon_files": f"""WITH {_FRAMES} SELECT 'images/' || name AS image, 160 AS width, 120 AS height, CASE WHEN k % 11 <> 5 AND k % 7 <> 3 THEN list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) END AS corners,
+      CASE WHEN k % 11 = 5 THEN 'not one polygon' WHEN k % 7 = 3 THEN 'not four finite points' END AS reason FROM f""",
+    "checkpoint_files": "SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'regression_headers.' ELSE 'base_net.' END || CAST(n_nationkey AS VARCHAR) || '.weight' AS name, [n_regionkey + 1, n_nationkey + 1, 3]::BIGINT[] AS shape FROM nation",
+    "synthetic_set": f"WITH {_FRAMES} SELECT 'images/' || name AS image, split, 240 AS width, 320 AS height, true AS ok, true AS marks, [q3, q0, q1, q2] AS ends FROM f",
 }

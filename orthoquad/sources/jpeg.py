@@ -13,10 +13,9 @@ import numpy as np
 _ZIGZAG = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
 _ORDER = np.array([r * 8 + c for r, c in _ZIGZAG])
 _DCT = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+#: Symbols in the order of their codes: sizes of differences; end of block, a run of 16, and runs with sizes.
 _DC = list(range(12))
 _AC = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
-_DC_CODE = {s: i for i, s in enumerate(_DC)}
-_AC_CODE = {s: i for i, s in enumerate(_AC)}
 _DC_BITS, _AC_BITS = 4, 8
 
 
@@ -28,6 +27,32 @@ def _table(kind: int, bits: int, symbols: list[int]) -> bytes:
     return _segment(0xC4, bytes([kind]) + bytes(len(symbols) if i + 1 == bits else 0 for i in range(16)) + bytes(symbols))
 
 
+def _number(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that a number needs, and the number as the format writes it: negative ones less one."""
+    size = np.frexp(np.abs(v).astype(np.float64))[1].astype(np.int64)
+    return size, np.where(v < 0, v + (1 << size) - 1, v)
+
+
+def _codes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code words and their lengths for blocks in zigzag order; the first column holds differences."""
+    n = len(rows)
+    size, extra = _number(rows[:, 0])
+    at, k = np.nonzero(rows[:, 1:])
+    k += 1
+    before = np.where(np.append(True, at[1:] != at[:-1])[: len(at)], 0, np.append(0, k[:-1])[: len(at)])
+    run = k - before - 1
+    width, digits = _number(rows[at, k])
+    long = np.repeat(np.arange(len(at)), run // 16)  # runs of 16 zeros before a number
+    last = np.zeros(n, np.int64)
+    np.maximum.at(last, at, k)
+    ended = np.flatnonzero(last < 63)
+    place = np.concatenate([np.arange(n) * 256, at * 256 + 2 * k + 1, at[long] * 256 + 2 * k[long], ended * 256 + 255])
+    word = np.concatenate([size << size | extra, (2 + run % 16 * 10 + width - 1) << width | digits, np.ones(len(long), np.int64), np.zeros(len(ended), np.int64)])
+    bits = np.concatenate([_DC_BITS + size, _AC_BITS + width, np.full(len(long) + len(ended), _AC_BITS)])
+    order = np.argsort(place, kind="stable")
+    return word[order], bits[order]
+
+
 def encode(pixels: np.ndarray, step: int = 4) -> bytes:
     """JPEG bytes of an array of rows of R, G, B; ``step`` is the quantiser of all coefficients."""
     height, width = pixels.shape[:2]
@@ -37,36 +62,14 @@ def encode(pixels: np.ndarray, step: int = 4) -> bytes:
     blocks = []
     for p in planes:
         cut = p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
-        blocks.append(np.rint(_DCT @ cut @ _DCT.T / step).astype(int).reshape(-1, 64)[:, _ORDER])
-    bits: list[str] = []
-
-    def number(v: int, size: int) -> str:
-        return format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
-
-    before = [0, 0, 0]
-    for i in range(len(blocks[0])):
-        for c in range(3):
-            block = blocks[c][i].tolist()
-            diff, before[c] = block[0] - before[c], block[0]
-            size = abs(diff).bit_length()
-            bits.append(format(_DC_CODE[size], f"0{_DC_BITS}b") + number(diff, size))
-            run = 0
-            last = max((k for k in range(1, 64) if block[k]), default=0)
-            for v in block[1 : last + 1]:
-                if v == 0:
-                    run += 1
-                    continue
-                while run > 15:
-                    bits.append(format(_AC_CODE[0xF0], f"0{_AC_BITS}b"))
-                    run -= 16
-                size = abs(v).bit_length()
-                bits.append(format(_AC_CODE[run << 4 | size], f"0{_AC_BITS}b") + number(v, size))
-                run = 0
-            if last < 63:
-                bits.append(format(_AC_CODE[0x00], f"0{_AC_BITS}b"))
-    stream = "".join(bits)
-    stream += "1" * (-len(stream) % 8)
-    data = int(stream, 2).to_bytes(len(stream) // 8, "big").replace(b"\xff", b"\xff\x00")
+        blocks.append(np.rint(_DCT @ cut @ _DCT.T / step).astype(np.int64).reshape(-1, 64)[:, _ORDER])
+    rows = np.stack(blocks, axis=1)
+    rows[1:, :, 0] -= rows[:-1, :, 0].copy()
+    word, bits = _codes(rows.reshape(-1, 64))
+    ends = np.cumsum(bits)
+    shift = np.repeat(ends, bits) - np.arange(ends[-1]) - 1
+    stream = (np.repeat(word, bits) >> shift & 1).astype(np.uint8)
+    data = np.packbits(np.concatenate([stream, np.ones(-len(stream) % 8, np.uint8)])).tobytes().replace(b"\xff", b"\xff\x00")
     head = b"\xff\xd8" + _segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0") + _segment(0xDB, bytes([0]) + bytes([step] * 64))
     head += _segment(0xC0, struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
     head += _table(0x00, _DC_BITS, _DC) + _table(0x10, _AC_BITS, _AC)

@@ -3,50 +3,54 @@
 from __future__ import annotations
 
 import os
+import posixpath
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dataset import stored
+from ..operators.dataset import FIELDS, stored
 
 
 def write_annotations(df: DataFrame, path: str) -> None:
-    """One JSON line per image, in part files under ``path``; whole coordinates are written without a fraction."""
-    whole = F.forall(F.flatten("corners"), lambda v: v == F.floor(v))
-    shown = stored(df).withColumn("corners", F.when(whole, F.to_json(F.transform("corners", lambda p: F.transform(p, lambda v: v.cast("long"))))).otherwise(F.to_json("corners")))
-    rest = [c for c in shown.columns if c != "corners"]
-    line = F.concat(F.substring_index(F.to_json(F.struct(*rest)), "}", 1), F.lit(',"corners":'), F.col("corners"), F.lit("}"))
-    shown.select(line.alias("value")).write.text(path)
-
+    """One JSON line per image, in part files under ``path``; whole coordinates are written without a fraction.
 
-def local_folder(path: str) -> str:
-    """A folder that driver and executors share by a file path."""
-    parts = urlparse(path)
-    if parts.scheme not in ("", "file"):
-        raise ValueError("images are written through file paths; mount the store, or write bytes as Parquet")
-    return unquote(parts.path)
+    A null field is left out of its line, so a record without corners is read
+    back as a reject.
+    """
+    cast = lambda kind: F.transform("corners", lambda p: F.transform(p, lambda v: v.cast(kind)))
+    record = lambda corners: F.to_json(F.struct(*(corners.alias(c) if c == "corners" else F.col(c) for c in FIELDS)))
+    whole = F.forall(F.flatten("corners"), lambda v: v == F.floor(v))
+    line = F.when(whole, record(cast("long"))).otherwise(record(cast("double")))
+    stored(df).select(line.alias("value")).write.text(path)
 
 
 def write_images(images: DataFrame, path: str, name: str = "image", content: str = "content") -> DataFrame:
     """Write each row's bytes to ``path``/<image>; returns names and sizes when evaluated.
 
-    A file is written beside its place and then moved, so a task that runs twice does no harm.
+    ``path`` is a file path or a URI that Arrow's file systems know, and all
+    executors see it.  A file is written beside its place and then moved, so a
+    task that runs twice does no harm.
     """
-    root = local_folder(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        made: set[str] = set()
         for batch in batches:
             for n, data in zip(batch["_n"], batch["_c"], strict=True):
-                target = os.path.normpath(os.path.join(root, n))
-                if not target.startswith(os.path.normpath(root) + os.sep):
+                target = posixpath.normpath(posixpath.join(root, n))
+                if not target.startswith(posixpath.normpath(root) + "/"):
                     raise ValueError(f"{n} leaves the folder")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(f"{target}.part-{os.getpid()}", "wb") as f:
-                    f.write(data)
-                os.replace(f.name, target)
+                folder = posixpath.dirname(target)
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                beside = f"{target}.part-{os.getpid()}"
+                with store.open_output_stream(beside) as out:
+                    out.write(data)
+                store.move(beside, target)
             yield pd.DataFrame({"image": batch["_n"], "bytes": [len(c) for c in batch["_c"]]})
 
     return images.select(F.col(name).alias("_n"), F.col(content).alias("_c")).mapInPandas(run, "image STRING, bytes BIGINT")

@@ -1,5 +1,8 @@
 """Every query with SQL against DuckDB on the smallest tables, and the entry point."""
 
+import sys
+import warnings
+
 import duckdb
 import numpy as np
 import pytest
@@ -38,3 +41,12 @@ def test_against_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1000
+
+
+def test_base_queries_do_without_the_corpus_operators(monkeypatch):
+    for name in [n for n in sys.modules if n.startswith("orthoquad.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert set(entry.queries()) == set(catalog.QUERIES) and entry.oracle_sql() == catalog.ORACLE_SQL

@@ -1,5 +1,6 @@
 """Priors, matching, suppression, head rows, manifests and dataset steps."""
 
+import random
 from fractions import Fraction
 
 import pandas as pd
@@ -43,6 +44,32 @@ def test_best_prior_against_all_pairs(spark, truth):
         assert got[key] == (-want[1], pytest.approx(want[0]))
 
 
+def test_closed_form_equals_the_join(spark):
+    rng = random.Random(3)
+    boxes = [(i, (x := rng.choice([rng.randint(-300, 300), rng.uniform(-90, 300)]), y := rng.uniform(-90, 400), x + rng.choice([0.0, rng.randint(1, 300)]), y + rng.uniform(0, 300))) for i in range(300)]
+    boxes = [(i, tuple(map(float, b))) for i, b in boxes]
+    frame = spark.createDataFrame(boxes, f"id int, box {BOX}")
+    grid = priors.with_boxes(priors.prior_grid(spark), SIDES)
+    all_priors = [(r.prior_id, tuple(r.box)) for r in grid.collect()]
+    got = {r.id: (r.prior_id, r.iou) for r in matching.best_grid_prior(frame, "id", SIDES).collect()}
+    assert len(got) > 100
+    for key, box in boxes:
+        iou, prior = max(((overlap(box, b), -p) for p, b in all_priors))
+        assert (key in got) == (iou > 0) and (iou == 0 or got[key][1] == pytest.approx(iou))
+        if iou > 0:  # ties within rounding aside
+            assert got[key][0] == -prior or overlap(box, dict(all_priors)[got[key][0]]) == pytest.approx(iou, abs=1e-12)
+    plan = matching.best_grid_prior(frame, "id", SIDES)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_nms_of_one_large_image(spark):
+    rows = spark.range(60_000).selectExpr("'a' AS image", "id", "id * 7919 % 1000 AS score", "struct(id % 200 AS x0, id % 170 AS y0, id % 200 + 20 AS x1, id % 170 + 20 AS y1) AS box", "id AS more")
+    kept = nms.nms(rows, "image", "id", "score", Fraction(1, 10), keep=("more", "box")).collect()
+    assert 20 < len(kept) < 400 and all(r.more == r.id for r in kept)
+    boxes = [tuple(r.box) for r in kept]
+    assert all(overlap(a, b) <= 0.1 for i, a in enumerate(boxes) for b in boxes[:i])
+
+
 def test_assignment_holds_threshold_and_best(spark, truth):
     boxes, frame = truth
     grid = priors.with_boxes(priors.prior_grid(spark), SIDES)

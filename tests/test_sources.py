@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orthoquad.operators import dataset, pixels, synthetic
 from orthoquad.plans import catalog
-from orthoquad.sources import annotations, checkpoints, images, jpeg, sinks
+from orthoquad.sources import annotations, checkpoints, images, jpeg, shared, sinks
 from orthoquad.streaming.ingest import ingest
 
 SAMPLE = {"image": "images/train_0000000.jpg", "width": 240, "height": 320, "label": "qrcode", "corners": [[209, 20], [209, 200], [59, 200], [59, 20]], "corner_order": ["qr_top_left", "qr_top_right", "qr_bottom_right", "qr_bottom_left"]}
@@ -42,6 +42,16 @@ def test_json_round_trip(spark, root, tmp_path):
     assert "209.0" not in "".join(spark.read.text(f"{tmp_path}/out").toPandas()["value"])
 
 
+def test_odd_records_survive_or_are_rejected(spark, tmp_path):
+    square = [[0.0, 0.0], [9.0, 0.0], [9.0, 9.5], [0.0, 9.0]]
+    rows = [("images/a}b.jpg", square), ('x","corners":[]}{\n', square), ("null", None), ("nan", [[float("nan"), 1.0], *square[1:]]), ("hole", [[None, 1.0], *square[1:]]), ("short", square[:3]), (None, square)]
+    frame = spark.createDataFrame([(n, 240, 320, c) for n, c in rows], "image string, width int, height int, corners array<array<double>>")
+    sinks.write_annotations(dataset.with_constants(frame), f"{tmp_path}/out")
+    good, bad = annotations.scan_annotations(spark, f"{tmp_path}/out")
+    assert {r.image: r.corners for r in good.collect()} == {rows[0][0]: square, rows[1][0]: square, None: square}
+    assert {r.image for r in bad.collect()} == {"null", "nan", "hole", "short"}
+
+
 def test_polygon_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"imagePath": "a.jpg", "imageWidth": 9, "imageHeight": 8, "shapes": [{"label": "x", "shape_type": "polygon", "points": [[4, 4], [1, 4], [1, 1], [4, 1.5]]}]}, indent=1))
     good, _ = dataset.from_polygons(annotations.scan_polygons(spark, str(tmp_path)))
@@ -96,6 +106,45 @@ def test_pixels_turn_with_points(spark):
     assert pixels.visualize(frame).first().content[:2] == b"\xff\xd8"
 
 
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 5, -1])
+def test_turns_move_marks_and_points_alike(spark, k):
+    image = np.zeros((4, 6, 1), np.uint8)
+    corners = [[1, 0], [4, 1], [5, 3], [0, 2]]
+    for i, (x, y) in enumerate(corners):
+        image[y, x] = i + 1
+    frame = spark.createDataFrame([("a", 4, 6, 1, bytearray(image.tobytes()), corners, "kept")], "image string, height int, width int, channels int, data binary, corners array<array<int>>, more string")
+    r = pixels.turn(frame, k).first()
+    turned = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)
+    assert (r.height, r.width) == ((4, 6) if k % 2 == 0 else (6, 4)) and r.more == "kept"
+    assert [turned[y, x] for x, y in r.corners] == [1, 2, 3, 4]
+
+
+def test_synthetic_over_backgrounds(spark):
+    grey = lambda v, h, w: bytearray(np.full((h, w, 3), v, np.uint8).tobytes())
+    behind = spark.createDataFrame([(0, 200, 100, grey(40, 200, 100)), (1, 90, 120, grey(90, 90, 120))], "index int, height int, width int, data binary")
+    rows = synthetic.generate(spark, 5, backgrounds=behind, of=2).collect()
+    for r in rows:
+        i = int(r.image[-11:-4])
+        a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
+        assert (r.height, r.width) == ((200, 100), (90, 120))[i % 2] and a[0, 0].tolist() == [(40, 90)[i % 2]] * 3
+        assert synthetic.has_marks(a, r.corners) and not synthetic.has_marks(a, r.corners[2:] + r.corners[:2])
+    assert len(rows) == 5
+
+
+def test_shared_folder_of_other_masters(spark):
+    class Context:
+        master = "local-cluster[2,1,1024]"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session)
+    assert shared.shared_dir(spark).startswith("file:")
+
+
 def test_pixel_rotate_turns_every_event(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     got = catalog.pixel_rotate(spark, sf).collect()
@@ -128,6 +177,13 @@ def test_checkpoint_shapes(spark, tmp_path):
         checkpoints.shapes(path.read_bytes())
 
 
+def test_index_file_is_read_back(spark, tmp_path):
+    shapes = {"base.0.weight": (3, 4, 1, 1), "é": (), "regression_headers.0.bias": (70_000,)}
+    (tmp_path / "m.pth").write_bytes(checkpoints.index_file(shapes))
+    assert checkpoints.shapes((tmp_path / "m.pth").read_bytes()) == shapes
+    assert {r.name: tuple(r["shape"]) for r in checkpoints.scan_checkpoint(spark, str(tmp_path / "m.pth")).collect()} == shapes
+
+
 def _rebuild_tensor_v2(*args):
     raise AssertionError("not called")
 
