@@ -104,6 +104,61 @@ def test_dual_search_is_exact(seed, n, k, leaf, clustered):
         assert got == want[name]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 300), st.sampled_from([1, 4, 16]), st.sampled_from(["even", "clusters", "copies", "outliers"]))
+def test_tree_covers_and_separates(seed, n, leaf, kind):
+    rng = np.random.default_rng(seed)
+    p = rng.standard_normal((n, 4))
+    p += {"even": 0, "clusters": 50 * rng.integers(0, 3, (n, 1)), "copies": -p, "outliers": 10.0 ** rng.integers(0, 6, (n, 1))}[kind]
+
+    def check(node, above):
+        away = np.linalg.norm(p[node.rows] - p[node.centre], axis=1)
+        assert node.centre in node.rows and away.max() <= node.radius + 1e-6 and node.radius <= above + 1e-6
+        if node.children:
+            centres = p[[c.centre for c in node.children]]
+            gaps = np.linalg.norm(centres[:, None] - centres[None], axis=2) + 1e9 * np.eye(len(centres))
+            assert gaps.min() >= node.scale - 1e-6 and node.children[0].centre == node.centre
+            assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+            for c in node.children:
+                check(c, node.scale)
+
+    tree = topk.cover_tree(p, np.arange(n), leaf)
+    assert len(tree.rows) == n
+    check(tree, tree.radius)
+
+
+def test_products_of_any_size():
+    rng = np.random.default_rng(4)
+    for size in (10**7, 2**40, 2**62):
+        p = np.array([[int(x) * size // 10**6 for x in rng.integers(-(10**6), 10**6, 8)] for _ in range(30)])
+        best = topk.dual_search(p, np.arange(30), p, np.arange(30), 4, 2)
+        for i in range(30):
+            exact = [(max(-(2**63) + 2, min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(p[i], p[j], strict=True)))), j) for j in range(30) if j != i]
+            assert list(zip(best.score[i].tolist(), best.id[i].tolist(), strict=True)) == sorted(exact, key=lambda x: (-x[0], x[1]))[:4]
+
+
+@pytest.mark.parametrize("kind", ["clusters", "even", "hot"])
+def test_search_over_many_cells(spark, monkeypatch, kind):
+    monkeypatch.setattr(topk, "BLOCK", 60)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(6)
+    p = rng.standard_normal((700, 6)) + {"clusters": 40 * rng.integers(-1, 2, (8, 6))[rng.integers(0, 8, 700)], "even": 0, "hot": 0}[kind]
+    if kind == "hot":
+        p[:300] = p[0]
+    rows = [(i if kind != "hot" or i > 50 else 0, v.tolist()) for i, v in enumerate(p)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    seen = []
+    visits = topk.visits
+    monkeypatch.setattr(topk, "visits", lambda *a: (seen.append(visits(*a).count()), visits(*a))[1])
+    got = topk.search(frame, k=9).collect()
+    ids, whole = np.array([i for i, _ in rows]), np.floor(64 * p).astype(np.int64)
+    for q in {i for i in ids.tolist() if i % 20 == 0}:
+        want = plain_search(whole[ids == q][:1], [q], whole, ids, 9)[q]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n + 1, i, s) for n, (s, i) in enumerate(want)]
+    if kind == "clusters":
+        assert 35 <= seen[0] < 0.5 * 12 * 35
+
+
 def test_pruning_happens(monkeypatch):
     rng = np.random.default_rng(2)
     p = np.concatenate([rng.integers(0, 3, (400, 4)) + 1000 * np.eye(4, dtype=int)[c] for c in range(4)])
