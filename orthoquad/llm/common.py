@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..sources.shared import shared_dir, shared_path  # noqa: F401
+
 HELD_OUT_BUCKET = 2
 FOLDS = 4
 
@@ -28,24 +30,37 @@ def held_out(key: str) -> Column:
     return F.coalesce(fold == HELD_OUT_BUCKET, F.lit(True))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+#: Paths in the shared folder that may be read until this driver ends.
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, pattern: str) -> None:
+    """Delete what matches a path pattern, in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(path) or []:
+        store.delete(found.getPath(), True)
+
+
+def keep_to_end(spark: SparkSession, path: str) -> str:
+    """Have ``path`` deleted when this driver ends, as results are read from it until then."""
+    if not _kept:
+        atexit.register(_delete_kept)
+    _kept.append((spark, path))
+    return path
 
-    Only a local master may fall back to a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="orthoquad-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+
+def _delete_kept() -> None:
+    for spark, path in _kept:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage."""
+    """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage; it goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = keep_to_end(spark, shared_path(spark, name))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,7 +69,7 @@ class Scratch:
     """Tables in the shared folder that go when their work is done."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, shared_path(spark, name)
         self.made = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -65,11 +80,7 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Delete the tables of a name, or all."""
-        jvm = self.spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/*-{name}" if name else self.root)
-        store = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for found in store.globStatus(pattern) or []:
-            store.delete(found.getPath(), True)
+        delete(self.spark, f"{self.root}/*-{name}" if name else self.root)
 
     def __enter__(self) -> Scratch:
         return self
@@ -79,20 +90,29 @@ class Scratch:
 
 
 def bounded_sample(rows: DataFrame, key: str, n: int) -> list:
-    """About ``n`` rows (at most ``n``) by a hash of ``key`` and the other columns, on the driver.
+    """About ``n`` distinct rows (at most ``n``) by a hash of ``key`` and the other columns, on the driver.
 
     The share of rows to fetch follows from their count, so that what tasks send
-    is about ``n`` rows however many tasks there are.
+    is about ``n`` rows however many tasks there are; repeated rows, which share
+    their hash, are made one before.
     """
     total = rows.count()
     if total > n:
         bits = 1 << 30
         share = min(bits, int(bits * (n + 4 * n**0.5) / total) + 1)
         rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(bits)) < share)
-    found = rows.withColumn("_hash", F.xxhash64(*rows.columns)).collect()
+    found = rows.distinct().withColumn("_hash", F.xxhash64(*rows.columns)).collect()
     return sorted(found, key=lambda r: (r["_hash"], *map(repr, r)))[:n]
 
 
+def spread(text: Column, most: int, seam: Column, pieces: int = 32) -> Column:
+    """A text or its bytes whole if no longer than ``most``, else pieces of that length together, evenly spaced over all of it."""
+    size = most // pieces
+    cut = [F.substring(text, (1 + F.floor((F.length(text) - size) * i / (pieces - 1))).cast("int"), F.lit(size)) for i in range(pieces)]
+    joined = [x for c in cut for x in (seam, c)][1:]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(*joined))
+
+
 #: log2 of the words of the bit maps that thin out a join's larger side (16 M bits, under 16 MB as a table).
 BITMAP_WORDS = 18
 
@@ -119,6 +139,13 @@ def drop_ids(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     return marked.where("NOT _hit").drop("_hit").unionByName(marked.where("_hit").drop("_hit").join(dropped, key, "left_anti"))
 
 
+def drop_repeats(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``rows`` with one of those that share ``key`` and ``text``; rows with a null key stay, and only repeated keys are shuffled."""
+    twice = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    marked = _marked(rows, key, twice)
+    return marked.where("NOT _hit").drop("_hit").unionByName(marked.where("_hit").drop("_hit").dropDuplicates([key, text]))
+
+
 def trim() -> None:
     """Give freed memory back, as Python workers live on and stay as large as their largest task made them."""
     pa.default_memory_pool().release_unused()
