@@ -26,17 +26,22 @@ from pyspark.sql import functions as F
 from .bpe import Codec, ship_ranks, shipped_codec
 from .common import slices
 
-#: Pre-tokens of a fresh leaf; a leaf of four times as many is split up again.
+#: Pre-tokens of a fresh leaf.
 LEAF = 64
-#: Characters behind a pre-token's end that the split may have looked at.
+#: Characters behind a pre-token's end that the public pattern may have looked at.
 AHEAD = 2
 
 
 class CountTree:
-    """``tokens`` are the pre-tokens of the text."""
+    """``tokens`` are the pre-tokens of the text, and ``ahead`` the characters behind a pre-token that its split depends on.
 
-    def __init__(self, tokens: list[str], codec: Codec):
-        self.codec = codec
+    An edit touches the leaves that it changes and the nodes above them.  A leaf
+    of more pre-tokens than four fresh ones and than there are leaves makes the
+    tree anew, which is paid for by what was inserted into that leaf.
+    """
+
+    def __init__(self, tokens: list[str], codec: Codec, ahead: int = AHEAD):
+        self.codec, self.ahead = codec, ahead
         self.reencoded = 0
         self._build(tokens)
 
@@ -83,6 +88,17 @@ class CountTree:
                 node += 1
         return node - self.size, begin
 
+    def _before(self, leaf: int) -> int:
+        """Characters of the leaves before ``leaf``."""
+        if leaf >= self.size:
+            return self.length
+        node, total = leaf + self.size, 0
+        while node > 1:
+            if node % 2:
+                total += int(self.chars[node - 1])
+            node //= 2
+        return total
+
     def _set(self, leaf: int, tokens: list[str], count: int) -> None:
         self.leaves[leaf] = tokens
         node = leaf + self.size
@@ -100,27 +116,29 @@ class CountTree:
         end = length if end is None else max(start, min(end, length))
         if start == end and not new:
             return
-        first, begin = self._find(start - AHEAD)
+        first, begin = self._find(start - self.ahead)
         last, _ = self._find(end)
         while True:
             old = [t for leaf in self.leaves[first : last + 1] for t in leaf]
-            at_end = not any(self.leaves[last + 1 :])
-            whole = self._splice(old, begin, start, end, new, at_end)
-            if whole is not None:
+            found = self._splice(old, begin, start, end, new, self._before(last + 1) == length)
+            if found is not None:
                 break
             last = min(len(self.leaves) - 1, last + max(1, last - first))
-        count = sum(self._counts(whole))
-        self._set(first, whole, count)
+        safe, fresh, behind = found
+        held = int(self.tokens[self.size + first : self.size + last + 1].sum())
+        whole = old[:safe] + fresh + old[behind:]
+        self._set(first, whole, held + sum(self._counts(fresh)) - sum(self._counts(old[safe:behind])))
+        self.reencoded += len(fresh)
         for leaf in range(first + 1, last + 1):
             if self.leaves[leaf]:
                 self._set(leaf, [], 0)
-        if len(whole) > 4 * LEAF:
+        if len(whole) > max(4 * LEAF, len(self.leaves)):
             self._build([t for leaf in self.leaves for t in leaf])
 
-    def _splice(self, old: list[str], begin: int, start: int, end: int, new: str, at_end: bool) -> list[str] | None:
-        """The pre-tokens that replace ``old``, which begins at ``begin``; None if more of the text is needed."""
+    def _splice(self, old: list[str], begin: int, start: int, end: int, new: str, at_end: bool) -> tuple[int, list[str], int] | None:
+        """How many of ``old``, which begins at ``begin``, stay, the fresh pre-tokens, and where ``old`` goes on; None if more of the text is needed."""
         ends = (np.cumsum(np.fromiter(map(len, old), np.int64, len(old))) + begin).tolist()
-        safe = next((i for i, e in enumerate(ends) if e > start - AHEAD), len(old))
+        safe = next((i for i, e in enumerate(ends) if e > start - self.ahead), len(old))
         region = ends[safe - 1] if safe else begin
         rest = "".join(old[safe:])
         local = rest[: start - region] + new + rest[end - region :]
@@ -130,23 +148,21 @@ class CountTree:
         at = 0
         for token in self.codec.scan(local):
             at += len(token)
-            if not at_end and at + AHEAD > len(local):
+            if not at_end and at + self.ahead > len(local):
                 return None
             fresh.append(token)
             i = kept.get(region + at - moved)
             if i is not None:
-                self.reencoded += len(fresh)
-                return old[:safe] + fresh + old[i + 1 :]
-        if not at_end:
-            return None
-        self.reencoded += len(fresh)
-        return old[:safe] + fresh
+                return safe, fresh, i + 1
+        return (safe, fresh, len(old)) if at_end else None
 
 
-def count(docs: DataFrame, edits_col: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count(docs: DataFrame, edits_col: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ahead: int = AHEAD) -> DataFrame:
     """Per row: the id, n_tokens, n_tokens_edited after the edits in order, and n_reencoded pre-tokens.
 
-    ``edits_col`` holds an array of structs (start, end, replacement).
+    ``edits_col`` holds an array of structs (start, end, replacement).  A
+    ``pattern`` that looks farther than two characters behind a match needs
+    ``ahead`` to say how far.
     """
     shipped, name = ship_ranks(docs, ranks_path)
     start, end, new = docs.schema[edits_col].dataType.elementType.names[:3]
@@ -160,7 +176,7 @@ def count(docs: DataFrame, edits_col: str, ranks_path: str, pattern: str, id_col
             codec.learn(tokens)  # all new pre-tokens of the run at once
             before, after, work = [], [], []
             for own, edits in zip(tokens, part.column("_edits").to_pylist(), strict=True):
-                tree = CountTree(own, codec)
+                tree = CountTree(own, codec, ahead)
                 before.append(tree.total)
                 for e in edits or []:
                     if e is not None:
