@@ -120,29 +120,40 @@ RULES: dict[str, Callable[[], Column]] = {
 }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100, prior_bad: float = 0.15) -> tuple[float, list[float], list[float]]:
+#: Where the estimation starts, and pseudo-votes in favour of that, as a share of a rule's votes.
+START_BAD, START_SENS, START_SPEC = 0.15, 0.2, 0.95
+PRIOR = 0.002
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 300) -> tuple[float, list[float], list[float]]:
     """EM over counts of vote patterns: P(bad), and per rule P(bad vote | bad) and P(good vote | good), given a vote.
 
-    Starts from rules that seldom blame a good text.  Each rule is kept better
-    than chance, so the classes cannot swap, and pseudo-counts stand for rules
-    that have hardly voted.
+    Any accuracy and any share of bad texts can come out; weak priors hold a
+    rule that has hardly voted, and keep probabilities off 0 and 1.  Which of
+    the two classes is the good one is told by its rules' good votes.
     """
-    bad, sens, spec = prior_bad, [0.2] * rules, [0.99] * rules
+    bad, sens, spec = START_BAD, [START_SENS] * rules, [START_SPEC] * rules
     total = sum(n for _, n in patterns)
+    prior = [1 + PRIOR * sum(n for votes, n in patterns if votes[j]) for j in range(rules)]
     for _ in range(rounds if total else 0):
-        mass, votes_bad, votes_good = 0.0, [[1.0, 5.0] for _ in range(rules)], [[19.0, 20.0] for _ in range(rules)]
+        before = (bad, *sens, *spec)
+        mass, voted, on_bad, on_good = 0.0, [[0.0, 0.0] for _ in range(rules)], [START_SENS * x for x in prior], [START_SPEC * x for x in prior]
         for votes, n in patterns:
             p = posterior(votes, bad, sens, spec)
             mass += n * (1 - p)
             for j, v in enumerate(votes):
                 if v:
-                    votes_bad[j][0] += n * (1 - p) * (v < 0)
-                    votes_bad[j][1] += n * (1 - p)
-                    votes_good[j][0] += n * p * (v > 0)
-                    votes_good[j][1] += n * p
-        bad = min(0.5, max(0.001, mass / total))
-        spec = [min(0.999, max(0.95, a / b)) for a, b in votes_good]
-        sens = [min(0.999, max(1.5 * (1 - s), a / b)) for (a, b), s in zip(votes_bad, spec, strict=True)]
+                    voted[j][0] += n * (1 - p)
+                    voted[j][1] += n * p
+                    on_bad[j] += n * (1 - p) * (v < 0)
+                    on_good[j] += n * p * (v > 0)
+        bad = (mass + START_BAD) / (total + 1)
+        sens = [x / (v[0] + w) for x, v, w in zip(on_bad, voted, prior, strict=True)]
+        spec = [x / (v[1] + w) for x, v, w in zip(on_good, voted, prior, strict=True)]
+        if max(abs(x - y) for x, y in zip(before, (bad, *sens, *spec), strict=True)) < 1e-9:
+            break
+    if sum(spec) < sum(1 - a for a in sens):
+        bad, sens, spec = 1 - bad, [1 - s for s in spec], [1 - a for a in sens]
     return bad, sens, spec
 
 
@@ -157,6 +168,11 @@ def posterior(votes: tuple[int, ...], bad: float, sens: list[float], spec: list[
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
+def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    """The base rule over ``counts``."""
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """One row per row of ``docs``: counts, ``base_failed``, ``posterior`` (of being good) and ``kept``."""
     names = list(RULES)
@@ -169,5 +185,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     for column, (g, b) in zip(own, each, strict=True):
         total = total + F.when(F.col(column) > 0, g).when(F.col(column) < 0, b).otherwise(0.0)
     quality = 1 / (1 + F.exp(-total))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    failed = base_failed(min_words, max_repeat_percent)
     return voted.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"), quality.alias("posterior"), *own)

@@ -42,6 +42,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of op7 are votes over, so that SQL can tell it."""
+    counted = quality.counts(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", quality.base_failed().alias("base_failed"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), k=20, scale=64, query_modulus=20)
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "quality_counts": quality_counts,
     "op8_topk_search": op8_topk_search,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
@@ -130,7 +137,36 @@ _TOPK_SQL = """
     FROM s QUALIFY rank <= 20"""
 
 
+_WORD_CLASS = r"[^\x20\x09-\x0D]+"
+
+_COUNTS_SQL = rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '{_WORD_CLASS}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD_CLASS}')) AS l FROM d),
+    g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+    h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+    c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM h) GROUP BY r),
+    n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines
+      FROM w LEFT JOIN c USING (r))
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n"""
+
+
+_JOIN_SQL = rf"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD_CLASS}') AS w FROM documents),
+    s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM d),
+    x AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS x FROM s WHERE doc_id IS NOT NULL),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM s WHERE doc_id IS NOT NULL UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+    c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s LEFT JOIN c ON c.a = s.doc_id"""
+
+
 ORACLE_SQL = {
+    "quality_counts": _COUNTS_SQL,
+    "op10_ngram_join": _JOIN_SQL,
     "op5_warc": _WARC_SQL,
     "op8_topk_search": _TOPK_SQL,
     "op3_secret_scan": _secret_sql(),
