@@ -21,13 +21,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, trim
+from .common import held_out, map_texts, spread, trim
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-#: Bounds of the training sample: texts, and bytes of a text that may enter it.
+#: Bounds of the training sample: texts, and bytes of a text; a longer one gives pieces from all over it.
 SAMPLE_TEXTS = 3000
 SAMPLE_BYTES = 20_000
 
@@ -162,11 +162,13 @@ def train(texts: list[bytes], labels: list[str], steps: int = 400, batch: int =
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
-    """Labelled texts outside the held-out fold, of up to ``max_bytes`` bytes, by a hash: of each language at most its even share of ``texts``.
+    """Labelled texts outside the held-out fold, by a hash: of each language at most its even share of ``texts``.
 
-    Labels are counted over all labelled rows, so a rare language is learned from a large table too.
+    Labels are counted over all labelled rows, so a rare language is learned
+    from a large table too.  Texts of any length take part, with ``max_bytes``
+    bytes at most.
     """
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, max_bytes))
+    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
     rows = labelled.select(F.col(id_col).alias("k"), F.encode(text_col, "utf-8").alias("t"), F.col(lang_col).alias("l"))
     counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
@@ -174,7 +176,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: in
     each, bits = max(1, texts // len(counts)), 1 << 30
     share = F.create_map(*(F.lit(x) for l, n in counts.items() for x in (l, min(bits, int(bits * (each + 4 * each**0.5) / n) + 1))))
     hashed = F.xxhash64("k", "t", "l")
-    found = rows.withColumn("_hash", hashed).where(F.pmod("_hash", F.lit(bits)) < share[F.col("l")]).collect()
+    chosen = rows.withColumn("_hash", hashed).where(F.pmod("_hash", F.lit(bits)) < share[F.col("l")])
+    found = chosen.withColumn("t", spread(F.col("t"), max_bytes, F.lit("\n").cast("binary"))).distinct().collect()
     by_label: dict[str, list] = {l: [] for l in sorted(counts)}
     for r in sorted(found, key=lambda r: (r["_hash"], *map(repr, r))):
         if len(by_label[r.l]) < each:

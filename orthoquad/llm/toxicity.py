@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_texts, slices, trim
+from .common import bounded_sample, held_out, map_texts, slices, spread, trim
 
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8  # of either direction, over words and over characters
@@ -35,9 +35,9 @@ ATTEND = 8
 LEXICAL = EMBED + STEM_EMBED
 BUCKETS = 1 << 14
 CODES = 512
-#: Bounds of the training sample: texts of each label, and bytes of a text that may enter it.
+#: Bounds of the training sample: texts of each label, and characters of a text; a longer one gives pieces from all over it.
 SAMPLE_TEXTS = 1500
-SAMPLE_BYTES = 12_000
+SAMPLE_CHARS = 200_000
 #: Score from which a text is toxic.
 TOXIC = 0.3
 #: An update gate this far open leaves the state as it is.
@@ -93,7 +93,7 @@ class Network:
         rng = np.random.default_rng(seed)
         make = lambda *shape, scale=0.3: (rng.standard_normal(shape) * scale).astype(f32)
         h, wide = HIDDEN, LEXICAL + 2 * HIDDEN
-        p = {"code": make(CODES, EMBED), "word": make(BUCKETS, EMBED, scale=0.1), "stem": make(BUCKETS, STEM_EMBED, scale=0.1)}
+        p = {"code": make(CODES, EMBED), "word": make(BUCKETS, EMBED, scale=0.01), "stem": make(BUCKETS, STEM_EMBED, scale=0.01)}
         for way in "fb":
             p |= {f"cx{way}": make(EMBED, 3 * h), f"cb{way}": np.zeros(3 * h, f32), f"cu{way}": make(h, 3 * h), f"wx{way}": make(wide, 3 * h), f"wb{way}": np.zeros(3 * h, f32), f"wu{way}": make(h, 3 * h)}
         return cls(p | {"a": make(2 * h, ATTEND), "ab": np.zeros(ATTEND, f32), "v": make(ATTEND), "w": make(2 * h), "b": np.array([-1], f32)})
@@ -304,7 +304,7 @@ def lean(p: dict, rows: list[np.ndarray], y: list[int], buckets: np.ndarray) ->
         p[name][:, 0] = np.clip(z, -4, 8) / 4
 
 
-def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 60, share: float = 0.2, warm: int = 80, rate: float = 0.01, seed: int = 5) -> Network | None:
+def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 60, share: float = 0.2, warm: int = 200, rate: float = 0.01, seed: int = 5) -> Network | None:
     """Fit by Adam on batches with a fixed share of label 1; None unless both labels occur.
 
     The first ``warm`` steps take any window of a text, later ones its worst.
@@ -347,14 +347,25 @@ def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 60
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> Network | None:
-    """Learn from at most ``texts`` texts of each label outside the held-out fold, of up to ``max_bytes`` bytes."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, texts: int, max_chars: int) -> list:
+    """Rows (k, y, t) of at most ``texts`` texts of each label outside the held-out fold, one an id."""
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") > 0)
     named = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(~held_out("k") & F.col("y").isin(0, 1))
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t").between(1, max_bytes))
+    named = named.join(rows.select("k"), "k", "left_semi").groupBy("k").agg(F.max("y").alias("y"))
     few = [(r.k, y) for y in (0, 1) for r in bounded_sample(named.where(F.col("y") == y).select("k"), "k", texts)]
     keys = docs.sparkSession.createDataFrame(few, named.select("k", F.lit(0).alias("y")).schema)
-    found = rows.join(F.broadcast(keys), "k").collect()
-    found.sort(key=lambda r: (repr(r.k), r.t))
+    cut = rows.join(F.broadcast(keys), "k").select("k", "y", spread(F.col("t"), max_chars, F.lit(" ")).alias("t"))
+    return sorted(cut.groupBy("k", "y").agg(F.min("t").alias("t")).collect(), key=lambda r: repr(r.k))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", texts: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS) -> Network | None:
+    """Learn from at most ``texts`` texts of each label outside the held-out fold.
+
+    Texts of any length take part; one beyond ``max_chars`` characters gives
+    that many, evenly spaced.  An id labelled both ways counts as toxic; of rows
+    that share an id, the least text is learned.
+    """
+    found = sample(docs, labels, id_col, text_col, label_col, texts, max_chars)
     network = train([r.t for r in found], [r.y for r in found])
     del found
     trim()

@@ -65,10 +65,42 @@ def test_archive_round_trip(spark, tmp_path):
             assert gzip.GzipFile(fileobj=io.BytesIO(data)).read().startswith(b"WARC/1.1")
 
 
+def test_archive_of_odd_ids(spark, tmp_path):
+    ids = ["a\r\nX-Evil: 1", "<b>", "", None, "c:d=%20 é", "same", "same", "same"]
+    rows = [(i, "u", f"text {at // 2}" if i != "same" else ["x", "y", "x"][at - 5], "q") for at, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, record_type string")
+    got = warc.archive(pages).collect()
+    assert sorted(map(repr, (r.page_id for r in got))) == sorted(map(repr, ids))
+    first = {}
+    for i, _, t, _ in rows:
+        if i is not None:
+            first[t] = min(first.get(t, i), i)
+    for r, (i, _, t, _) in ((r, x) for r in got for x in rows if (r.page_id, r.payload_digest) == (x[0], bare(x[2]))):
+        assert r.refers_to == (None if first.get(t, i) == i else first[t]) and r.record_type == ("response" if r.refers_to is None else "revisit")
+    warc.write(pages, f"{tmp_path}/w")
+    seen = [x for p in (tmp_path / "w").glob("part-*") for b in [p.read_bytes()] if b for x in warc.read_records(warc.pieces(b, 100))]
+    assert {x.kind for x in seen} >= {"warcinfo", "response"} and not any("x-evil" in x.headers for x in seen)
+    names = [x.headers["warc-record-id"] for x in seen]
+    assert len(set(names)) == len(names) - 1  # the row that repeats id and payload
+
+
+def test_long_records_are_read_in_pieces():
+    big = bytes(range(256)) * 40_000
+    data = warc.member(warc.record("response", "n", "u", big)) + warc.member(warc.record("revisit", "m", "u", b"", refers_to="n"))
+    for payload in (True, False):
+        a, b = warc.read_records(warc.pieces(data, 1000), payload)
+        assert (a.payload == big) if payload else (a.payload is None)
+        assert (a.http["content-length"], b.kind, b.payload) == (str(len(big)), "revisit", None)
+    raw = warc.record("response", "n", "u", big)
+    for bad in (raw.replace(b"Content-Length: 10240", b"Content-Length: 10239"), raw.replace(b"Content-Length: 1024", b"Content-Length: 2024"), raw[:-9], raw[:60]):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records([warc.member(bad)], payload=False))
+
+
 def test_reader_at_any_cut_and_damage():
     whole = b"".join(warc.member(warc.record("response", f"urn:x-page:{i}", "u", b"p" * i)) for i in range(5))
     for size in (1, 7, 100_000):
-        assert [len(r.http()[1]) for r in warc.read_records(warc.pieces(whole, size))] == list(range(5))
+        assert [len(r.payload) for r in warc.read_records(warc.pieces(whole, size))] == list(range(5))
     with pytest.raises(warc.WarcError):
         list(warc.read_records([whole[:-3]]))
     raw = warc.record("response", "n", "u", b"payload")

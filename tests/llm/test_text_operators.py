@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 
@@ -84,6 +85,19 @@ def test_counts_after_edits(codec, text, edits):
         assert [t for leaf in tree.leaves for t in leaf] == codec.split(text)
 
 
+def test_many_long_edits_of_a_long_text(codec):
+    rng = random.Random(5)
+    text = "some words in a row, and more. " * 3000
+    tree = token_counts.CountTree(codec.split(text), codec)
+    for _ in range(60):
+        a = rng.randrange(len(text))
+        b, new = a + rng.choice([0, 3, 700, 20_000]), " ".join(f"w{rng.randrange(90)}" for _ in range(rng.choice([0, 2, 900])))
+        tree.edit(a, b, new)
+        text = text[:a] + new + text[b:]
+    assert tree.text() == text and tree.total == len(codec.encode(text)) and tree.length == len(text)
+    assert tree._before(len(tree.leaves)) == len(text) and tree._before(1) == sum(map(len, tree.leaves[0]))
+
+
 def test_edits_touch_little(codec):
     text = "some words in a row, and more. " * 4000
     tree = token_counts.CountTree(codec.split(text), codec)
@@ -92,12 +106,14 @@ def test_edits_touch_little(codec):
     assert tree.reencoded < 40
 
 
-def test_count_rows(spark, hard, empty):
+def test_count_rows(spark, hard, empty, encoding):
     from pyspark.sql import functions as F
 
     edits = F.when(F.col("doc_id") == 3, F.lit(None)).otherwise(F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(5).alias("end"), F.lit(" tail").alias("new")), F.lit(None)))
     got = token_counts.count(hard.withColumn("e", edits), "e", RANKS, public_tokenizers.PATTERN).collect()
     assert [r.n_tokens_edited > r.n_tokens for r in got] == [s.doc_id != 3 for s in hard.collect()]
+    encoded = lambda t: len(encoding.encode_ordinary(t))
+    assert [(r.doc_id, r.n_tokens, r.n_tokens_edited) for r in got] == [(s.doc_id, encoded(s.text or ""), encoded((s.text or "") + (" tail" if s.doc_id != 3 else ""))) for s in hard.collect()]
     assert token_counts.count(empty.withColumn("e", edits), "e", RANKS, public_tokenizers.PATTERN).count() == 0
 
 
@@ -287,6 +303,20 @@ def test_estimate_finds_the_bad_class():
     assert quality.estimate([], 2)[0] > 0
 
 
+@pytest.mark.parametrize("bad", [0.1, 0.4, 0.7])
+def test_estimate_recovers_accuracies(bad):
+    rng = random.Random(11)
+    sens, spec = [0.9, 0.7, 0.6, 0.8, 0.5, 0.75], [0.95, 0.9, 0.8, 0.99, 0.85, 0.7]
+    counts = {}
+    for _ in range(60_000):
+        low = rng.random() < bad
+        votes = tuple(0 if rng.random() < 0.2 else (-1 if rng.random() < a else 1) if low else (1 if rng.random() < s else -1) for a, s in zip(sens, spec, strict=True))
+        counts[votes] = counts.get(votes, 0) + 1
+    found = quality.estimate(sorted(counts.items()), 6)
+    assert abs(found[0] - bad) < 0.03
+    assert all(abs(x - y) < 0.06 for x, y in zip([*found[1], *found[2]], [*sens, *spec], strict=True))
+
+
 def test_quality_plan_is_native(hard):
     plan = quality.counts(hard)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
@@ -321,6 +351,42 @@ def test_language_edges(spark, hard, empty):
     assert {r.lang_pred for r in langid.predict(hard, nothing).collect()} == {"und"}
 
 
+def test_language_is_learned_from_long_texts_alone(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, ("le chat et le chien " if i % 2 else "the cat and the dog ") * 4000, "fr" if i % 2 else "en") for i in range(24)], "doc_id bigint, text string, lang string")
+    texts, labels = langid.sample(docs, "doc_id", "text", "lang")
+    assert set(labels) == {"en", "fr"} and all(langid.SAMPLE_BYTES - 64 <= len(t) <= langid.SAMPLE_BYTES + 64 for t in texts)
+    whole = spark.createDataFrame([("".join(map(chr, range(0x4E00, 0x4E00 + 9000))),)], "t string")
+    cut = whole.select(common.spread(F.col("t"), 3200, F.lit("|")).alias("c"), common.spread(F.col("t"), 9000, F.lit("|")).alias("all")).first()
+    parts = cut.c.split("|")
+    assert len(parts) == 32 and all(len(p) == 100 for p in parts) and parts[0][0] == "\u4e00" and parts[-1][-1] == chr(0x4E00 + 8999) and len(cut.all) == 9000
+
+
+def test_language_scorer_equals_a_plain_network():
+    import numpy as np
+
+    model = langid.train([b"the cat and the dog " * 9, b"le chat et le chien " * 9, b"el gato y el perro " * 9], ["en", "fr", "es"], steps=25)
+    texts = ["le chat", "a", "the dog " * 60, "été 🎉 gato", "x" * 129]
+
+    def plain(text):
+        raw, total = text.encode(), np.zeros(3)
+        for a in range(0, len(raw), langid.WINDOW):
+            piece = raw[a : a + langid.WINDOW]
+            e = model.embed[list(piece) + [0] * (langid.WINDOW - len(piece))].astype(float)
+            pooled = []
+            for w, f in zip(langid.WIDTHS, model.filters, strict=True):
+                pooled += np.max([e[i : i + w].ravel() @ f for i in range(langid.WINDOW - w + 1)], axis=0).tolist()
+            z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.out_bias
+            total += len(piece) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return total / total.sum()
+
+    best, score = langid.Scorer(model)(texts)
+    for t, b, s in zip(texts, best, score, strict=True):
+        p = plain(t)
+        assert model.labels[int(p.argmax())] == b and abs(p.max() - s) < 1e-4
+
+
 def test_windows_cover_whole_texts():
     raw, owner, size = langid.cut([b"x" * 300, b"y", b"z" * 128])
     assert owner.tolist() == [0, 0, 0, 1, 2] and size.tolist() == [128, 128, 44, 1, 128]
@@ -340,6 +406,78 @@ def test_toxic_words_are_learned_and_found_anywhere():
     assert got[1] > 0.5 and got[0] < 0.5 and (got[2:5] == 0).all() and (got[5:] < 0.5).all()
 
 
+def test_scorer_equals_a_plain_network():
+    import numpy as np
+
+    net = toxicity.train(["good words here " * 3 + "rot" * (i % 2) for i in range(40)], [i % 2 for i in range(40)], steps=15, batch=10, warm=5)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def last(xs, way, kind):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            a = x @ p[f"{kind}x{way}"] + p[f"{kind}b{way}"]
+            b, n = h @ p[f"{kind}u{way}"], toxicity.HIDDEN
+            r, z = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    def word(w):
+        codes = [p["code"][ord(c) % toxicity.CODES] for c in w]
+        crc = lambda t: zlib.crc32(t.encode()) % toxicity.BUCKETS
+        return np.concatenate([p["word"][crc(w)], p["stem"][crc(w[: toxicity.STEM])], last(codes, "f", "c")[-1], last(codes[::-1], "b", "c")[-1]])
+
+    def plain(text):
+        words = [w for w in ("".join(filter(str.isalpha, t.lower())) for t in (text or "").split()) if w]
+        best = 0.0
+        for a in range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)) if words else 0, toxicity.STRIDE):
+            xs = [word(w) for w in words[a : a + toxicity.WINDOW]]
+            states = np.concatenate([last(xs, "f", "w"), last(xs[::-1], "b", "w")[::-1]], axis=1)
+            s = np.tanh(states @ p["a"] + p["ab"]) @ p["v"]
+            weight = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            best = max(best, float(sig(weight @ states @ p["w"] + p["b"])[0]))
+        return best
+
+    texts = [None, "", "12 !", "good", "Rot, rotten wörds; here!", " ".join(f"w{chr(97 + i % 26)} here" for i in range(70)), "x" * 90, "日本 🎉 good"]
+    got = toxicity.Scorer(net, capacity=7)(texts)
+    assert np.allclose(got, [plain(t) for t in texts], atol=2e-4)
+
+
+def test_trained_network_on_odd_rows(spark, hard, empty):
+    net = toxicity.train(["good words here", "rot"] * 6, [0, 1] * 6, steps=10, batch=6, warm=3)
+    rows = hard.unionByName(spark.createDataFrame([(50, "rot " + "word " * 30_000, 1, "x", "y", 2)], SCHEMA))
+    got = toxicity.score(rows, net).collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in rows.collect()] and all(0 <= r.score <= 1 for r in got)
+    by_text = {}
+    for r, s in zip(got, rows.collect(), strict=True):
+        assert by_text.setdefault(s.text, r.score) == r.score and (any(map(str.isalpha, s.text or "")) or r.score == 0)
+    kept = toxicity.keep(rows, net, threshold=0.0)
+    assert kept.columns == rows.columns and kept.count() == 0 and toxicity.keep(rows, net, threshold=1.1).count() == rows.count()
+    assert toxicity.score(empty, net).count() == 0
+
+
+def test_toxicity_sample(spark):
+    from pyspark.sql import functions as F
+
+    long = "word " * 100_000
+    docs = spark.createDataFrame([(i, long if i == 1 else f"text {i}") for i in range(40)] + [(7, f"again {j}") for j in range(50)] + [(3, "text 3")] * 50 + [(60, None), (61, "")], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 1).cast("int").alias("toxic")).unionByName(spark.createDataFrame([(99, 1), (None, 1), (2, None)], "doc_id bigint, toxic int"))
+    found = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 1000, 3200)
+    want = {r.doc_id for r in docs.where(~common.held_out("doc_id") & (F.length("text") > 0)).collect()}
+    assert [r.k for r in found] == sorted(want, key=repr) and all(r.y == (r.k % 4 == 1) and len(r.t) <= 3300 for r in found)
+    assert len(toxicity.sample(docs, labels, "doc_id", "text", "toxic", 5, 3200)) == 10
+
+
+def test_toxicity_by_held_out_labels(spark):
+    """Of 14 toxic held-out texts, five are in languages with hardly a toxic text to learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where(common.held_out("doc_id")).collect()
+    caught = [r.score >= toxicity.TOXIC for r in found if r.toxic == 1]
+    blamed = [r.score >= toxicity.TOXIC for r in found if r.toxic == 0]
+    assert sum(caught) >= 0.6 * len(caught) and sum(blamed) <= 0.12 * len(blamed)
+
+
 def test_window_bounds():
     import numpy as np
 
