@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoquad.llm import langid, ngram_join, packing, secrets, toxicity
-from orthoquad.llm.common import drop_ids, materialize, table
+from orthoquad.llm.common import Scratch, drop_ids, drop_repeats, keep_to_end, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words that packing remembers, few as workers also serve the other stages.
@@ -34,9 +34,14 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, keep the smallest id."""
+    """Of each group of texts linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, keep the smallest id.
+
+    Of rows that repeat an id and its text one stays; other texts of the
+    smallest id stay, as do rows with a null id.
+    """
     found = ngram_join.join(docs, n=5, percent=80)
-    return drop_ids(docs.select(COLUMNS), "doc_id", found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    kept = drop_ids(docs.select(COLUMNS), "doc_id", found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    return drop_repeats(kept, "doc_id", "text")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    """All stages on ``documents``, each written to the shared folder and read again; a stage's table goes when the next is written."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    keep_to_end(spark, scratch.root)
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if at:
+            scratch.drop(STAGES[at - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
