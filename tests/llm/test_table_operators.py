@@ -422,6 +422,9 @@ def test_stages(spark, monkeypatch):
         if name == "language_id":
             assert after.where("doc_id IN (900000, 900001)").count() == 0
         if name == "ngram_join":
+            docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(3))
+            after = common.materialize(stage(spark, docs, SF), name)
+            assert after.where("doc_id IS NOT NULL").count() == after.select("doc_id").where("doc_id IS NOT NULL").distinct().count()
             found = plain_join([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
             assert {r.doc_id for r in after.collect()} == {i for i, _, c in found if i == c}
         if name == "secret_scan":
@@ -431,3 +434,23 @@ def test_stages(spark, monkeypatch):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
     assert public_tokenizers.path("word_bpe_49k.json") and corpus_pipeline.ORACLE_SQL is None
+
+
+def tables(spark, path, rows, labels):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, component_id int, score double, _id string, sig bigint"
+    spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, 0.5, "x", 2) for i, t, lang in rows], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_run_on_odd_tables(spark, tmp_path, monkeypatch):
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: train(texts, labels, steps=20))
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "empty", [], [])).count() == 0
+    long = " ".join(f"word{i}" for i in range(250_000))  # longer than a slice of the join
+    rows = [(1, "the cat and the dog", "en"), (1, "the cat and the dog", "en"), (2, "The CAT and the dog", "en"), (3, None, None), (4, "", "en"), (5, " 12 ", "fr"), (None, "the cat and the dog", "en"), (None, None, "en"), (7, "le chat token = 'abcdefghijkl1234'", "fr"), (8, long, "en"), (9, long + " end", "en"), (10, "日本 текст", None)]
+    pieces = corpus_pipeline.run(spark, tables(spark, tmp_path / "odd", rows, [])).collect()
+    assert {r.doc_id for r in pieces} == {1, None, 7, 8, 10}
+    assert sum(r.start == 0 for r in pieces if r.doc_id == 1) == 1
+    whole = {r.doc_id: r.doc_tokens for r in pieces}
+    assert sum(r.length for r in pieces if r.doc_id == 8) == whole[8] > 250_000
