@@ -38,6 +38,8 @@ CODES = 512
 #: Bounds of the training sample: texts of each label, and characters of a text; a longer one gives pieces from all over it.
 SAMPLE_TEXTS = 1500
 SAMPLE_CHARS = 200_000
+#: Windows scored at once.
+SCORED = 2048
 #: Score from which a text is toxic.
 TOXIC = 0.3
 #: An update gate this far open leaves the state as it is.
@@ -238,8 +240,8 @@ class Scorer:
     def __call__(self, texts: list) -> np.ndarray:
         index, owner = windows(self.rows(texts))
         out = np.full(len(texts), -np.inf)
-        for a in range(0, len(owner), 4096):
-            np.maximum.at(out, owner[a : a + 4096], logits(self.p, self.project, index[:, a : a + 4096]))
+        for a in range(0, len(owner), SCORED):
+            np.maximum.at(out, owner[a : a + SCORED], logits(self.p, self.project, index[:, a : a + SCORED]))
         return 1 / (1 + np.exp(-np.clip(out, -700, 700))) * np.isfinite(out)
 
 
