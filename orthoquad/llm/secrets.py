@@ -15,7 +15,6 @@ empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import re._constants as sre_c
 import re._parser as sre_p
@@ -331,7 +330,3 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
             yield part.set_column(part.schema.get_field_index(text_col), text_col, pa.array(new, pa.string()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def base_sha256(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()

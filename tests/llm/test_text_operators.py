@@ -154,7 +154,7 @@ def test_secret_rows(hard, empty):
         spans = spans_of(s.text or "")
         shown = [(secrets.RULES[k].kind, a, b) for a, k, b in spans]
         base = [x for x in shown if x[0] in ("assign", "access", "hex")]
-        assert (r.doc_id, r.n_assign, r.base_sha256, r.spans) == (s.doc_id, sum(x[0] == "assign" for x in shown), secrets.base_sha256(base), ",".join(f"{k}:{a}:{b}" for k, a, b in shown))
+        assert (r.doc_id, r.n_assign, r.base_sha256, r.spans) == (s.doc_id, sum(x[0] == "assign" for x in shown), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in shown))
     assert got[-1].n_assign == 1 and secrets.digest(secrets.scan(empty)).count() == 0
     clean = secrets.redact(hard)
     assert clean.columns == hard.columns and [r.text for r in clean.collect()][-1] == "null id [ASSIGN]'"
@@ -330,6 +330,38 @@ def test_sample_holds_rare_languages(spark):
     assert langid.sample(docs, "doc_id", "text", "lang", texts=20) == langid.sample(docs.repartition(7), "doc_id", "text", "lang", texts=20)
 
 
+# ---- very long texts ---------------------------------------------------------------------------
+def test_texts_beyond_every_slice_and_block(spark, encoding):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    words = [rng.choice(vocabulary) for _ in range(700_000)]
+    long = " ".join(words) + ". password = abcdef0123456789"
+    assert len(long) > 4_300_000
+    rows = spark.createDataFrame([(1, long), (2, "short one"), (3, long[:4_000_000])], "doc_id bigint, text string")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    spans = {r.doc_id: r.found for r in secrets.scan(rows).collect()}
+    assert [(s.kind, s.end) for s in spans[1]] == [("assign", len(long)), ("hex", len(long))] and not spans[2] and not spans[3]
+    whole = Tokenizer.from_file(WORDS)
+    pieces = packing.pack(rows, WORDS).collect()
+    for i, t in texts.items():
+        n = len(whole.encode(t, add_special_tokens=False).ids) + 1
+        own = [r for r in pieces if r.doc_id == i]
+        assert n > (packing.BLOCK if i != 2 else 0) and sum(r.length for r in own) == n == own[0].doc_tokens
+    tokens = {i: len(encoding.encode_ordinary(t)) for i, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in bpe.round_trip(rows, RANKS, public_tokenizers.PATTERN).collect()} == tokens
+    edits = F.array(F.struct(F.lit(4_000_000).alias("a"), F.lit(4_000_000).alias("b"), F.lit(" new words").alias("t")))
+    counted = {r.doc_id: (r.n_tokens, r.n_tokens_edited) for r in token_counts.count(rows.withColumn("e", edits), "e", RANKS, public_tokenizers.PATTERN).collect()}
+    assert counted == {i: (tokens[i], len(encoding.encode_ordinary(t[:4_000_000] + " new words" + t[4_000_000:]))) for i, t in texts.items()}
+    assert {r.doc_id: r.n_words for r in quality.counts(rows).collect()} == {i: len(t.split()) for i, t in texts.items()}
+    net = toxicity.train(["good words here", "rot"] * 6, [0, 1] * 6, steps=10, batch=6, warm=3)
+    found = {r.doc_id: r.score for r in toxicity.score(rows, net).collect()}
+    assert abs(found[1] - toxicity.Scorer(net)([long])[0]) < 1e-6 and len(found) == 3
+    model = langid.train([b"the cat and the dog " * 9, b"le chat et le chien " * 9], ["en", "fr"], steps=30)
+    assert [r.lang_pred for r in langid.predict(rows.limit(1), model).collect()] == langid.Scorer(model)([long])[0]
+
+
 # ---- trained networks ------------------------------------------------------------------------------
 def test_language_by_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
