@@ -39,6 +39,13 @@ def decode(flat: Column | str, decoder: Callable[[Column], Column] | None = None
     return decoder(points) if decoder else points
 
 
+def prior_decoder(cx: Column | str, cy: Column | str, side: Column | str, variance: float = 0.1) -> Callable[[Column], Column]:
+    """A decoder of points encoded about their prior's centre, in units of ``variance`` times its side."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    step = col(side) * variance
+    return lambda points: F.transform(points, lambda p: F.array(col(cx) + p[0].cast("double") * step, col(cy) + p[1].cast("double") * step))
+
+
 def outputs(rows: DataFrame) -> DataFrame:
     """What a detector returns: confidence and ordered corners, nothing else."""
     return rows.select("image", "prior_id", "confidence", "ordered_corners")

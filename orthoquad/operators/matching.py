@@ -21,14 +21,14 @@ def overlapping(left: DataFrame, priors: DataFrame, box: str = "box", prior_box:
 
     Both sides go to each cell that they touch; a pair is formed in the cell of
     its intersection's upper left corner only, so it comes once.  Boxes have
-    x0 <= x1 and y0 <= y1.  There are a few thousand priors at most (their
-    number is fixed by the grid), so they are broadcast.
+    x0 <= x1 and y0 <= y1.  Spark broadcasts the priors if their measured size
+    allows.
     """
     lx, ly = _cells(box, cell)
     px, py = _cells(prior_box, cell)
     a = left.withColumn("_cx", F.explode(lx)).withColumn("_cy", F.explode(ly))
     b = priors.withColumn("_cx", F.explode(px)).withColumn("_cy", F.explode(py))
-    joined = a.join(F.broadcast(b), ["_cx", "_cy"])
+    joined = a.join(b, ["_cx", "_cy"])
     touch = (F.col(box)["x0"] < F.col(prior_box)["x1"]) & (F.col(prior_box)["x0"] < F.col(box)["x1"]) & (F.col(box)["y0"] < F.col(prior_box)["y1"]) & (F.col(prior_box)["y0"] < F.col(box)["y1"])
     home = lambda low: F.floor(F.greatest(F.col(box)[low], F.col(prior_box)[low]) / cell).cast("int")
     return joined.where(touch & (F.col("_cx") == home("x0")) & (F.col("_cy") == home("y0"))).drop("_cx", "_cy")

@@ -114,6 +114,14 @@ def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.detect(rows.select(F.floor(F.col("vec_id") / 50).alias("image"), F.col("vec_id").cast("int").alias("prior_id"), "confidence", spread.alias("ordered_corners")), THRESHOLD)
 
 
+def decode_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners decoded about the priors that rows belong to."""
+    rows = head_rows(spark, sf_dir).withColumn("prior_id", F.pmod("vec_id", F.lit(4420)).cast("int"))
+    grid = priors.with_boxes(priors.prior_grid(spark), SIDES).select("prior_id", "cx", "cy", "side")
+    points = head.decode("ordered_corners", head.prior_decoder("cx", "cy", "side"))
+    return rows.join(grid, "prior_id").select("vec_id", "prior_id", F.transform(g.flatten_corners(points), lambda v: F.round(v, 6)).alias("corners"))
+
+
 def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     k = F.col("p_partkey")
@@ -337,7 +345,7 @@ def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, detect, manifest_diff, header_rewrite, split_names, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, split_names, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -408,6 +416,9 @@ ORACLE_SQL = {
       greatest(e[1], e[3], e[5], e[7]) AS x1, greatest(e[2], e[4], e[6], e[8]) AS y1 FROM (SELECT vec_id, {_CAST8} AS e FROM embeddings)""",
     "head_score": "SELECT vec_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS margin, round(1 / (1 + exp(-(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)))), 9) AS score FROM embeddings",
     "head_anchors": "SELECT vec_id, CAST(a AS INT) AS anchor, embedding[a * 8 + 1 : a * 8 + 8] AS values FROM embeddings, unnest(range(8)) t(a)",
+    "decode_priors": f"""WITH {_PRIORS}, b AS (SELECT prior_id, stride * col + stride // 2 AS cx, stride * row + stride // 2 AS cy, {_SIDE} AS side FROM p)
+      SELECT vec_id, prior_id, list_transform(range(8), lambda i: round(CASE WHEN i % 2 = 0 THEN cx ELSE cy END + CAST(embedding[i + 3] AS DOUBLE) * (side * CAST(0.1 AS DOUBLE)), 6)) AS corners
+      FROM (SELECT vec_id, embedding, CAST(vec_id % 4420 AS INT) AS prior_id FROM embeddings) JOIN b USING (prior_id)""",
     "detect": f"""WITH RECURSIVE e AS (SELECT vec_id // 50 AS image, CAST(vec_id AS INT) AS prior_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS score, list_transform({_CAST8}, lambda v: CAST(floor(v * CAST(100 AS FLOAT)) AS BIGINT)) AS f FROM embeddings),
       src AS (SELECT image, prior_id, score, f, least(f[1], f[3], f[5], f[7]) AS x0, least(f[2], f[4], f[6], f[8]) AS y0, greatest(f[1], f[3], f[5], f[7]) AS x1, greatest(f[2], f[4], f[6], f[8]) AS y1 FROM e),
       {_greedy("src", "image", "prior_id")} SELECT r.image, r.prior_id, src.score AS margin, src.f AS ordered_corners FROM r JOIN src ON src.prior_id = r.prior_id AND src.image = r.image WHERE keep""",

@@ -114,6 +114,12 @@ def test_detect_flow(spark):
     assert head.outputs(frame).columns == ["image", "prior_id", "confidence", "ordered_corners"]
 
 
+def test_prior_decoder(spark):
+    rows = spark.createDataFrame([([float(v) for v in (-5, -5, 5, -5, 5, 5, -5, 5)], 100.0, 60.0, 32)], "ordered_corners array<float>, cx double, cy double, side int")
+    points = rows.select(head.decode("ordered_corners", head.prior_decoder("cx", "cy", "side")).alias("p")).first().p
+    assert points == [[84.0, 44.0], [116.0, 44.0], [116.0, 76.0], [84.0, 76.0]]
+
+
 def test_forward_loads_once_a_task(spark):
     def load():
         def model(batch):
