@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,34 +105,50 @@ class WordTokens:
                 group.append((n, word))
             return n
 
-        for i, w in enumerate(fresh, known):
+        def each_of(words: pa.Array, group: list) -> np.ndarray:
+            coded = words.dictionary_encode()
+            return np.array([of(w, group) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)[coded.indices.to_numpy()]
+
+        words = pa.array(fresh, pa.large_string())
+        bases = pc.ascii_rtrim(words, characters=PUNCTUATION)
+        ascii_letters = pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(bases)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(ascii_letters)
+        own, base = words.take(pa.array(at)), bases.take(pa.array(at))
+        low = pc.ascii_lower(base)
+        lower = pc.equal(low, own).to_numpy(zero_copy_only=False)
+        bare = pc.equal(base, own).to_numpy(zero_copy_only=False)
+        plain += [(i + known, fresh[i]) for i in at[lower].tolist()]
+        pick = bare & ~lower
+        same.append(np.stack([at[pick] + known, each_of(low.filter(pa.array(pick)), plain)], axis=1))
+        pick = ~bare
+        tails = pc.replace_substring_regex(own.filter(pa.array(pick)), "^[A-Za-z]+", "")
+        joint.append(np.stack([at[pick] + known, each_of(low.filter(pa.array(pick)), plain), each_of(tails, apart)], axis=1))
+        for i in np.flatnonzero(~ascii_letters).tolist():
+            w = fresh[i]
             base = w.rstrip(PUNCTUATION)
-            if not base.isalpha() or "\u03a3" in base:  # lower() treats a final sigma in its own way
-                apart.append((i, w))
-                continue
             low = base.lower()
-            if low == w:
-                plain.append((i, w))
+            if not base.isalpha() or not low.isalpha() or "\u03a3" in base:  # lower() may add a mark, and treats a final sigma in its own way
+                apart.append((i + known, w))
+            elif low == w:
+                plain.append((i + known, w))
             elif len(base) == len(w):
-                same.append((i, of(low, plain)))
+                same.append([[i + known, of(low, plain)]])
             else:
-                joint.append((i, of(low, plain), of(w[len(base) :], apart)))
+                joint.append([[i + known, of(low, plain), of(w[len(base) :], apart)]])
         total = len(number)
         grow = lambda x: np.concatenate([x, np.zeros(total - len(x), x.dtype)])
         self.start, self.size, self.ends, self.hits = grow(self.start), grow(self.size), grow(self.ends), grow(self.hits)
-        self.ends[known : known + len(fresh)] = [w[-1] in ".!?" or (w[-1] in "\"')" and w.rstrip("\"')").endswith((".", "!", "?"))) for w in fresh]
+        self.ends[known : known + len(fresh)] = pc.match_substring_regex(words, r"""[.!?]["')]*$""").to_numpy(zero_copy_only=False)
         if plain:
             words = [w for _, w in plain]
             self._put([i for i, _ in plain], *(self._together(words) or self._apart(words)))
         if apart:
             self._put([i for i, _ in apart], *self._apart([w for _, w in apart]))
-        if same:
-            i, j = np.array(same).T
-            self.start[i], self.size[i] = self.start[j], self.size[j]
-        if joint:
-            parts = np.array(joint)
-            pairs = parts[:, 1:].ravel()
-            self._put(parts[:, 0], self._gather(self.start[pairs], self.size[pairs]), self.size[parts[:, 1]] + self.size[parts[:, 2]])
+        i, j = np.concatenate(same).T
+        self.start[i], self.size[i] = self.start[j], self.size[j]
+        parts = np.concatenate(joint)
+        pairs = parts[:, 1:].ravel()
+        self._put(parts[:, 0], self._gather(self.start[pairs], self.size[pairs]), self.size[parts[:, 1]] + self.size[parts[:, 2]])
 
     def forget(self) -> None:
         """Drop the words that were met only once; all, if that frees less than half."""
@@ -171,19 +188,31 @@ class WordTokens:
             return None
         return flat, np.diff(last, prepend=0)
 
+    def _numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each text, and the numbers of all words in turn; distinct words are looked up once."""
+        if any(c in t for t in texts if t for c in ODD):
+            words = [[] if not t else [t] if any(c in t for c in ODD) else t.split() for t in texts]
+            counts = np.fromiter(map(len, words), np.int64, len(words))
+            return counts, np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        trimmed = pc.utf8_trim_whitespace(pa.array([t or None for t in texts], pa.large_string()))
+        lists = pc.utf8_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
+        counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        known = np.fromiter(map(self.number.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(words.dictionary))
+        return counts, known[words.indices.to_numpy()]
+
     def __call__(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text: ids with the end token last, and the positions where a sentence ends."""
         if not texts:
             return []
-        words = [[] if not t else [t] if any(c in t for c in ODD) else t.split() for t in texts]
         if len(self.number) > self.capacity:
             self.forget()
-        counts = np.fromiter(map(len, words), np.int64, len(words))
+        counts, numbers = self._numbers(texts)
         last_word = np.cumsum(counts + 1) - 1
         inner = np.ones(int(last_word[-1]) + 1, bool)
         inner[last_word] = False
         n = np.zeros(len(inner), np.int64)
-        n[inner] = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        n[inner] = numbers
         if self.number.fresh:
             self.learn()
         self.hits += np.bincount(n, minlength=len(self.hits))
