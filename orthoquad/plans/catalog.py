@@ -20,7 +20,7 @@ from ..operators import dataset, head, manifest, matching, nms, pixels, priors,
 from ..schema import HEIGHT, REJECT, WIDTH
 from ..sources import checkpoints, images
 from ..sources.annotations import scan_annotations, scan_polygons
-from ..sources.shared import shared_path
+from ..sources.shared import keep_to_end, shared_path
 from ..sources.sinks import write_annotations, write_images
 
 #: Sides of the priors by level and anchor: a choice of these queries.
@@ -28,6 +28,11 @@ SIDES = {(0, 0): 16, (0, 1): 24, (0, 2): 32, (1, 0): 48, (1, 1): 64, (2, 0): 96,
 THRESHOLD = Fraction(3, 10)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder whose files go when the driver ends."""
+    return keep_to_end(spark, shared_path(spark, name))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -166,7 +171,7 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     name = F.when(e % 50 == 0, F.format_string('images/a}b"{c\\_%07d.jpg', e)).otherwise(F.format_string("images/train_%07d.jpg", e))
     rows = quads(spark, sf_dir).withColumn("image", name).withColumn("corners", F.when(e % 97 != 0, F.col("corners")))
-    path = shared_path(spark, "annotations")
+    path = fresh_path(spark, "annotations")
     write_annotations(dataset.with_constants(rows), path)
     show = lambda df, good: df.select("image", "width", "height", "label", g.flatten_corners("corners").alias("corners"), "corner_order", F.lit(good).alias("good"))
     good, bad = scan_annotations(spark, path)
@@ -214,7 +219,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_frames(spark: SparkSession, sf_dir: str, encode: Callable[[DataFrame], DataFrame] = pixels.encode_jpeg) -> str:
     """Write the frames as <split>/images/*.jpg and return the folder."""
-    path = shared_path(spark, "images")
+    path = fresh_path(spark, "images")
     encoded = encode(frames(spark, sf_dir).withColumn("image", F.concat_ws("/", "split", "image")))
     write_images(encoded, path).agg(F.sum("bytes")).collect()
     return path
@@ -310,7 +315,7 @@ def polygon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.struct(F.lit("code").alias("label"), F.lit("polygon").alias("shape_type"), F.when(k % 7 == 3, F.slice(points, 1, 3)).otherwise(points).alias("points"))
     shapes = F.when(k % 11 == 5, F.array(shape, shape)).otherwise(F.array(shape))
     record = F.to_json(F.struct(F.col("image").alias("imagePath"), F.col("width").alias("imageWidth"), F.col("height").alias("imageHeight"), shapes.alias("shapes")))
-    path = shared_path(spark, "polygons")
+    path = fresh_path(spark, "polygons")
     files = frames(spark, sf_dir).select(F.format_string("%d.json", k).alias("image"), record.cast("binary").alias("content"))
     write_images(files, path).agg(F.sum("bytes")).collect()
     good, bad = dataset.from_polygons(scan_polygons(spark, path))
@@ -322,7 +327,7 @@ def checkpoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A checkpoint of one parameter a nation, written as a file and scanned."""
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").collect()
     shapes = {("regression_headers" if k % 5 == 0 else "base_net") + f".{k}.weight": (r + 1, k + 1, 3) for k, r in rows}
-    path = shared_path(spark, "checkpoint")
+    path = fresh_path(spark, "checkpoint")
     file = spark.createDataFrame([("model.pth", bytearray(checkpoints.index_file(shapes)))], "image string, content binary")
     write_images(file, path).agg(F.sum("bytes")).collect()
     return checkpoints.scan_checkpoint(spark, f"{path}/model.pth")
