@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from ..sources.shared import shared_dir, shared_path  # noqa: F401
+from ..sources.shared import deletion, keep_to_end, shared_path
 
 HELD_OUT_BUCKET = 2
 FOLDS = 4
@@ -30,33 +28,6 @@ def held_out(key: str) -> Column:
     return F.coalesce(fold == HELD_OUT_BUCKET, F.lit(True))
 
 
-#: Paths in the shared folder that may be read until this driver ends.
-_kept: list[tuple[SparkSession, str]] = []
-
-
-def delete(spark: SparkSession, pattern: str) -> None:
-    """Delete what matches a path pattern, in whatever store it lies."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in store.globStatus(path) or []:
-        store.delete(found.getPath(), True)
-
-
-def keep_to_end(spark: SparkSession, path: str) -> str:
-    """Have ``path`` deleted when this driver ends, as results are read from it until then."""
-    if not _kept:
-        atexit.register(_delete_kept)
-    _kept.append((spark, path))
-    return path
-
-
-def _delete_kept() -> None:
-    for spark, path in _kept:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            delete(spark, path)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage; it goes when the driver ends."""
     spark = df.sparkSession
@@ -80,7 +51,7 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Delete the tables of a name, or all."""
-        delete(self.spark, f"{self.root}/*-{name}" if name else self.root)
+        deletion(self.spark, f"{self.root}/*-{name}" if name else self.root)()
 
     def __enter__(self) -> Scratch:
         return self
