@@ -101,13 +101,13 @@ class Network:
         return cls(p | {"a": make(2 * h, ATTEND), "ab": np.zeros(ATTEND, f32), "v": make(ATTEND), "w": make(2 * h), "b": np.array([-1], f32)})
 
 
-def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes (length x words, -1 behind the end) and buckets."""
+def spell(words: list[str]) -> np.ndarray:
+    """Character codes (length x words, -1 behind the end)."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % CODES
     codes = np.full((len(words), int(sizes.max())), -1, np.int64)
     codes[np.arange(codes.shape[1]) < sizes[:, None]] = flat
-    return codes.T, buckets_of(words)
+    return codes.T
 
 
 def buckets_of(words: list[str]) -> np.ndarray:
@@ -127,8 +127,9 @@ def _char_inputs(p: dict, codes: np.ndarray, way: str) -> np.ndarray:
     return table[codes if way == "f" else codes[::-1]]
 
 
-def word_inputs(p: dict, words: list[str]) -> np.ndarray:
+def word_inputs(p: dict, words: list[str], buckets: np.ndarray | None = None) -> np.ndarray:
     """Embedding and character states of each word."""
+    buckets = buckets_of(words) if buckets is None else buckets
     out = np.empty((len(words), LEXICAL + 2 * HIDDEN), f32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     at = 0
@@ -138,8 +139,8 @@ def word_inputs(p: dict, words: list[str]) -> np.ndarray:
         while end < len(order) and end - at < 4096 and len(words[order[end]]) <= longest:
             end += 1
         which = order[at:end]
-        codes, buckets = spell([words[i] for i in which])
-        out[which] = np.concatenate([lexical(p, buckets), *(gru(_char_inputs(p, codes, way), p[f"cu{way}"])[-1] for way in "fb")], axis=1)
+        codes = spell([words[i] for i in which])
+        out[which] = np.concatenate([lexical(p, buckets[:, which]), *(gru(_char_inputs(p, codes, way), p[f"cu{way}"])[-1] for way in "fb")], axis=1)
         at = end
     return out
 
@@ -245,9 +246,16 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out, -700, 700))) * np.isfinite(out)
 
 
-def _step(p: dict, words: list[str], index: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` (... x width) by row."""
+    width = values.shape[-1]
+    flat = rows.reshape(-1, 1) * width + np.arange(width)
+    return np.bincount(flat.ravel(), weights=values.ravel(), minlength=n * width).reshape(n, width).astype(f32)
+
+
+def _step(p: dict, words: list[str], index: np.ndarray, y: np.ndarray, rng: np.random.Generator, buckets: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Gradients of the mean log loss over windows of the rows 1... of ``words``."""
-    codes, buckets = spell(words)
+    codes, buckets = spell(words), buckets_of(words) if buckets is None else buckets
     shown = (rng.random((len(words), 1)) < 0.5).astype(f32)  # so that spelling alone must do, at times
     kept, last = {}, {}
     for way in "fb":
@@ -272,23 +280,18 @@ def _step(p: dict, words: list[str], index: np.ndarray, y: np.ndarray, rng: np.r
     for way in "fb":
         part = g_states[:, :, :HIDDEN] if way == "f" else g_states[::-1, :, HIDDEN:]
         gx, grads[f"wu{way}"] = gru_back(part, p[f"wu{way}"], deep[way])
-        g_project = np.zeros_like(project[way])
-        np.add.at(g_project, index if way == "f" else index[::-1], gx)
-        g_project = g_project[1:]
+        g_project = scatter(index if way == "f" else index[::-1], gx, len(project[way]))[1:]
         grads |= {f"wx{way}": inputs.T @ g_project, f"wb{way}": g_project.sum(0)}
         g_inputs += g_project @ p[f"wx{way}"].T
     for k, (name, part) in enumerate((("word", slice(0, EMBED)), ("stem", slice(EMBED, LEXICAL)))):
-        grads[name] = np.zeros_like(p[name])
-        np.add.at(grads[name], buckets[k], g_inputs[:, part] * shown)
+        grads[name] = scatter(buckets[k], g_inputs[:, part] * shown, len(p[name]))
     grads["code"] = np.zeros_like(p["code"])
     for i, way in enumerate("fb"):
         g_last = np.zeros((*codes.shape, HIDDEN), f32)
         g_last[-1] = g_inputs[:, LEXICAL + i * HIDDEN : LEXICAL + (i + 1) * HIDDEN]
         gx, grads[f"cu{way}"] = gru_back(g_last, p[f"cu{way}"], kept[way])
         where = codes if way == "f" else codes[::-1]
-        table = np.zeros((CODES + 1, 3 * HIDDEN), f32)
-        np.add.at(table, where, gx)
-        table = table[:-1]
+        table = scatter(where % (CODES + 1), gx, CODES + 1)[:-1]  # -1, behind a word's end, comes last
         grads["code"] += table @ p[f"cx{way}"].T
         grads |= {f"cx{way}": p["code"].T @ table, f"cb{way}": table.sum(0)}
     return grads
@@ -322,7 +325,8 @@ def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 60
     kinds = [[i for i in k.tolist() if len(rows[i])] for k in kinds]
     if not all(kinds):
         return None
-    lean(p, [rows[i] for k in kinds for i in k], [y for y, k in enumerate(kinds) for _ in k], buckets_of(names[1:]))
+    buckets = buckets_of(names)
+    lean(p, [rows[i] for k in kinds for i in k], [y for y, k in enumerate(kinds) for _ in k], buckets[:, 1:])
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         chosen = [k[i] for k, n in zip(kinds, (batch - round(batch * share), round(batch * share)), strict=True) for i in rng.integers(len(k), size=n)]
@@ -332,13 +336,13 @@ def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 60
         if step <= warm:
             key = rng.random(len(owner))
         else:
-            inputs = word_inputs(p, [names[i] for i in used[1:].tolist()])
+            inputs = word_inputs(p, [names[i] for i in used[1:].tolist()], buckets[:, used[1:]])
             project = {way: np.concatenate([padding(), x]) for way, x in projections(p, inputs).items()}
             key = logits(p, project, local)
         best = np.lexsort((key, owner))[np.append(np.flatnonzero(np.diff(owner)), len(owner) - 1)]
         index, y = index[:, best], y_all[chosen].astype(f32)[owner[best]]
         used, inverse = np.unique(np.concatenate([[0], index.ravel()]), return_inverse=True)
-        grads = _step(p, [names[i] for i in used[1:].tolist()], inverse[1:].reshape(index.shape), y, rng)
+        grads = _step(p, [names[i] for i in used[1:].tolist()], inverse[1:].reshape(index.shape), y, rng, buckets[:, used[1:]])
         size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
