@@ -220,6 +220,17 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> list[list[int]]:
     return out
 
 
+class Shown(dict):
+    """A pre-token's decimal ids, joined by spaces, made when they are first asked for."""
+
+    def __init__(self, ids: dict):
+        self.ids = ids
+
+    def __missing__(self, token: str) -> str:
+        self[token] = text = " ".join(map(str, self.ids[token]))
+        return text
+
+
 class Codec:
     """Encoder with a bounded memory of pre-tokens met before."""
 
@@ -231,8 +242,8 @@ class Codec:
         self.split = compiled.findall
         self.scan = lambda text: (m[0] for m in compiled.finditer(text))
         self.capacity = capacity
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
+        self.ids: dict[str, list[int]] = {}
+        self.shown = Shown(self.ids)
         self.count: dict[str, int] = {}
 
     def learn(self, tokens: list[list[str]]) -> None:
@@ -241,11 +252,9 @@ class Codec:
             self.shown.clear()
             self.count.clear()
         new = list(set().union(*tokens).difference(self.ids))
-        pieces = [t.encode("utf-8") for t in new]
-        for t, ids in zip(new, encode_pieces(pieces, self.merges), strict=True):
-            self.ids[t] = tuple(ids)
-            self.shown[t] = " ".join(map(str, ids))
-            self.count[t] = len(ids)
+        found = encode_pieces([t.encode("utf-8") for t in new], self.merges)
+        self.ids.update(zip(new, found, strict=True))
+        self.count.update(zip(new, map(len, found), strict=True))
 
     def encode(self, text: str) -> list[int]:
         tokens = self.split(text)
