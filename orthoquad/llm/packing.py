@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, trim
 
 LENGTH = 2048
 SENTENCE = 8
@@ -336,11 +336,12 @@ class Packer:
 _TOKENS: dict = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, keep: tuple[str, ...] = (), block: int = BLOCK, capacity: int = WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, keep: tuple[str, ...] = (), block: int = BLOCK, capacity: int = WORDS, remember: bool = True) -> DataFrame:
     """Pieces of ``docs``: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the columns ``keep``.
 
     The order within a task is kept; sequences never span tasks, so each task
-    leaves one tail.  Sequence ids are unique over all tasks.
+    leaves one tail.  Sequence ids are unique over all tasks.  ``remember`` lets
+    a worker process keep its words, and their memory, for its next task.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -381,5 +382,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 if found := packer.add(ids, ends):
                     yield from shown(found)
         yield from shown(packer.finish())
+        if not remember:
+            _TOKENS.clear()
+            del tokens
+            trim()
 
     return picked.mapInArrow(run, schema)

@@ -38,8 +38,9 @@ CODES = 512
 #: Bounds of the training sample: texts of each label, and characters of a text; a longer one gives pieces from all over it.
 SAMPLE_TEXTS = 1500
 SAMPLE_CHARS = 200_000
-#: Windows scored at once.
+#: Windows scored at once, and bytes of text read at once by the stage of a pipeline, whose workers serve others too.
 SCORED = 2048
+SLICE = 1_000_000
 #: Score from which a text is toxic.
 TOXIC = 0.3
 #: An update gate this far open leaves the state as it is.
@@ -397,7 +398,7 @@ def keep(docs: DataFrame, network: Network | None, text_col: str = "text", thres
 
     def run(batches):
         scorer = Scorer(network) if network else None
-        for part, texts in slices(batches, text_col):
+        for part, texts in slices(batches, text_col, SLICE):
             yield part if scorer is None else part.filter(pa.array(scorer(texts) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
