@@ -52,7 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("lang", "source"), capacity=WORDS)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("lang", "source"), capacity=WORDS, remember=False)
 
 
 STAGES = [
