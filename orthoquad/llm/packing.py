@@ -39,7 +39,7 @@ HARD = 48
 SHORTEST = 64
 #: Tokens of a block; its last sequence is packed again with what follows.
 BLOCK = 1 << 18
-#: Words that a worker remembers; half a kilobyte each, so fewer mean less memory and more time.
+#: Words that a task remembers; half a kilobyte each, so fewer mean less memory and more time.
 WORDS = 800_000
 FREE, AT_SENTENCE, AT_TOKEN = 0, 1, 2
 #: Characters that str.split() takes for white space but the tokenizer doesn't.
@@ -333,15 +333,11 @@ class Packer:
         return out
 
 
-_TOKENS: dict = {}
-
-
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, keep: tuple[str, ...] = (), block: int = BLOCK, capacity: int = WORDS, remember: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, keep: tuple[str, ...] = (), block: int = BLOCK, capacity: int = WORDS) -> DataFrame:
     """Pieces of ``docs``: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the columns ``keep``.
 
     The order within a task is kept; sequences never span tasks, so each task
-    leaves one tail.  Sequence ids are unique over all tasks.  ``remember`` lets
-    a worker process keep its words, and their memory, for its next task.
+    leaves one tail.  Sequence ids are unique over all tasks.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -350,11 +346,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{kept}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(shipped.value), end, capacity)
-        if key not in _TOKENS:
-            _TOKENS.clear()
-            _TOKENS[key] = WordTokens(shipped.value, end, capacity)
-        tokens, packer = _TOKENS[key], Packer(length, sentence, hard, block)
+        tokens, packer = WordTokens(shipped.value, end, capacity), Packer(length, sentence, hard, block)
         base = TaskContext.get().partitionId() << 40
         open_rows: deque = deque()  # (first document's number, rows) of documents not yet packed whole
 
@@ -382,9 +374,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 if found := packer.add(ids, ends):
                     yield from shown(found)
         yield from shown(packer.finish())
-        if not remember:
-            _TOKENS.clear()
-            del tokens
-            trim()
+        del tokens
+        trim()
 
     return picked.mapInArrow(run, schema)
