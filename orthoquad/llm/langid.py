@@ -219,7 +219,7 @@ def keep(docs: DataFrame, model: ByteCnn, text_col: str = "text", languages: tup
         from .common import slices
 
         scorer = Scorer(model)
-        for part, texts in slices(batches, text_col):
+        for part, texts in slices(batches, text_col, 1_000_000):
             best, score = scorer(texts)
             yield part.filter(pa.array([b != "und" and s >= min_score and (languages is None or b in languages) for b, s in zip(best, score, strict=True)]))
 

@@ -333,11 +333,13 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, keep: tuple[str, ...] = (), block: int = BLOCK, capacity: int = WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, keep: tuple[str, ...] = (), block: int = BLOCK, capacity: int = WORDS, run_bytes: int = 4_000_000) -> DataFrame:
     """Pieces of ``docs``: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the columns ``keep``.
 
     The order within a task is kept; sequences never span tasks, so each task
-    leaves one tail.  Sequence ids are unique over all tasks.
+    leaves one tail.  Sequence ids are unique over all tasks.  A task remembers
+    about ``capacity`` words and tokenizes about ``run_bytes`` bytes at once: less
+    of either takes less memory and more time.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -368,7 +370,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 long = lambda x: pa.array(x, pa.int64())
                 yield pa.RecordBatch.from_arrays([columns[0], long(start), long(size), long(crc), long(total), long([base + s for s in sequence]), long(offset), *columns[1:]], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *keep])
 
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, "_text", run_bytes):
             open_rows.append((packer.number, part.select(["_id", *(f"_keep{i}" for i in range(len(keep)))])))
             for ids, ends in tokens(texts):
                 if found := packer.add(ids, ends):

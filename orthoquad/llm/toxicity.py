@@ -38,9 +38,10 @@ CODES = 512
 #: Bounds of the training sample: texts of each label, and characters of a text; a longer one gives pieces from all over it.
 SAMPLE_TEXTS = 1500
 SAMPLE_CHARS = 200_000
-#: Windows scored at once, and bytes of text read at once by the stage of a pipeline, whose workers serve others too.
+#: Windows scored at once.
 SCORED = 2048
-SLICE = 1_000_000
+#: Bytes of text read at once and words remembered by the stage of a pipeline, whose workers serve other stages too.
+SLICE, STAGE_WORDS = 1_000_000, 50_000
 #: Score from which a text is toxic.
 TOXIC = 0.3
 #: An update gate this far open leaves the state as it is.
@@ -358,7 +359,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """Rows (k, y, t) of at most ``texts`` texts of each label outside the held-out fold, one an id."""
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") > 0)
     named = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(~held_out("k") & F.col("y").isin(0, 1))
-    named = named.join(rows.select("k"), "k", "left_semi").groupBy("k").agg(F.max("y").alias("y"))
+    named = named.join(docs.select(F.col(id_col).alias("k")), "k", "left_semi").groupBy("k").agg(F.max("y").alias("y"))
     few = [(r.k, y) for y in (0, 1) for r in bounded_sample(named.where(F.col("y") == y).select("k"), "k", texts)]
     keys = docs.sparkSession.createDataFrame(few, named.select("k", F.lit(0).alias("y")).schema)
     cut = rows.join(F.broadcast(keys), "k").select("k", "y", spread(F.col("t"), max_chars, F.lit(" ")).alias("t"))
@@ -397,7 +398,7 @@ def keep(docs: DataFrame, network: Network | None, text_col: str = "text", thres
     """The rows of ``docs`` that score below ``threshold``, with all columns."""
 
     def run(batches):
-        scorer = Scorer(network) if network else None
+        scorer = Scorer(network, STAGE_WORDS) if network else None
         for part, texts in slices(batches, text_col, SLICE):
             yield part if scorer is None else part.filter(pa.array(scorer(texts) < threshold))
 
