@@ -15,8 +15,8 @@ from orthoquad.llm import langid, ngram_join, packing, secrets, toxicity
 from orthoquad.llm.common import Scratch, drop_ids, drop_repeats, keep_to_end, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Words that packing remembers, few as workers also serve the other stages.
-WORDS = 150_000
+#: Words that packing remembers and bytes that it reads at once, few as workers also serve the other stages.
+WORDS, RUN_BYTES = 150_000, 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("lang", "source"), capacity=WORDS)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("lang", "source"), capacity=WORDS, run_bytes=RUN_BYTES)
 
 
 STAGES = [
