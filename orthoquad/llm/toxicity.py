@@ -360,10 +360,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") > 0)
     named = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(~held_out("k") & F.col("y").isin(0, 1))
     named = named.join(docs.select(F.col(id_col).alias("k")), "k", "left_semi").groupBy("k").agg(F.max("y").alias("y"))
-    few = [(r.k, y) for y in (0, 1) for r in bounded_sample(named.where(F.col("y") == y).select("k"), "k", texts)]
-    keys = docs.sparkSession.createDataFrame(few, named.select("k", F.lit(0).alias("y")).schema)
+    drawn = {y: [r.k for r in bounded_sample(named.where(F.col("y") == y).select("k"), "k", texts + texts // 10 + 10)] for y in (0, 1)}
+    keys = docs.sparkSession.createDataFrame([(k, y) for y, own in drawn.items() for k in own], named.select("k", F.lit(0).alias("y")).schema)
     cut = rows.join(F.broadcast(keys), "k").select("k", "y", spread(F.col("t"), max_chars, F.lit(" ")).alias("t"))
-    return sorted(cut.groupBy("k", "y").agg(F.min("t").alias("t")).collect(), key=lambda r: repr(r.k))
+    found = {r.k: r for r in cut.groupBy("k", "y").agg(F.min("t").alias("t")).collect()}
+    # more ids are drawn than texts are learned, as some may have no text
+    return sorted((found[k] for own in drawn.values() for k in [k for k in own if k in found][:texts]), key=lambda r: repr(r.k))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", texts: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS) -> Network | None:
