@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..schema import CORNER_ORDER, LABEL, REJECT, SPLITS
+from .numbering import number
 
 FIELDS = ("image", "width", "height", "label", "corners", "corner_order")
 
@@ -39,6 +42,11 @@ def image_name(split: Column | str, index: Column | str) -> Column:
     return F.format_string("images/%s_%07d.jpg", split, index)
 
 
+def numbered_names(rows: DataFrame, order: Sequence[Column | str], split: str = "split") -> DataFrame:
+    """``rows`` with ``index``, dense in each split along ``order``, and the name ``image`` that it makes."""
+    return number(rows, order, [split]).withColumn("image", image_name(F.col(split), F.col("index")))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The fields of a record; derived boxes are never stored."""
     return df.select(*FIELDS)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import dataset, head, manifest, matching, nms, pixels, priors, synthetic
+from ..operators import dataset, head, manifest, matching, nms, numbering, pixels, priors, synthetic
 from ..schema import HEIGHT, REJECT, WIDTH
 from ..sources import checkpoints, images
 from ..sources.annotations import scan_annotations, scan_polygons
@@ -150,6 +150,12 @@ def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", split.alias("split"), dataset.image_name(split, "event_id").alias("image"))
 
 
+def split_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names whose index is dense in each split, in the order of time."""
+    rows = events(spark, sf_dir).select("event_id", "ts", dataset.assign_split("event_id").alias("split"))
+    return dataset.numbered_names(rows, ["ts", "event_id"]).select("event_id", "split", "index", "image")
+
+
 def polygons_to_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quads(spark, sf_dir)
     points = F.transform("corners", lambda p: F.transform(p, lambda v: v.cast("double")))
@@ -350,7 +356,7 @@ def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, split_names, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, split_names, split_numbers, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -432,6 +438,8 @@ ORACLE_SQL = {
       l AS (SELECT name FROM h QUALIFY ly = max(ly) OVER (PARTITION BY lv))
       SELECT m.name, CASE WHEN l.name IS NULL THEN shape ELSE [shape[1] * 2, shape[2]] END AS shape, l.name IS NOT NULL AS reinitialise FROM m LEFT JOIN l ON m.name = l.name""",
     "split_names": f"SELECT event_id, {_SPLIT.format('event_id')} AS split, 'images/' || {_SPLIT.format('event_id')} || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image FROM events",
+    "split_numbers": f"""SELECT event_id, split, index, 'images/' || split || '_' || lpad(CAST(index AS VARCHAR), 7, '0') || '.jpg' AS image
+      FROM (SELECT event_id, split, row_number() OVER (PARTITION BY split ORDER BY ts, event_id) - 1 AS index FROM (SELECT event_id, ts, {_SPLIT.format('event_id')} AS split FROM events))""",
     "polygons_to_annotations": f"WITH {_QUADS} SELECT CAST(event_id AS VARCHAR) AS image, 320 AS width, 240 AS height, 'qrcode' AS label, list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) AS corners, ['qr_top_left', 'qr_top_right', 'qr_bottom_right', 'qr_bottom_left'] AS corner_order FROM q WHERE event_id % 13 <> 0 AND event_id % 17 <> 0",
     "evaluation": f"""WITH {_QUADS}, a AS (SELECT event_id, list_max(xs) - list_min(xs) AS w, list_max(ys) - list_min(ys) AS h FROM q),
       s AS (SELECT event_id, CAST(greatest(w - 3, 0) * greatest(h - 4, 0) AS DOUBLE) AS i, w * h AS ar, event_id % 9 <> 0 AS f FROM a)
