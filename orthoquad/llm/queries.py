@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, quality, secrets, token_counts, topk, toxicity, warc
+from . import bpe, langid, ngram_join, order_minhash, packing, quality, secrets, token_counts, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -66,6 +66,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.compare(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
+    "op13_order_minhash": op13_order_minhash,
 }
 
 # RE2 folds more letters than A-Z under (?i), so the classes are written out.
