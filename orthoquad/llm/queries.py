@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, order_minhash, packing, quality, secrets, token_counts, topk, toxicity, warc
+from . import bpe, collocations, langid, ngram_join, order_minhash, packing, quality, secrets, token_counts, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -66,9 +66,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.compare(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
 
 
 QUERIES = {
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
+    "op11_collocations": op11_collocations,
     "op13_order_minhash": op13_order_minhash,
 }
 
@@ -170,7 +175,24 @@ _JOIN_SQL = rf"""
     SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s LEFT JOIN c ON c.a = s.doc_id"""
 
 
+_PHRASES_SQL = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+    n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, unnest([1, 2, 3, 4]) t(k))),
+    f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+    s AS (SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM f, unnest([2, 3]) t(m) WHERE m < k) GROUP BY ALL),
+    c AS (SELECT f.lang, f.phrase, j, f.f AS a, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * f.f) // (x.f + y.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) f
+      JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(f.ws[1 : j], ' ') JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(f.ws[j + 1 : f.k], ' ')),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+    FROM b JOIN n ON n.lang = b.lang LEFT JOIN s ON s.lang = b.lang AND s.phrase = b.phrase
+    WHERE s.longer IS NULL OR 100 * s.longer < 80 * a QUALIFY rank <= 2000"""
+
+
 ORACLE_SQL = {
+    "op11_collocations": _PHRASES_SQL,
     "quality_counts": _COUNTS_SQL,
     "op10_ngram_join": _JOIN_SQL,
     "op5_warc": _WARC_SQL,
