@@ -72,13 +72,13 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
-def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def word_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int = BLOCK) -> DataFrame:
     """One row per block: its sequence of names, and the words that they stand for with their counts."""
     picked = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
-        for part, texts in slices(batches, "_text", BLOCK, 1 << 20):
+        for part, texts in slices(batches, "_text", block_bytes, 1 << 20):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(part.column("_lang").to_pylist(), texts, strict=True):
                 by_lang.setdefault(lang, []).append(text)
@@ -159,14 +159,14 @@ def score(a: str, l: str, r: str, scale: int) -> Column:
     return F.expr(f"CAST((CAST({scale} AS DECIMAL(10,0)) * CAST({a} AS DECIMAL(20,0))) div CAST({l} + {r} AS DECIMAL(20,0)) AS BIGINT)")
 
 
-def grams(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
+def grams(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str, longest: int, least: int, block_bytes: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """Words per language, and per length the frequent phrases.
 
     These hold id, lang, phrase, last (their last word), f, heads (the counts of
     their first 1, 2, ... words), tails (of their last) and, but for words, the
     ids left and right of their parents.
     """
-    blocks = scratch.write(word_blocks(docs, text_col, lang_col), "blocks1")
+    blocks = scratch.write(word_blocks(docs, text_col, lang_col, block_bytes), "blocks1")
     names = listed(blocks)
     totals = names.groupBy("lang").agg(F.sum("n").alias("n"))
     words = scratch.write(frequent(names, ["lang", "word"], least), "names1")
@@ -185,7 +185,7 @@ def grams(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str, longe
     return totals, found
 
 
-def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, percent: int = 80, scale: int = 2_000_000, top: int = 2000) -> DataFrame:
+def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, percent: int = 80, scale: int = 2_000_000, top: int = 2000, block_bytes: int = BLOCK) -> DataFrame:
     """The ``top`` phrases per language: lang, rank, phrase, a, l, r, n and score.
 
     ``a`` is a phrase's count, ``l`` and ``r`` those of the two sides of its
@@ -193,7 +193,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longes
     one that holds it has ``percent`` of its count or more.
     """
     with Scratch(docs.sparkSession, "collocations") as scratch:
-        totals, found = grams(docs, scratch, text_col, lang_col, longest, least)
+        totals, found = grams(docs, scratch, text_col, lang_col, longest, least, block_bytes)
         rows = None
         for k in range(2, longest + 1):
             own = found[k - 1].select("id", "lang", "phrase", F.col("f").alias("a"), "heads", "tails")

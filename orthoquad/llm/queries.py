@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, langid, ngram_join, order_minhash, packing, quality, secrets, token_counts, topk, toxicity, warc
+from . import bpe, collocations, hard_negatives, langid, ngram_join, order_minhash, packing, quality, secrets, token_counts, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -70,6 +70,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector bears a wrong label."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.compare(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
@@ -88,6 +94,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
     "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_order_minhash": op13_order_minhash,
 }
 
@@ -175,6 +182,17 @@ _JOIN_SQL = rf"""
     SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s LEFT JOIN c ON c.a = s.doc_id"""
 
 
+_NEGATIVES_SQL = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+      s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5"""
+
+
 _PHRASES_SQL = r"""
     WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
@@ -193,6 +211,7 @@ _PHRASES_SQL = r"""
 
 ORACLE_SQL = {
     "op11_collocations": _PHRASES_SQL,
+    "op12_hard_negatives": _NEGATIVES_SQL,
     "quality_counts": _COUNTS_SQL,
     "op10_ngram_join": _JOIN_SQL,
     "op5_warc": _WARC_SQL,
