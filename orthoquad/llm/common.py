@@ -28,11 +28,11 @@ def held_out(key: str) -> Column:
     return F.coalesce(fold == HELD_OUT_BUCKET, F.lit(True))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage; it goes when the driver ends."""
     spark = df.sparkSession
     path = keep_to_end(spark, shared_path(spark, name))
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
