@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join by PartEnum signatures.
 
-A document's set holds its distinct word n-grams, as 64-bit hashes.  Sets are
+A document's set holds its distinct word n-grams, as 64-bit hashes of keyed
+hashes of their words.  Sets are
 dealt into size bands such that similar sets lie in one band or in neighbours;
 for either case the symmetric difference of a similar pair is at most some k.
 The hash space is partitioned into n1 ranges of n2 parts each.  Of the n1
@@ -9,13 +10,14 @@ of these some n2 - k2 parts agree: so a similar pair shares the signature of
 that subset of parts.  A subset without elements says nothing, and is a
 signature only of sets so sparse that they might have no other to share.
 
-Equal sets are one class.  Each signature elects one of its classes, and the
+Equal sets, told by 128 bits over keyed hashes, are one class.  Each signature elects one of its classes, and the
 classes that share the elected one's signatures form a bundle; a bundle is cut
 into pieces of bounded size.  A piece first compares parity sketches, which
 bound the symmetric difference from below, and names the classes that have a
 possible partner; then the texts of these alone are sent to the piece, once per
 class, and it links them through a union-find, so that a piece emits no more
-links than it has classes, however alike they are.  Links join classes into
+links than it has classes, however alike they are; two classes are linked only
+if their words say so too.  Links join classes into
 components, and only signatures whose classes lie in several components go on.
 After some rounds of this kind the last one is exhaustive: the bundle is the
 largest component of a signature, and all its guests are compared with all its
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +60,13 @@ ROLE = ["_whole", "_own", "k1", "component", "n"]
 SPAN = 1 << 20
 SEEN = 1 << 20
 
+#: Words that a task remembers, and bytes of a word that is remembered at most.
+WORDS, WORD_BYTES = 200_000, 64
+#: Hashes of words are secret-keyed ones of 128 bits; the key is fixed, so that all tasks agree.
+KEY = b"orthoquad n-gram join"
+
 _rng = np.random.default_rng(20240601)
-BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
 SALTS = [U(x) for x in _rng.integers(1, 2**63, 4, dtype=np.uint64)]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -72,13 +78,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@cache
-def _powers(inverse: bool) -> np.ndarray:
-    out = np.full(SPAN + 1, BASE_INVERSE if inverse else BASE, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def _spans(raw: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cut bytes behind white space into spans of at most ``SPAN`` bytes; a longer word is a span of its own."""
     at = 0
@@ -97,50 +96,93 @@ def _spans(raw: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of lower-case bytes starts, and its hash: a polynomial in its bytes, mixed."""
-    starts, hashes = [], []
-    for a, b in _spans(raw):
-        piece = raw[a:b]
-        edge = np.flatnonzero(np.diff(SPACE[piece], prepend=True, append=True))
-        start, stop = edge[::2], edge[1::2]
-        if len(piece) <= SPAN:
-            powers, back = _powers(False)[: len(piece)], _powers(True)[start]
-        else:
-            powers = np.full(len(piece), BASE, U)
-            powers[0] = 1
-            powers, back = np.multiply.accumulate(powers), np.array([pow(int(BASE_INVERSE), int(x), 1 << 64) for x in start], U)
-        total = np.zeros(len(piece) + 1, U)
-        np.cumsum(BYTE[piece] * powers, out=total[1:])
-        starts.append(start + a)
-        hashes.append(mix((total[stop] - total[start]) * back + (stop - start).astype(U)))
-    return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, U), *hashes])
-
-
-def ngram_sets(texts: list, n: int) -> list[np.ndarray]:
-    """Per text, its set as ascending hashes; A-Z are lower-cased and words end at ASCII white space."""
-    encoded = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    start, word = word_hashes(np.frombuffer(b"\n".join([*encoded, b""]), np.uint8))
-    bounds = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in encoded])]))
-    if len(word) >= n:
-        gram = word[: len(word) - n + 1].copy()
-        for j in range(1, n):
-            gram = gram * BASE + word[j : len(word) - n + 1 + j]
-        gram = mix(gram)
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= n:
-            out.append(np.unique(gram[a : b - n + 1]))
-        elif b > a:
-            short = np.array([b - a], U)
-            for i in range(a, b):
-                short = short * BASE + word[i : i + 1]
+class Words(dict):
+    """Word -> row of its two 64-bit hashes, halves of one keyed hash."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+        self.rows = np.zeros((0, 2), U)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.fresh.append(word)
+        return at
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """words x 2."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            new = b"".join(blake2b(w, digest_size=16, key=KEY).digest() for w in self.fresh)
+            self.rows = np.concatenate([self.rows, np.frombuffer(new, U).reshape(-1, 2)])
+        found = self.rows[at]
+        if len(self) > WORDS or max(map(len, self.fresh), default=0) > WORD_BYTES:
+            self.clear()
+            self.rows = np.zeros((0, 2), U)
+        self.fresh.clear()
+        return found
+
+
+def lowered(text: str | None) -> bytes:
+    """A-Z are lower-cased, and no other letter."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def grams(texts: list, n: int, words: Words | None = None) -> list[np.ndarray]:
+    """Per text the hashes (two of 64 bits each) of its n-grams in order; words end at ASCII white space."""
+    words, found, sizes = words if words is not None else Words(), [], []
+    for text in map(lowered, texts):
+        spans = [text] if len(text) <= SPAN else [text[a:b] for a, b in _spans(np.frombuffer(text, np.uint8))]
+        own = [words.hashes(s.split()) for s in spans] if len(spans) > 1 else [s.split() for s in spans]
+        found += own
+        sizes.append(sum(map(len, own)))
+    word = _hashed(found, words)
+    gram = word[: max(0, len(word) - n + 1)].copy()
+    for j in range(1, n):
+        gram = gram * BASE + word[j : len(word) - n + 1 + j]
+    gram = mix(gram)
+    out, at = [], 0
+    for size in sizes:
+        if size >= n:
+            out.append(gram[at : at + size - n + 1])
+        elif size:
+            short = np.full((1, 2), size, U)
+            for i in range(at, at + size):
+                short = short * BASE + word[i]
             out.append(mix(short ^ SALTS[3]))
         else:
-            out.append(np.zeros(0, U))
+            out.append(np.zeros((0, 2), U))
+        at += size
     return out
 
 
+def _hashed(parts: list, words: Words) -> np.ndarray:
+    """Lists of words, those in turn looked up together, and hashes that were looked up before."""
+    out, run = [np.zeros((0, 2), U)], []
+    for p in parts:
+        if isinstance(p, list):
+            run += p
+        else:
+            out += [words.hashes(run), p]
+            run = []
+    return np.concatenate([*out, words.hashes(run)])
+
+
+def ngram_sets(texts: list, n: int, words: Words | None = None) -> list[np.ndarray]:
+    """Per text, its set as ascending hashes."""
+    return [np.unique(g[:, 0]) for g in grams(texts, n, words)]
+
+
+def exactly_similar(a: bytes, b: bytes, n: int, percent: int) -> bool:
+    """The similarity of two lower-cased texts by their words themselves."""
+    both = []
+    for t in (a, b):
+        w = t.split()
+        both.append(set(zip(*(w[j:] for j in range(n)))) if len(w) >= n else {tuple(w)} if w else set())
+    common = len(both[0] & both[1])
+    return common > 0 and 100 * common >= percent * (len(both[0]) + len(both[1]) - common)
+
+
 @cache
 def size_bands(percent: int) -> np.ndarray:
     """First size of each band; band i ends before the first of band i + 1."""
@@ -198,9 +240,16 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(U)
 
 
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    both = np.array([mix(s ^ SALTS[1]).sum(), mix(s ^ SALTS[3]).sum()], U)
-    return tuple(mix(both).view(np.int64).tolist())
+def keyed(g: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
+    """The set of n-grams and its key, of 128 bits: sums over both hashes of its members."""
+    s, first = np.unique(g[:, 0], return_index=True)
+    both = np.array([mix(s ^ SALTS[1]).sum(), mix(g[first, 1] ^ SALTS[3]).sum()], U)
+    return s, tuple(mix(both).view(np.int64).tolist())
+
+
+def set_name(s: np.ndarray) -> int:
+    """The first half of a set's key."""
+    return int(mix(np.array([mix(s ^ SALTS[1]).sum()], U)).view(np.int64)[0])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -228,13 +277,11 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
     fields = ["_id", "_row", "n", "k1", "k2", *SKETCH, "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
+        seen, words = set(), Words()
         for part, texts in slices(batches, "_text", 1_000_000):
-            sets = ngram_sets(texts, n)
-            keys, sketches, sigs = [], np.zeros((len(sets), SKETCH_WORDS), np.int64), []
-            for i, (s, named) in enumerate(zip(sets, part.column("_id").is_valid().to_pylist(), strict=True)):
-                key = set_key(s)
-                keys.append(key)
+            sets, keys = zip(*map(keyed, grams(texts, n, words)), strict=True)
+            sketches, sigs = np.zeros((len(sets), SKETCH_WORDS), np.int64), []
+            for i, (s, key, named) in enumerate(zip(sets, keys, part.column("_id").is_valid().to_pylist(), strict=True)):
                 sketches[i] = sketch(s).view(np.int64)
                 new = named and len(s) and key not in seen
                 if new:
@@ -384,9 +431,11 @@ def candidates(dealt: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, ", ".join(f"{f} {k}" for f, k in zip(fields, kinds, strict=True)))
 
 
-def spanning(sets: list[np.ndarray], whole, own, component, percent: int) -> list[tuple[int, int]]:
+def spanning(sets: list[np.ndarray], whole, own, component, percent: int, surely: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
     """Links between similar sets, as pairs of rows: just enough to join all that similarity joins.
 
+    A pair that is similar by hashes and is to be linked must also be ``surely`` so.
+
     Rows compared, but for a first one, are those of small components first, so
     that the many of a large one need not be compared with one another.
     """
@@ -409,7 +458,7 @@ def spanning(sets: list[np.ndarray], whole, own, component, percent: int) -> lis
         else:
             near = [j for j in near if similar(sets[i], sets[j], percent)]
         for j in near:
-            if label[i] != label[j]:
+            if label[i] != label[j] and surely(i, int(j)):
                 out.append((i, int(j)))
                 label[label == label[j]] = label[i]
 
@@ -424,7 +473,8 @@ def spanning(sets: list[np.ndarray], whole, own, component, percent: int) -> lis
 def verify(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Links (a, b) between the classes of each piece; fetches the texts of these classes only, once per row of ``found``.
 
-    A piece gives fewer links than it has classes.
+    A piece gives fewer links than it has classes.  What is linked is similar by
+    its words, not by their hashes alone.
     """
     name = F.xxhash64("_id", "_row")
     wanted = found.select("_id", "_row").distinct().select(name.alias("_name"))
@@ -435,25 +485,26 @@ def verify(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        last = None
+        last, words = None, Words()
 
         def links() -> pa.RecordBatch:
             keys = list(held)
-            whole, own, component = (np.array(x) for x in zip(*(held[k][1:] for k in keys), strict=True))
-            pairs = spanning([held[k][0] for k in keys], whole, own, component, percent) if len(keys) > 1 else []
+            whole, own, component = (np.array(x) for x in zip(*(held[k][2:] for k in keys), strict=True))
+            surely = lambda i, j: exactly_similar(held[keys[i]][1], held[keys[j]][1], n, percent)
+            pairs = spanning([held[k][0] for k in keys], whole, own, component, percent, surely) if len(keys) > 1 else []
             a, b = [keys[i] for i, _ in pairs], [keys[j] for _, j in pairs]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for part, texts in slices(batches, "_text", SPAN):
-            sets = ngram_sets(texts, n)
+            sets = ngram_sets(texts, n, words)
             pieces, role = (zip(*(part.column(c).to_pylist() for c in names), strict=True) for names in (PIECE, ["k1", "_whole", "_own", "component"]))
-            for piece, (k1, *rest), s in zip(pieces, role, sets, strict=True):
+            for piece, (k1, *rest), s, text in zip(pieces, role, sets, texts, strict=True):
                 if piece != last and held:
                     yield links()
                     held.clear()
                 last = piece
-                if set_key(s)[0] == k1:
-                    held[k1] = (s, *rest)
+                if set_name(s) == k1:
+                    held[k1] = (s, lowered(text), *rest)
         if held:
             yield links()
 
