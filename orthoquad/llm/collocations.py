@@ -6,9 +6,13 @@ of its names with their counts.  Counts are summed over all blocks; names that
 are frequent get a global id, which is joined back to the blocks that have them.
 A block then replaces each two neighbours that are both frequent by a name for
 the pair of their ids, and so on: the pair of two (k-1)-grams that overlap in
-all but a word is a k-gram.  So what is shuffled is one row per block and
-distinct name, never one per occurrence, and a frequent word or phrase is at
-most one row a block.  Names are exact; nothing depends on a hash.
+all but a word is a k-gram.  A block's pairs are dealt into parts by a hash of
+their ids and shipped as one packed list a part; a part's lists of all blocks
+are merged, which gives the counts, and ids for the frequent pairs go back in
+the order of the lists.  So what is shuffled are distinct names per block, some
+bytes each, never occurrences, and a frequent word or phrase is at most one
+entry a block.  Parts grow in number, not in size.  Names are exact; the hash
+only deals them.
 
 The pair of a k-gram points to its parents.  Along the left ones lie its first
 words, along the right ones its last, and so the counts of both sides of every
@@ -36,6 +40,8 @@ from .common import Scratch, materialize, slices
 #: Bytes of text in a block, and of those that are split into words at once.
 BLOCK = 8_000_000
 CHUNK = 1_000_000
+#: Words of text for one part of the pairs.
+PART = 4_000_000
 #: What ends a piece becomes a line feed, a tab a space, and A-Z a-z.
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t" + bytes(range(65, 91)), b"\n" * 10 + b" " + bytes(range(97, 123)))
 END, NONE = -1, -2
@@ -62,14 +68,15 @@ def _chunks(raw: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _packed(ids: np.ndarray) -> tuple[bytes, int]:
-    planes = np.ascontiguousarray(ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True), len(ids)
+def packed(values: np.ndarray) -> bytes:
+    """Integers by planes of their bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), "zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, size * n, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def word_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int = BLOCK) -> DataFrame:
@@ -95,7 +102,7 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int
                 langs += [lang] * len(found)
             if words:
                 ids = np.concatenate(sequence)
-                data, n = _packed(ids)
+                data, n = packed(ids), len(ids)
                 counts = np.bincount(ids[ids >= 0], minlength=first)
                 listed = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([data], pa.binary()), pa.array([n], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), listed)], names=["block", "data", "size", "names"])
@@ -104,39 +111,91 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int
     return picked.mapInArrow(run, "block long, data binary, size int, names array<struct<lang: string, word: string, n: long>>")
 
 
-def paired(sequence: np.ndarray, local: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Replace neighbours that are both among ``local`` by names of their pairs.
+def paired(sequence: np.ndarray, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Replace neighbours that both have an id by names of their pairs; ``ids`` has that of each old name, or -1.
 
-    Returns the new sequence, and per name the ids of its two parts and its count.
+    Returns the new sequence, and per name its part, the ids of its two parents
+    and its count; names are in order of part, left and right.
     """
-    dense = np.full(int(sequence.max(initial=-1)) + 2, -1, np.int64)  # the last entry is that of END
-    dense[local] = np.arange(len(local))
-    at = dense[sequence]
+    known = np.unique(ids[ids >= 0])
+    rank = np.append(np.where(ids >= 0, np.searchsorted(known, ids), -1), -1)  # the last entry is that of END
+    at = rank[sequence]
     both = (at[:-1] >= 0) & (at[1:] >= 0)
-    pairs, name, n = np.unique(at[:-1][both] * len(local) + at[1:][both], return_inverse=True, return_counts=True)
-    out = np.full(len(both), END, np.int64)
-    out[both] = name
-    return out, ids[pairs // len(local)], ids[pairs % len(local)], n
-
-
-def pair_blocks(blocks: DataFrame, named: DataFrame) -> DataFrame:
-    """The next level's blocks; ``named``: block, local (a name) and id of the frequent ones."""
+    pairs, name, n = np.unique(at[:-1][both] * len(known) + at[1:][both], return_inverse=True, return_counts=True)
+    left, right = known[pairs // max(1, len(known))], known[pairs % max(1, len(known))]
+    mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    out = np.full(len(both), END, np.int32)
+    out[both] = place[name]
+    return out, part[order], left[order], right[order], n[order]
+
+
+def pair_blocks(blocks: DataFrame, named: DataFrame, parts: int) -> DataFrame:
+    """The next level's blocks, and their pairs as a packed list per part.
+
+    ``named`` has, per block, either names (local) with their id, or a packed
+    list of ids per part, -1 for none, which together are in order of names.
+    """
+    flat = "local" in named.columns
+
+    def ids_of(rows: pa.Table) -> np.ndarray:
+        if flat:
+            local = rows.column("local").to_numpy()
+            ids = np.full(int(local.max()) + 1, -1, np.int64)
+            ids[local] = rows.column("id").to_numpy()
+            return ids
+        order = np.argsort(rows.column("part").to_numpy())
+        lists = zip(rows.column("ids").to_pylist(), rows.column("count").to_pylist(), strict=True)
+        found = [unpacked(data, n, np.int64) for data, n in lists]
+        return np.concatenate([found[i] for i in order])
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = {"block": pa.array([], pa.int64()), "data": pa.array([], pa.binary()), "size": pa.array([], pa.int32()), "names": pa.array([], kind)}
+        columns = {"block": pa.array([], pa.int64()), "data": pa.array([], pa.binary()), "size": pa.array([], pa.int32()), "pairs": pa.array([], kind)}
         if left.num_rows and right.num_rows:
-            sequence = _unpacked(left.column("data")[0].as_py(), left.column("size")[0].as_py())
-            found, first, second, n = paired(sequence, right.column("local").to_numpy(), right.column("id").to_numpy())
+            sequence = unpacked(left.column("data")[0].as_py(), left.column("size")[0].as_py(), np.int32)
+            ids = ids_of(right)
+            sequence = np.where(sequence < len(ids), sequence, END)  # names behind the last with an id have none
+            found, part, first, second, n = paired(sequence, ids, parts)
             if len(n):
-                data, size = _packed(found)
-                listed = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(n, pa.int64())], names=["left", "right", "n"])
-                columns = {"block": left.column("block"), "data": pa.array([data], pa.binary()), "size": pa.array([size], pa.int32()), "names": pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), listed)}
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                own = [{"part": int(part[a]), "count": b - a, "left": packed(np.diff(first[a:b], prepend=0)), "right": packed(second[a:b]), "n": packed(n[a:b].astype(np.int64))} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                columns = {"block": left.column("block"), "data": pa.array([packed(found)], pa.binary()), "size": pa.array([len(found)], pa.int32()), "pairs": pa.array([own], kind)}
         return pa.table(columns)
 
-    kind = pa.list_(pa.struct([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())]))
+    kind = pa.list_(pa.struct([("part", pa.int64()), ("count", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.binary())]))
     own = blocks.select("block", "data", "size")
-    theirs = named.select((F.col("block") + 0).alias("of"), "local", "id")  # a column anew, as both come from one table
-    return own.groupBy("block").cogroup(theirs.groupBy("of")).applyInArrow(pair, "block long, data binary, size int, names array<struct<left: long, right: long, n: long>>")
+    theirs = named.select((F.col("block") + 0).alias("of"), *(c for c in named.columns if c != "block"))  # a column anew, as both come from one table
+    schema = "block long, data binary, size int, pairs array<struct<part: long, count: int, left: binary, right: binary, n: binary>>"
+    return own.groupBy("block").cogroup(theirs.groupBy("of")).applyInArrow(pair, schema)
+
+
+def merged(blocks: DataFrame, parts: int, least: int, last: bool) -> DataFrame:
+    """Per part one row with its frequent pairs, and, unless this is the ``last`` level, one per block with its ids."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        counts, part = rows.column("count").to_pylist(), rows.column("part")[0].as_py()
+        columns = {c: [unpacked(x, n, np.int64) for x, n in zip(rows.column(c).to_pylist(), counts, strict=True)] for c in ("left", "right", "n")}
+        left, right, n = np.concatenate([np.cumsum(x) for x in columns["left"]]), np.concatenate(columns["right"]), np.concatenate(columns["n"])
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        total = np.add.reduceat(n[order], first)
+        often = total >= least
+        name = np.where(often, (np.cumsum(often) - 1) * parts + part, -1)
+        found = pa.StructArray.from_arrays([name[often], left[first][often], right[first][often], total[often]], names=["id", "left", "right", "f"])
+        ids = np.empty(len(order), np.int64)
+        ids[order] = np.repeat(name, np.diff(np.append(first, len(order))))
+        own = [] if last else np.split(ids, np.cumsum(counts)[:-1])
+        blocks = [] if last else rows.column("block").to_pylist()
+        pairs = pa.ListArray.from_arrays(pa.array([0] * (len(own) + 1) + [len(found)], pa.int32()), found)
+        columns = ([part] * (len(own) + 1), pa.int64()), ([*blocks, None], pa.int64()), ([*map(len, own), None], pa.int32()), ([*map(packed, own), None], pa.binary())
+        return pa.table([*(pa.array(v, kind) for v, kind in columns), pairs], names=["part", "block", "count", "ids", "pairs"])
+
+    lists = blocks.select("block", F.explode("pairs").alias("x")).select("block", "x.*")
+    return lists.groupBy("part").applyInArrow(merge, "part long, block long, count int, ids binary, pairs array<struct<id: long, left: long, right: long, f: long>>")
 
 
 def listed(blocks: DataFrame) -> DataFrame:
@@ -144,12 +203,6 @@ def listed(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", F.posexplode("names").alias("local", "x")).select("block", "local", "x.*")
 
 
-def frequent(names: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Names with f, their count over all blocks, of ``least`` or more, and a global id."""
-    counted = names.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return counted.withColumn("id", F.monotonically_increasing_id())
-
-
 def whole(column: str) -> Column:
     return F.col(column).cast("decimal(20,0)")
 
@@ -169,14 +222,16 @@ def grams(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str, longe
     blocks = scratch.write(word_blocks(docs, text_col, lang_col, block_bytes), "blocks1")
     names = listed(blocks)
     totals = names.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = scratch.write(frequent(names, ["lang", "word"], least), "names1")
+    counted = names.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    words = scratch.write(counted.withColumn("id", F.monotonically_increasing_id()), "names1")
     found = [words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))]
     named = names.join(words, ["lang", "word"]).select("block", "local", "id")
+    parts = -(-(blocks.agg(F.sum("size")).first()[0] or 1) // PART)
     for k in range(2, longest + 1):
-        blocks = scratch.write(pair_blocks(blocks, named), f"blocks{k}")
-        names = listed(blocks)
-        pairs = scratch.write(frequent(names, ["left", "right"], least), f"names{k}")
-        named = names.join(pairs, ["left", "right"]).select("block", "local", "id")
+        blocks = scratch.write(pair_blocks(blocks, named, parts), f"blocks{k}")
+        found_k = scratch.write(merged(blocks, parts, least, k == longest), f"names{k}")
+        named = found_k.where("block IS NOT NULL").select("block", "part", "count", "ids")
+        pairs = found_k.where("block IS NULL").select(F.explode("pairs").alias("x")).select("x.*")
         first = found[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("_first"), "heads")
         second = found[-1].select(F.col("id").alias("right"), "last", "tails")
         own = pairs.join(first, "left").join(second, "right")
