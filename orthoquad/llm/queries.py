@@ -106,7 +106,7 @@ _PATTERNS = {
     "hex": "[0-9a-f]{16,}",
     "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "github": "gh[pousr]_[A-Za-z0-9]{36,}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "jwt": r"(?:^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "slack": "xox[abprs]-[A-Za-z0-9-]{10,}",
 }
 _KEPT = {"assign": r"length(regexp_extract(m, '[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12", "access": "length(m) >= 18"}
@@ -115,8 +115,10 @@ _KEPT = {"assign": r"length(regexp_extract(m, '[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-
 def _secret_sql() -> str:
     parts = []
     for k, (kind, pattern) in enumerate(_PATTERNS.items()):
+        # RE2 can't look behind, so a jwt's match holds the character before it
+        before = "CASE WHEN starts_with(m, 'eyJ') THEN 0 ELSE 1 END" if kind == "jwt" else "0"
         parts.append(f"""
-        SELECT doc_id, '{kind}' AS kind, {k} AS k, s, s + length(m) AS e FROM (
+        SELECT doc_id, '{kind}' AS kind, {k} AS k, s + {before} AS s, s + length(m) AS e FROM (
           SELECT doc_id, m, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
           FROM (SELECT n, doc_id, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM (
             SELECT n, doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM d))

@@ -51,11 +51,11 @@ PEM = (
     r"(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END \1-----"
     r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*+(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}={0,2})*+(?:[ \t]*(?:\r?\n[ \t]*)+[A-Za-z0-9+/]+={0,2}(?=[ \t]*(?:[\r\n]|\Z)))*+)"
 )
-#: Public token formats, added to the base rules.
+#: Public token formats, added to the base rules.  A jwt starts where no character of a token precedes, so that a run is read once.
 EXTRA_RULES = (
     Rule("pem", PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE_RULES + EXTRA_RULES

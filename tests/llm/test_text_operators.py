@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -123,6 +124,37 @@ def spans_of(text):
     return sorted(found)
 
 
+HOSTILE = {
+    "jwt": "eyJ" * 300_000 + " .eyJ",
+    "jwt-runs": "eyJ" + "a" * 10 + ".eyJ" * 250_000,
+    "pem": ("-----BEGIN PRIVATE KEY-----" + "a b ") * 33_000,
+    "pem-open": "-----BEGIN PRIVATE KEY-----" + "\n" * 1_000_000,
+    "pem-lines": "-----BEGIN PRIVATE KEY-----" + ("A" * 16 + "-") * 60_000,
+    "github": "ghp_" * 250_000,
+    "slack": "xoxb-" * 200_000,
+    "assign": ("token" + " " * 1000) * 1000,
+    "access": "AKIA" * 250_000,
+    "hex": ("a" * 15 + "g") * 62_500,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_a_megabyte_made_to_be_slow_is_scanned_in_linear_time(kind):
+    seconds = []
+    for part in (HOSTILE[kind][: len(HOSTILE[kind]) // 4], HOSTILE[kind]):
+        began = time.process_time()
+        secrets.find_spans([part])
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 3 and seconds[1] < 8 * seconds[0] + 0.5
+
+
+def test_a_jwt_starts_where_no_token_character_precedes():
+    jwt = "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8
+    kind = [r.kind for r in secrets.RULES].index("jwt")
+    of = lambda t: [(a, b) for a, k, b in secrets.find_spans([t])[0] if k == kind]
+    assert of(jwt) == [(0, len(jwt))] and of(f"({jwt})") == [(1, len(jwt) + 1)] and of("x" + jwt) == [] and of(f"{jwt} {jwt}") == [(0, len(jwt)), (len(jwt) + 1, 2 * len(jwt) + 1)]
+
+
 PIECES = st.sampled_from(["password=", "PassWD : '", "api_key=", "apikey = \"", "ſecret=", "toKen=", "AKIA", "abcdef0123456789", "ABCD1234", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "a" * 40, "xoxb-", "eyJ", ".", " ", "\n", "é", "12345"])
 
 
