@@ -18,6 +18,7 @@ with no labels of one kind every text scores 0.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_texts, slices, spread, trim
+from .common import bounded_sample, held_out, map_texts, slices, trim
 
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8  # of either direction, over words and over characters
@@ -35,9 +36,11 @@ ATTEND = 8
 LEXICAL = EMBED + STEM_EMBED
 BUCKETS = 1 << 14
 CODES = 512
-#: Bounds of the training sample: texts of each label, and characters of a text; a longer one gives pieces from all over it.
+#: Bounds of the training sample: texts of each label, and bytes of all of them.
 SAMPLE_TEXTS = 1500
-SAMPLE_CHARS = 200_000
+SAMPLE_BYTES = 32_000_000
+#: Windows of a text that a step of the training looks at, at most; drawn anew each time.
+DRAWN = 256
 #: Windows scored at once.
 SCORED = 2048
 #: Bytes of text read at once and words remembered by the stage of a pipeline, whose workers serve other stages too.
@@ -129,21 +132,26 @@ def _char_inputs(p: dict, codes: np.ndarray, way: str) -> np.ndarray:
     return table[codes if way == "f" else codes[::-1]]
 
 
-def word_inputs(p: dict, words: list[str], buckets: np.ndarray | None = None) -> np.ndarray:
-    """Embedding and character states of each word."""
-    buckets = buckets_of(words) if buckets is None else buckets
-    out = np.empty((len(words), LEXICAL + 2 * HIDDEN), f32)
+def alike(words: list[str]) -> Iterator[list[int]]:
+    """The places of words in groups of like length, shorter ones first."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     at = 0
-    while at < len(order):  # words of like length together
+    while at < len(order):
         longest = max(len(words[order[at]]) + 2, 4)
         end = at
         while end < len(order) and end - at < 4096 and len(words[order[end]]) <= longest:
             end += 1
-        which = order[at:end]
+        yield order[at:end]
+        at = end
+
+
+def word_inputs(p: dict, words: list[str], buckets: np.ndarray | None = None) -> np.ndarray:
+    """Embedding and character states of each word."""
+    buckets = buckets_of(words) if buckets is None else buckets
+    out = np.empty((len(words), LEXICAL + 2 * HIDDEN), f32)
+    for which in alike(words):
         codes = spell([words[i] for i in which])
         out[which] = np.concatenate([lexical(p, buckets[:, which]), *(gru(_char_inputs(p, codes, way), p[f"cu{way}"])[-1] for way in "fb")], axis=1)
-        at = end
     return out
 
 
@@ -180,13 +188,20 @@ def normal(token: str) -> str:
     return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
-def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All overlapping windows of texts' word rows (time x windows, 0 behind the end) and the text of each."""
+def windows(rows: list[np.ndarray], rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All overlapping windows of texts' word rows (time x windows, 0 behind the end) and the text of each.
+
+    With ``rng``, of a text with more than ``DRAWN`` windows that many from all over it.
+    """
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     count = np.where(sizes > 0, np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE)), 0)
+    many, total = (np.flatnonzero(count > DRAWN), count.copy()) if rng else ([], count)
+    count = np.minimum(count, DRAWN) if rng else count
     owner = np.repeat(np.arange(len(rows)), count)
     first = np.cumsum(sizes) - sizes
     start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    for i in many:
+        start[owner == i] = np.sort(rng.choice(total[i], DRAWN, replace=False)) * STRIDE
     flat = np.concatenate([*rows, np.zeros(1, np.int64)])
     at = start[None, :] + np.arange(WINDOW)[:, None]
     inside = at < sizes[owner]
@@ -257,12 +272,14 @@ def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def _step(p: dict, words: list[str], index: np.ndarray, y: np.ndarray, rng: np.random.Generator, buckets: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Gradients of the mean log loss over windows of the rows 1... of ``words``."""
-    codes, buckets = spell(words), buckets_of(words) if buckets is None else buckets
+    buckets = buckets_of(words) if buckets is None else buckets
     shown = (rng.random((len(words), 1)) < 0.5).astype(f32)  # so that spelling alone must do, at times
-    kept, last = {}, {}
-    for way in "fb":
-        kept[way] = []
-        last[way] = gru(_char_inputs(p, codes, way), p[f"cu{way}"], kept[way])[-1]
+    spelled, last = [], {way: np.empty((len(words), HIDDEN), f32) for way in "fb"}
+    for which in alike(words):  # so that a long word doesn't pad the others
+        codes, kept = spell([words[i] for i in which]), {"f": [], "b": []}
+        for way in "fb":
+            last[way][which] = gru(_char_inputs(p, codes, way), p[f"cu{way}"], kept[way])[-1]
+        spelled.append((which, codes, kept))
     inputs = np.concatenate([lexical(p, buckets) * shown, last["f"], last["b"]], axis=1)
     project = {way: np.concatenate([padding(), x]) for way, x in projections(p, inputs).items()}
     deep: dict[str, list] = {"f": [], "b": []}
@@ -289,11 +306,13 @@ def _step(p: dict, words: list[str], index: np.ndarray, y: np.ndarray, rng: np.r
         grads[name] = scatter(buckets[k], g_inputs[:, part] * shown, len(p[name]))
     grads["code"] = np.zeros_like(p["code"])
     for i, way in enumerate("fb"):
-        g_last = np.zeros((*codes.shape, HIDDEN), f32)
-        g_last[-1] = g_inputs[:, LEXICAL + i * HIDDEN : LEXICAL + (i + 1) * HIDDEN]
-        gx, grads[f"cu{way}"] = gru_back(g_last, p[f"cu{way}"], kept[way])
-        where = codes if way == "f" else codes[::-1]
-        table = scatter(where % (CODES + 1), gx, CODES + 1)[:-1]  # -1, behind a word's end, comes last
+        grads[f"cu{way}"], table = np.zeros_like(p[f"cu{way}"]), np.zeros((CODES, 3 * HIDDEN), f32)
+        for which, codes, kept in spelled:
+            g_last = np.zeros((*codes.shape, HIDDEN), f32)
+            g_last[-1] = g_inputs[which, LEXICAL + i * HIDDEN : LEXICAL + (i + 1) * HIDDEN]
+            gx, gu = gru_back(g_last, p[f"cu{way}"], kept[way])
+            grads[f"cu{way}"] += gu
+            table += scatter((codes if way == "f" else codes[::-1]) % (CODES + 1), gx, CODES + 1)[:-1]  # -1, behind a word's end, comes last
         grads["code"] += table @ p[f"cx{way}"].T
         grads |= {f"cx{way}": p["code"].T @ table, f"cb{way}": table.sum(0)}
     return grads
@@ -332,7 +351,7 @@ def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 60
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         chosen = [k[i] for k, n in zip(kinds, (batch - round(batch * share), round(batch * share)), strict=True) for i in rng.integers(len(k), size=n)]
-        index, owner = windows([rows[i] for i in chosen])
+        index, owner = windows([rows[i] for i in chosen], rng)
         used, inverse = np.unique(np.concatenate([[0], index.ravel()]), return_inverse=True)
         local = inverse[1:].reshape(index.shape)
         if step <= warm:
@@ -355,27 +374,35 @@ def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 60
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, texts: int, max_chars: int) -> list:
-    """Rows (k, y, t) of at most ``texts`` texts of each label outside the held-out fold, one an id."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, texts: int, max_bytes: int) -> list:
+    """Rows (k, y, t) of whole texts of each label outside the held-out fold, one an id: ``texts`` and ``max_bytes`` at most."""
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") > 0)
     named = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(~held_out("k") & F.col("y").isin(0, 1))
     named = named.join(docs.select(F.col(id_col).alias("k")), "k", "left_semi").groupBy("k").agg(F.max("y").alias("y"))
     drawn = {y: [r.k for r in bounded_sample(named.where(F.col("y") == y).select("k"), "k", texts + texts // 10 + 10)] for y in (0, 1)}
-    keys = docs.sparkSession.createDataFrame([(k, y) for y, own in drawn.items() for k in own], named.select("k", F.lit(0).alias("y")).schema)
-    cut = rows.join(F.broadcast(keys), "k").select("k", "y", spread(F.col("t"), max_chars, F.lit(" ")).alias("t"))
-    found = {r.k: r for r in cut.groupBy("k", "y").agg(F.min("t").alias("t")).collect()}
-    # more ids are drawn than texts are learned, as some may have no text
-    return sorted((found[k] for own in drawn.values() for k in [k for k in own if k in found][:texts]), key=lambda r: repr(r.k))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", texts: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS) -> Network | None:
+    schema = named.select("k", F.lit(0).alias("y")).schema
+    own = lambda keys: rows.join(F.broadcast(docs.sparkSession.createDataFrame(keys, schema)), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    sizes = {r.k: r.n for r in own([(k, y) for y, keys in drawn.items() for k in keys]).select("k", F.octet_length("t").alias("n")).collect()}
+    chosen = []
+    for y, keys in drawn.items():
+        # more ids are drawn than texts are learned, as some may have no text
+        held = [k for k in keys if k in sizes][:texts]
+        left = max_bytes
+        for k in held:
+            if sizes[k] <= left:
+                left -= sizes[k]
+                chosen.append((k, y))
+    return sorted(own(chosen).collect(), key=lambda r: repr(r.k)) if chosen else []
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> Network | None:
     """Learn from at most ``texts`` texts of each label outside the held-out fold.
 
-    Texts of any length take part; one beyond ``max_chars`` characters gives
-    that many, evenly spaced.  An id labelled both ways counts as toxic; of rows
-    that share an id, the least text is learned.
+    Texts are learned whole; in the order of a hash, one that would bring those
+    of its label beyond ``max_bytes`` is passed over.  An id labelled both ways
+    counts as toxic; of rows that share an id, the least text is learned.
     """
-    found = sample(docs, labels, id_col, text_col, label_col, texts, max_chars)
+    found = sample(docs, labels, id_col, text_col, label_col, texts, max_bytes)
     network = train([r.t for r in found], [r.y for r in found])
     del found
     trim()

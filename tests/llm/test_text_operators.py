@@ -527,10 +527,35 @@ def test_toxicity_sample(spark):
     long = "word " * 100_000
     docs = spark.createDataFrame([(i, long if i == 1 else f"text {i}") for i in range(40)] + [(7, f"again {j}") for j in range(50)] + [(3, "text 3")] * 50 + [(60, None), (61, "")], "doc_id bigint, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 4 == 1).cast("int").alias("toxic")).unionByName(spark.createDataFrame([(99, 1), (None, 1), (2, None)], "doc_id bigint, toxic int"))
-    found = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 1000, 3200)
+    found = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 1000, 1_000_000)
     want = {r.doc_id for r in docs.where(~common.held_out("doc_id") & (F.length("text") > 0)).collect()}
-    assert [r.k for r in found] == sorted(want, key=repr) and all(r.y == (r.k % 4 == 1) and len(r.t) <= 3300 for r in found)
-    assert len(toxicity.sample(docs, labels, "doc_id", "text", "toxic", 5, 3200)) == 10
+    assert [r.k for r in found] == sorted(want, key=repr) and all(r.y == (r.k % 4 == 1) for r in found)
+    assert {r.k: r.t for r in found}.get(1, long) == long  # texts are whole
+    assert len(toxicity.sample(docs, labels, "doc_id", "text", "toxic", 5, 1_000_000)) == 10
+    bounded = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 1000, 60)
+    assert 1 not in {r.k for r in bounded} and all(0 < sum(len(r.t) for r in bounded if r.y == y) <= 60 for y in (0, 1))
+    assert toxicity.sample(docs, labels, "doc_id", "text", "toxic", 1000, 2) == []
+
+
+def test_toxicity_learns_from_a_very_long_word_in_bounded_memory():
+    import tracemalloc
+
+    texts = ["good words here", "some rot " + "q" * 20_000, "rot rot", "fine day"]
+    tracemalloc.start()
+    net = toxicity.train(texts, [0, 1, 1, 0], steps=1, batch=10, share=0.5, warm=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert net is not None and peak < 1 << 28
+
+
+def test_windows_drawn_from_all_of_a_long_text():
+    import numpy as np
+
+    rows = [np.arange(1, 40_001), np.arange(1, 11), np.zeros(0, np.int64)]
+    every, owners = toxicity.windows(rows)
+    some, owner = toxicity.windows(rows, np.random.default_rng(1))
+    assert (owner == 0).sum() == toxicity.DRAWN < (owners == 0).sum() == 1249 and (owner == 1).sum() == 1
+    assert set(map(tuple, some.T)) <= set(map(tuple, every.T)) and some[:, owner == 0].max() > 35_000 and len(set(map(tuple, some.T))) == len(owner)
 
 
 def test_toxicity_by_held_out_labels(spark):
