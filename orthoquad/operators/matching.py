@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .priors import LEVELS, Level
 
+BOX = ("_x0", "_y0", "_x1", "_y1")
+
 
 def _cells(box: str, size: int):
     span = lambda low, high: F.sequence(F.floor(F.col(box)[low] / size).cast("int"), F.floor(F.col(box)[high] / size).cast("int"))
@@ -46,51 +50,55 @@ def best_prior(truth: DataFrame, priors: DataFrame, id_col: str, box: str = "box
     return best.select(id_col, (-F.col("best.tie")).cast("int").alias("prior_id"), F.col("best.iou").alias("iou"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _along(low: Column, high: Column, side: Column, stride: Column, cells: Column) -> Column:
-    """struct(o, at): the greatest overlap of [low, high] with a side that is centred in one of ``cells`` cells, and the first cell that has it.
+def _along(low: np.ndarray, high: np.ndarray, side: float, stride: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest overlap of each [low, high] with a side that is centred in one of ``cells`` cells, and the first cell that has it.
 
     Overlap rises, stays and falls along the axis, so it is greatest in the
     first cell of the flat stretch or, where no centre lies in that, beside it.
     """
-    half = F.floor(stride / 2)
-    flat = (low + high) / 2 - F.abs(high - low - side) / 2
-    inside = lambda cell: F.greatest(F.lit(0), F.least(cells - 1, cell)).cast("int")
-    overlap = lambda at: F.greatest(F.least(high, at * stride + half + side / 2) - F.greatest(low, at * stride + half - side / 2), F.lit(0.0))
-    two = _let(F.ceil((flat - half) / stride), lambda first: F.struct(inside(first - 1).alias("a"), inside(first).alias("b")))
-    sized = _let(two, lambda t: F.struct(F.struct(overlap(t["a"]).alias("o"), t["a"].alias("at")).alias("a"), F.struct(overlap(t["b"]).alias("o"), t["b"].alias("at")).alias("b")))
-    return _let(sized, lambda t: F.when(t["a"]["o"] >= t["b"]["o"], t["a"]).otherwise(t["b"]))
+    flat = (low + high) / 2 - np.abs(high - low - side) / 2
+    first = np.ceil((flat - stride // 2) / stride)
+    before, after = (np.clip(c, 0, cells - 1) for c in (first - 1, first))
+    overlap = lambda at: np.maximum(np.minimum(high, at * stride + stride // 2 + side / 2) - np.maximum(low, at * stride + stride // 2 - side / 2), 0.0)
+    one, two = overlap(before), overlap(after)
+    return np.maximum(one, two), np.where(one >= two, before, after).astype(np.int64)
+
+
+def closest(boxes: np.ndarray, sides: dict[tuple[int, int], int], levels: tuple[Level, ...] = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """Per box (rows of x0, y0, x1, y1) the prior of greatest overlap, ties to the smaller id, and that overlap."""
+    x0, y0, x1, y1 = boxes.T
+    best, prior, offset = np.zeros(len(boxes)), np.full(len(boxes), -1, np.int64), 0
+    for number, level in enumerate(levels):
+        for anchor in range(level.anchors):
+            side = float(sides[number, anchor])
+            (wide, column), (high, row) = _along(x0, x1, side, level.stride, level.columns), _along(y0, y1, side, level.stride, level.rows)
+            common, own = wide * high, offset + (row * level.columns + column) * level.anchors + anchor
+            iou = np.where(common > 0, common / ((x1 - x0) * (y1 - y0) + side * side - common), 0.0)
+            better = (iou > best) | ((iou == best) & (own < prior) & (iou > 0))
+            best, prior = np.where(better, iou, best), np.where(better, own, prior)
+        offset += level.priors
+    return prior, best
 
 
 def best_grid_prior(truth: DataFrame, id_col: str, sides: dict[tuple[int, int], int], levels: tuple[Level, ...] = LEVELS, box: str = "box") -> DataFrame:
-    """As ``best_prior`` for the priors of a grid with square boxes, in closed form: one projection, no join.
+    """As ``best_prior`` for the priors of a grid with square boxes, in closed form: one pass over Arrow batches, no join.
 
     The priors of a level and anchor share their size, so the one of greatest
     overlap has the best column and the best row; ``sides`` has the side of
-    (level, anchor).  Rows that overlap no prior are left out.
+    (level, anchor).  Rows that overlap no prior, and those whose box is null or
+    has a coordinate that is null or not finite, are left out.
     """
-    kinds, offset = [], 0
-    for number, level in enumerate(levels):
-        for anchor in range(level.anchors):
-            fields = {"side": float(sides[number, anchor]), "stride": level.stride, "rows": level.rows, "columns": level.columns, "anchors": level.anchors, "first": offset + anchor}
-            kinds.append(F.struct(*(F.lit(v).alias(k) for k, v in fields.items())))
-        offset += level.priors
 
-    def of_kind(b: Column, k: Column) -> Column:
-        area = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) + k["side"] * k["side"]
-        both = F.struct(_along(b["x0"], b["x1"], k["side"], k["stride"], k["columns"]).alias("x"), _along(b["y0"], b["y1"], k["side"], k["stride"], k["rows"]).alias("y"))
-        tie = lambda p: -(k["first"] + (p["y"]["at"] * k["columns"] + p["x"]["at"]) * k["anchors"])
-        found = _let(both, lambda p: F.struct((p["x"]["o"] * p["y"]["o"]).alias("i"), tie(p).alias("tie")))
-        return _let(found, lambda p: F.struct(F.when(p["i"] > 0, p["i"] / (area - p["i"])).otherwise(0.0).alias("iou"), p["tie"].alias("tie")))
-
-    sized = F.struct(*(F.col(box)[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    best = _let(sized, lambda b: F.array_max(F.transform(F.array(*kinds), lambda k: of_kind(b, k))))
-    rows = truth.select(id_col, F.explode(F.array(best)).alias("best")).where("best.iou > 0")
-    return rows.select(id_col, (-F.col("best.tie")).cast("int").alias("prior_id"), F.col("best.iou").alias("iou"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boxes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in BOX], axis=1).astype(np.float64)
+            with np.errstate(all="ignore"):
+                prior, iou = closest(boxes, sides, levels)
+            hit = pa.array(np.isfinite(boxes).all(axis=1) & (iou > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prior, pa.int32()), pa.array(iou)], names=[id_col, "prior_id", "iou"]).filter(hit)
+
+    sized = truth.select(id_col, *(F.col(box)[c].cast("double").alias(name) for c, name in zip(("x0", "y0", "x1", "y1"), BOX, strict=True)))
+    return sized.mapInArrow(run, f"`{id_col}` {truth.schema[id_col].dataType.simpleString()}, prior_id int, iou double")
 
 
 def assign(truth: DataFrame, priors: DataFrame, id_col: str, threshold: float, box: str = "box") -> DataFrame:

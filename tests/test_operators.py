@@ -70,6 +70,25 @@ def test_nms_of_one_large_image(spark):
     assert all(overlap(a, b) <= 0.1 for i, a in enumerate(boxes) for b in boxes[:i])
 
 
+def test_nms_leaves_unusable_rows_out_and_compares_large_boxes(spark):
+    nan, inf, far = float("nan"), float("inf"), 3_000_000_000
+    rows = [("a", 1, 5.0, (0.0, 0.0, 2.0, 2.0)), ("a", 2, 4.0, None), ("a", 3, 4.0, (None, 0.0, 1.0, 1.0)), ("a", 4, nan, (0.0, 0.0, 1.0, 1.0)), ("a", 5, 3.0, (nan, 0.0, 1.0, 1.0)), ("a", 6, 3.0, (0.0, 0.0, inf, 1.0))]
+    rows += [(None, 7, 1.0, (0.0, 0.0, 1.0, 1.0)), ("a", None, 1.0, (0.0, 0.0, 1.0, 1.0)), ("a", 8, None, (0.0, 0.0, 1.0, 1.0)), ("a", 9, 2.0, (5.0, 5.0, 4.0, 6.0)), ("a", 10, 1.0, (0.0, 0.0, 2.0, 1.9)), ("b", 11, 1.0, (1.0, 1.0, 1.0, 1.0)), ("b", 12, 0.0, (1.0, 1.0, 1.0, 1.0))]
+    frame = spark.createDataFrame(rows, f"image string, id int, score double, box {BOX}")
+    assert {r.id for r in nms.nms(frame, "image", "id", "score", Fraction(1, 2)).collect()} == {1, 11, 12}
+    assert nms.nms(frame.limit(0), "image", "id", "score", Fraction(1, 2)).collect() == []
+    large = [("a", i, -i, (0, 0, far, far + i)) for i in range(4)] + [("b", i, -i, (0, 0, 1 << 30, (1 << 30) - i)) for i in range(4)] + [("c", 1, 2, (0, 0, 5, 5)), ("c", 2, 1, (0, 0, far, far)), ("c", 3, 0, (0, 0, far, far - 1))]
+    frame = spark.createDataFrame(large, "image string, id int, score int, box struct<x0: bigint, y0: bigint, x1: bigint, y1: bigint>")
+    for threshold in (Fraction(1, 2), Fraction(499_999_999, 1_000_000_000)):
+        got = sorted((r.image, r.id) for r in nms.nms(frame, "image", "id", "score", threshold).collect())
+        assert got == [("a", 0), ("b", 0), ("c", 1), ("c", 2)]
+
+
+def test_detection_leaves_rows_without_corners_out(spark):
+    rows = spark.createDataFrame([("a", 1, [0.0, 1.0], [0.0, 0.0, 2.0, 0.0, 2.0, 2.0, 0.0, 2.0]), ("a", 2, [0.0, 2.0], None), ("a", 3, None, [0.0] * 8), ("a", 4, [0.0, 3.0], [0.0] * 7)], "image string, prior_id int, confidence array<float>, ordered_corners array<float>")
+    assert [r.prior_id for r in head.detect(rows, Fraction(1, 2)).collect()] == [1]
+
+
 def test_assignment_holds_threshold_and_best(spark, truth):
     boxes, frame = truth
     grid = priors.with_boxes(priors.prior_grid(spark), SIDES)
