@@ -122,15 +122,16 @@ def encode_jpeg(images: DataFrame) -> DataFrame:
     return images.select("image", "height", "width", "channels", "data").mapInPandas(run, "image STRING, content BINARY")
 
 
-def mean_grid(images: DataFrame, rows: int = 2, columns: int = 2) -> DataFrame:
-    """image and means: the mean value of each cell of a grid over the image, row by row."""
+def mean_grid(images: DataFrame, rows: int = 2, columns: int = 2, keep: tuple[str, ...] = ("image",)) -> DataFrame:
+    """The columns ``keep``, and means: the mean value of each cell of a grid over the image, row by row."""
+    whole = images.select(*keep, *(F.col(c).alias(f"_{c}") for c in ("height", "width", "channels", "data")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cut = [[float(c.mean()) for r in np.array_split(_array(x), rows) for c in np.array_split(r, columns, axis=1)] for x in batch.itertuples()]
-            yield pd.DataFrame({"image": batch["image"], "means": cut})
+            arrays = (np.frombuffer(d, np.uint8).reshape(h, w, c) for h, w, c, d in zip(batch["_height"], batch["_width"], batch["_channels"], batch["_data"], strict=True))
+            yield batch[list(keep)].assign(means=[[float(c.mean()) for r in np.array_split(a, rows) for c in np.array_split(r, columns, axis=1)] for a in arrays])
 
-    return images.select("image", "height", "width", "channels", "data").mapInPandas(run, "image STRING, means ARRAY<DOUBLE>")
+    return whole.mapInPandas(run, images.select(*keep, F.lit(None).cast("array<double>").alias("means")).schema)
 
 
 def find_outline(images: DataFrame, contrast: int = 100) -> DataFrame:

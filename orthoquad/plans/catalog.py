@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import dataset, head, manifest, matching, nms, numbering, pixels, priors, synthetic
 from ..schema import HEIGHT, REJECT, WIDTH
-from ..sources import checkpoints, images
+from ..sources import checkpoints, dataset_source, images
 from ..sources.annotations import scan_annotations, scan_polygons
 from ..sources.shared import keep_to_end, shared_path
 from ..sources.sinks import write_annotations, write_images
@@ -231,6 +231,20 @@ def stored_frames(spark: SparkSession, sf_dir: str, encode: Callable[[DataFrame]
     return path
 
 
+def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset written through its source, of which the splits but test are read: annotations with their images' bytes."""
+    dataset_source.register(spark)
+    path = fresh_path(spark, "dataset")
+    own = frames(spark, sf_dir).repartition(4, "s_suppkey")
+    encoded = pixels.encode_jpeg(own.withColumn("image", F.concat_ws("/", "split", "image"))).select(F.col("image").alias("_i"), "content")
+    rows = dataset.with_constants(own).join(encoded, F.concat_ws("/", "split", "image") == F.col("_i"))
+    whole = F.transform("corners", lambda p: F.transform(p, lambda v: v.cast("double")))
+    shown = rows.select("split", "image", "width", "height", "label", whole.alias("corners"), "corner_order", "content", F.lit(None).cast("string").alias("reject"))
+    shown.write.format("quads").mode("append").option("path", path).save()
+    found = spark.read.format("quads").load(path).where(F.col("split").isin("train", "val"))
+    return found.select("split", "image", "width", "height", g.flatten_corners("corners").alias("corners"), (F.hex(F.substring("content", 1, 2)) == "FFD8").alias("jpeg"), "reject")
+
+
 def file_name(path: Column | str) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
@@ -244,7 +258,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stored_frames(spark, sf_dir)
     scanned = images.scan_images(spark, path).select("split", "image", (F.col("length") == F.octet_length("content")).alias("whole"))
     good, _ = images.decode_images(spark, f"{path}/*/images")
-    shown = pixels.mean_grid(good).join(good.select(F.col("image").alias("_i"), "height", "width", "channels"), F.col("image") == F.col("_i"))
+    shown = pixels.mean_grid(good, keep=("image", "height", "width", "channels"))
     named = shown.select(F.concat(F.lit("images/"), file_name("image")).alias("image"), "height", "width", "channels", levels("means").alias("levels"))
     return scanned.join(named, "image")
 
@@ -258,8 +272,8 @@ def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels and points turned by the same number of quarter turns."""
     turned = pixels.turn(frames(spark, sf_dir), F.col("s_suppkey"))
-    shown = turned.select("image", "width", "height", g.flatten_corners("corners").alias("corners"))
-    return shown.join(pixels.mean_grid(turned).select("image", levels("means").alias("levels")), "image")
+    shown = pixels.mean_grid(turned, keep=("image", "width", "height", "corners"))
+    return shown.select("image", "width", "height", g.flatten_corners("corners").alias("corners"), levels("means").alias("levels"))
 
 
 def drawn_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,8 +315,8 @@ def inference_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resized_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels and points stretched to the input size."""
     fitted = pixels.fit(frames(spark, sf_dir))
-    shown = fitted.select("image", "width", "height", F.transform(g.flatten_corners("corners"), lambda v: F.round(v, 6)).alias("corners"))
-    return shown.join(pixels.mean_grid(fitted).select("image", levels("means").alias("levels")), "image")
+    shown = pixels.mean_grid(fitted, keep=("image", "width", "height", "corners"))
+    return shown.select("image", "width", "height", F.transform(g.flatten_corners("corners"), lambda v: F.round(v, 6)).alias("corners"), levels("means").alias("levels"))
 
 
 def channel_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +370,7 @@ def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, split_names, split_numbers, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, split_names, split_numbers, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -449,6 +463,7 @@ ORACLE_SQL = {
     "pixel_rotate": f"""WITH {_QUADS} SELECT CAST(event_id AS VARCHAR) AS image, 240 AS width, 320 AS height, {_TURNED} AS corners, 76800 AS bytes,
       list_transform([1, 2, 3, 4], lambda i: CAST(xs[i] * 240 + 239 - ys[i] AS INT)) AS marks, true AS agree FROM q""",
     "image_files": f"WITH {_FRAMES} SELECT 'images/' || name AS image, split, true AS whole, 120 AS height, 160 AS width, 3 AS channels, [q0, q1, q3, q2] AS levels FROM f",
+    "dataset_roundtrip": f"WITH {_FRAMES} SELECT split, 'images/' || name AS image, 160 AS width, 120 AS height, list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) AS corners, true AS jpeg, CAST(NULL AS VARCHAR) AS reject FROM f WHERE split IN ('train', 'val')",
     "folder_files": f"WITH {_FRAMES} SELECT name, true AS jpeg, true AS filled FROM f",
     "turned_frames": f"""WITH {_FRAMES} SELECT 'images/' || name AS image, CASE WHEN k % 2 = 1 THEN 120 ELSE 160 END AS width, CASE WHEN k % 2 = 1 THEN 160 ELSE 120 END AS height,
       CASE k % 4 WHEN 0 THEN {_XY} WHEN 1 THEN [119 - ys[1], xs[1], 119 - ys[2], xs[2], 119 - ys[3], xs[3], 119 - ys[4], xs[4]]

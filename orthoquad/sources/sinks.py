@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dataset import FIELDS, stored
+from .dataset_source import store_of
 
 
 def write_annotations(df: DataFrame, path: str) -> None:
@@ -31,12 +31,13 @@ def write_images(images: DataFrame, path: str, name: str = "image", content: str
     """Write each row's bytes to ``path``/<image>; returns names and sizes when evaluated.
 
     ``path`` is a file path or a URI that Arrow's file systems know, and all
-    executors see it.  A file is written beside its place and then moved, so a
-    task that runs twice does no harm.
+    executors see it.  A file is written beside its place, under a name of its
+    own, and then moved, so a task that runs twice does no harm; a failed one may
+    leave such a file.  ``dataset_source`` writes with commit and abort.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store, root = store_of(path)
         made: set[str] = set()
         for batch in batches:
             for n, data in zip(batch["_n"], batch["_c"], strict=True):
@@ -47,7 +48,7 @@ def write_images(images: DataFrame, path: str, name: str = "image", content: str
                 if folder not in made:
                     store.create_dir(folder, recursive=True)
                     made.add(folder)
-                beside = f"{target}.part-{os.getpid()}"
+                beside = f"{target}.part-{uuid.uuid4().hex}"
                 with store.open_output_stream(beside) as out:
                     out.write(data)
                 store.move(beside, target)
