@@ -61,7 +61,7 @@ SPAN = 1 << 20
 SEEN = 1 << 20
 
 #: Words that a task remembers, and bytes of a word that is remembered at most.
-WORDS, WORD_BYTES = 200_000, 64
+WORDS, WORD_BYTES = 50_000, 64
 #: Hashes of words are secret-keyed ones of 128 bits; the key is fixed, so that all tasks agree.
 KEY = b"orthoquad n-gram join"
 
