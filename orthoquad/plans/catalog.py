@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import dataset, head, manifest, matching, nms, numbering, pixels, priors, synthetic
+from ..operators import dataset, evaluation as detection, head, manifest, matching, nms, numbering, pixels, priors, synthetic
 from ..schema import HEIGHT, REJECT, WIDTH
 from ..sources import checkpoints, dataset_source, images
 from ..sources.annotations import scan_annotations, scan_polygons
@@ -172,6 +172,26 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n", "n_found", F.round("mean_error", 6).alias("mean_error"), F.round("max_error", 6).alias("max_error"), F.round("mean_iou", 6).alias("mean_iou"))
 
 
+def _detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every truth is found up to twice, moved by some pixels; 40 truths make an image."""
+    rows = quads(spark, sf_dir).select("event_id", F.floor(F.col("event_id") / 40).alias("image"), g.bbox("corners").alias("b"))
+    e, move = F.col("event_id"), lambda by: F.struct(*((F.col(f"b.{c}") + by).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    truth = rows.select("image", F.col("event_id").alias("truth_id"), F.col("b").alias("box"))
+    first = rows.where(e % 9 != 0).select("image", (e * 2).alias("prediction_id"), (e * 7919 % 211).alias("score"), move(e % 7).alias("box"))
+    again = rows.where(e % 3 == 0).select("image", (e * 2 + 1).alias("prediction_id"), (e * 104729 % 211).alias("score"), move(-(e % 11)).alias("box"))
+    return first.unionByName(again), truth
+
+
+def detection_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, _ = detection.evaluate(*_detections(spark, sf_dir), Fraction(1, 2))
+    return points.select("score", "n", "hits", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, average = detection.evaluate(*_detections(spark, sf_dir), Fraction(1, 2))
+    return average.select(F.round("average_precision", 9).alias("average_precision"))
+
+
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with odd names and without corners among others; rejects are told from good ones."""
     e = F.col("event_id")
@@ -370,7 +390,7 @@ def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, split_names, split_numbers, polygons_to_annotations, evaluation, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -413,6 +433,19 @@ def _greedy(source: str, image: str, key: str) -> str:
       FROM r JOIN c ON c.{image} = r.{image} AND c.rn = r.rn + 1)"""
 
 
+#: Assignment as a recursion over the pairs of an image, which carries the predictions and truths that are given.
+_CURVE = f"""{_QUADS},
+    a AS (SELECT event_id, event_id // 40 AS image, list_min(xs) AS x0, list_min(ys) AS y0, list_max(xs) AS x1, list_max(ys) AS y1 FROM q),
+    p AS (SELECT image, event_id * 2 AS p, event_id * 7919 % 211 AS score, x0 + event_id % 7 AS x0, y0 + event_id % 7 AS y0, x1 + event_id % 7 AS x1, y1 + event_id % 7 AS y1 FROM a WHERE event_id % 9 <> 0
+      UNION ALL SELECT image, event_id * 2 + 1, event_id * 104729 % 211, x0 - event_id % 11, y0 - event_id % 11, x1 - event_id % 11, y1 - event_id % 11 FROM a WHERE event_id % 3 = 0),
+    o AS (SELECT p.image, p.p, p.score, a.event_id AS t, {_overlap("p", "a")} AS i, {_area("p")} + {_area("a")} AS s FROM p JOIN a ON a.image = p.image),
+    c AS (SELECT image, p, t, row_number() OVER (PARTITION BY image ORDER BY score DESC, p, CAST(i AS DOUBLE) / (s - i) DESC, t) AS rn FROM o WHERE i > 0 AND 2 * i >= s - i),
+    r AS (SELECT image, rn, true AS hit, [p] AS ps, [t] AS ts, p FROM c WHERE rn = 1
+      UNION ALL SELECT c.image, c.rn, NOT list_contains(r.ps, c.p) AND NOT list_contains(r.ts, c.t), CASE WHEN list_contains(r.ps, c.p) OR list_contains(r.ts, c.t) THEN r.ps ELSE list_append(r.ps, c.p) END,
+        CASE WHEN list_contains(r.ps, c.p) OR list_contains(r.ts, c.t) THEN r.ts ELSE list_append(r.ts, c.t) END, c.p FROM r JOIN c ON c.image = r.image AND c.rn = r.rn + 1),
+    k AS (SELECT score, count(*) AS n, count(h.p) AS h FROM p LEFT JOIN (SELECT image, p FROM r WHERE hit) h ON h.image = p.image AND h.p = p.p GROUP BY score),
+    v AS (SELECT score, h, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(h) OVER w AS BIGINT) AS hits FROM k WINDOW w AS (ORDER BY score DESC)),
+    z AS (SELECT count(*) AS m FROM a)"""
 _MANIFESTS = """n AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS s,
       CASE WHEN p_partkey % 10 = 0 THEN 'regression_headers.' || CAST((p_partkey // 10) % 4 AS VARCHAR) || '.' || CAST(p_partkey // 40 AS VARCHAR) || '.weight' ELSE 'base_net.' || CAST(p_partkey AS VARCHAR) || '.weight' END AS name FROM part),
     m AS (SELECT name, [s * 4, s] AS shape FROM n WHERE k % 7 <> 0),
@@ -458,6 +491,8 @@ ORACLE_SQL = {
     "evaluation": f"""WITH {_QUADS}, a AS (SELECT event_id, list_max(xs) - list_min(xs) AS w, list_max(ys) - list_min(ys) AS h FROM q),
       s AS (SELECT event_id, CAST(greatest(w - 3, 0) * greatest(h - 4, 0) AS DOUBLE) AS i, w * h AS ar, event_id % 9 <> 0 AS f FROM a)
       SELECT count(*) AS n, count(*) FILTER (WHERE f) AS n_found, round(avg(CASE WHEN f THEN CAST(5 AS DOUBLE) END), 6) AS mean_error, round(max(CASE WHEN f THEN CAST(5 AS DOUBLE) END), 6) AS max_error, round(avg(CASE WHEN f THEN i / (2 * ar - i) END), 6) AS mean_iou FROM s""",
+    "detection_curve": f"WITH RECURSIVE {_CURVE} SELECT score, n, hits, round(hits / n, 9) AS precision, round(hits / m, 9) AS recall FROM v, z",
+    "average_precision": f"WITH RECURSIVE {_CURVE} SELECT round(sum(CAST(hits AS DOUBLE) / n * h / m), 9) AS average_precision FROM v, z",
     "jsonl_roundtrip": f"""WITH {_QUADS} SELECT CASE WHEN event_id % 50 = 0 THEN 'images/a}}b"{{c\\_' ELSE 'images/train_' END || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image, 320 AS width, 240 AS height, 'qrcode' AS label,
       CASE WHEN event_id % 97 <> 0 THEN list_transform({_XY}, lambda v: CAST(v AS DOUBLE)) END AS corners, ['qr_top_left', 'qr_top_right', 'qr_bottom_right', 'qr_bottom_left'] AS corner_order, event_id % 97 <> 0 AS good FROM q""",
     "pixel_rotate": f"""WITH {_QUADS} SELECT CAST(event_id AS VARCHAR) AS image, 240 AS width, 320 AS height, {_TURNED} AS corners, 76800 AS bytes,
