@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import dataset, evaluation as detection, head, manifest, matching, nms, numbering, pixels, priors, synthetic
+from ..functions import polygons
+from ..operators import asof, dataset, evaluation as detection, head, manifest, matching, nms, pixels, prior_sizes, priors, synthetic
 from ..schema import HEIGHT, REJECT, WIDTH
 from ..sources import checkpoints, dataset_source, images
 from ..sources.annotations import scan_annotations, scan_polygons
@@ -97,6 +98,31 @@ def iou_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(after, "event_id").select("event_id", g.iou("box", "other").alias("iou"))
 
 
+def quad_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of each quadrilateral itself, not of its box, with the next one's, moved near it."""
+    rows = quads(spark, sf_dir).select("event_id", "corners", F.col("corners")[0].alias("p"))
+    after = rows.select((F.col("event_id") - 1).alias("event_id"), F.col("corners").alias("other"), F.col("p").alias("q"))
+    near = F.transform("other", lambda c: F.array(c[0] - F.col("q")[0] + F.col("p")[0] + 5, c[1] - F.col("q")[1] + F.col("p")[1] + 3))
+    pairs = rows.join(after, "event_id").select("event_id", "corners", near.alias("other"))
+    return pairs.select("event_id", F.round(polygons.intersection_area("corners", "other"), 6).alias("shared"), F.round(polygons.polygon_iou("corners", "other"), 6).alias("iou"))
+
+
+def learned_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many sizes as the grid has anchors, learned from all boxes."""
+    boxes = quads(spark, sf_dir).select(g.bbox("corners").alias("box"))
+    sizes = prior_sizes.learn(boxes, sum(level.anchors for level in priors.LEVELS))
+    rows = [(i, round(z.width, 6), round(z.height, 6), z.boxes, round(z.overlap, 6)) for i, z in enumerate(sizes)]
+    return spark.createDataFrame(rows, "number int, width double, height double, boxes long, overlap double")
+
+
+def match_learned_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching to a grid whose sides were learned from the same boxes."""
+    truth = g.to_portrait(quads(spark, sf_dir)).select("event_id", g.bbox("corners").alias("box"))
+    sizes = prior_sizes.learn(truth, sum(level.anchors for level in priors.LEVELS))
+    found = prior_sizes.sides(sizes, tuple(level.anchors for level in priors.LEVELS))
+    return matching.best_grid_prior(truth, "event_id", found)
+
+
 def head_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = g.reshape_corners("ordered_corners")
     rows = head_rows(spark, sf_dir).withColumn("p", points).withColumn("b", g.bbox("p"))
@@ -145,6 +171,13 @@ def header_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.widen_header(_manifests(spark, sf_dir)[0])
 
 
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To each event the value of its user's last event with an id divisible by 3, of the same time or before."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
+    marks = rows.where(F.col("event_id") % 3 == 0).select("user_id", "ts", F.col("event_id").alias("mark_id"), F.col("value").alias("mark"))
+    return asof.asof_join(rows, marks, ["user_id"], "ts", ["mark_id", "mark"], ["mark_id"])
+
+
 def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = dataset.assign_split("event_id")
     return events(spark, sf_dir).select("event_id", split.alias("split"), dataset.image_name(split, "event_id").alias("image"))
@@ -390,7 +423,7 @@ def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, quad_overlap, learned_sizes, match_learned_priors, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, asof_events, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -433,6 +466,27 @@ def _greedy(source: str, image: str, key: str) -> str:
       FROM r JOIN c ON c.{image} = r.{image} AND c.rn = r.rn + 1)"""
 
 
+#: Clipping side by side: i runs over a polygon's points, (ax, ay) to (bx, by) is the side.
+_SIDE_OF = "(bx - ax) * ({p}[2] - ay) - (by_ - ay) * ({p}[1] - ax)"
+_AREA = "coalesce(abs(list_sum(list_transform(range(len(p)), lambda i: (p[i + 1][1] - p[1][1]) * (p[(i + 1) % len(p) + 1][2] - p[1][2]) - (p[i + 1][2] - p[1][2]) * (p[(i + 1) % len(p) + 1][1] - p[1][1])))) / 2, 0)"
+
+
+def _clipped() -> str:
+    """CTEs k0 to k4: p is cut by the four sides of o in turn."""
+    this, after = "p[i + 1]", "p[(i + 1) % len(p) + 1]"
+    s, e = _SIDE_OF.format(p=this), _SIDE_OF.format(p=after)
+    passing = f"[{this}[1] + ({after}[1] - {this}[1]) * (({s}) / (({s}) - ({e}))), {this}[2] + ({after}[2] - {this}[2]) * (({s}) / (({s}) - ({e})))]"
+    step = f"CASE WHEN {s} >= 0 AND {e} >= 0 THEN [{after}] WHEN {s} >= 0 THEN [{passing}] WHEN {e} >= 0 THEN [{passing}, {after}] ELSE [] END"
+    points = "[[{x}[1], {y}[1]], [{x}[2], {y}[2]], [{x}[3], {y}[3]], [{x}[4], {y}[4]]]::DOUBLE[][]"
+    moved = "list_transform({v}, lambda c: c - {v}[1] + {o}[1] + {d})"
+    out = [f"""k0 AS (SELECT event_id, {points.format(x="xs", y="ys")} AS p, {points.format(x="us", y="vs")} AS o
+      FROM (SELECT a.event_id, a.xs, a.ys, {moved.format(v="b.xs", o="a.xs", d=5)} AS us, {moved.format(v="b.ys", o="a.ys", d=3)} AS vs FROM q a JOIN q b ON b.event_id = a.event_id + 1))"""]
+    for k in range(4):
+        out.append(f"""k{k + 1} AS (SELECT event_id, flatten(list_transform(range(len(p)), lambda i: {step}))::DOUBLE[][] AS p, o
+      FROM (SELECT *, o[{k + 1}][1] AS ax, o[{k + 1}][2] AS ay, o[{(k + 1) % 4 + 1}][1] AS bx, o[{(k + 1) % 4 + 1}][2] AS by_ FROM k{k}))""")
+    return ", ".join(out)
+
+
 #: Assignment as a recursion over the pairs of an image, which carries the predictions and truths that are given.
 _CURVE = f"""{_QUADS},
     a AS (SELECT event_id, event_id // 40 AS image, list_min(xs) AS x0, list_min(ys) AS y0, list_max(xs) AS x1, list_max(ys) AS y1 FROM q),
@@ -470,6 +524,9 @@ ORACLE_SQL = {
       {_greedy("src", "user_id", "event_id")} SELECT user_id, event_id FROM r WHERE keep""",
     "iou_neighbours": f"""WITH {_QUADS}, a AS (SELECT event_id, list_min(xs) AS x0, list_min(ys) AS y0, list_max(xs) AS x1, list_max(ys) AS y1 FROM q)
       SELECT a.event_id, CAST({_overlap("a", "b")} AS DOUBLE) / ({_area("a")} + {_area("b")} - {_overlap("a", "b")}) AS iou FROM a JOIN a b ON b.event_id = a.event_id + 1""",
+    "quad_overlap": f"""WITH {_QUADS}, {_clipped()}, z AS (SELECT k4.event_id, {_AREA} AS i FROM k4),
+      w AS (SELECT event_id, {_AREA} AS a FROM k0), v AS (SELECT event_id, {_AREA} AS b FROM (SELECT event_id, o AS p FROM k0))
+      SELECT event_id, round(i, 6) AS shared, round(i / (a + b - i), 6) AS iou FROM z JOIN w USING (event_id) JOIN v USING (event_id)""",
     "head_reshape": f"""SELECT vec_id, e[1:2] AS p0, e[3:4] AS p1, e[5:6] AS p2, e[7:8] AS p3, least(e[1], e[3], e[5], e[7]) AS x0, least(e[2], e[4], e[6], e[8]) AS y0,
       greatest(e[1], e[3], e[5], e[7]) AS x1, greatest(e[2], e[4], e[6], e[8]) AS y1 FROM (SELECT vec_id, {_CAST8} AS e FROM embeddings)""",
     "head_score": "SELECT vec_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS margin, round(1 / (1 + exp(-(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)))), 9) AS score FROM embeddings",
@@ -484,6 +541,8 @@ ORACLE_SQL = {
     "header_rewrite": f"""WITH {_MANIFESTS}, h AS (SELECT name, CAST(string_split(name, '.')[2] AS INT) AS lv, CAST(string_split(name, '.')[3] AS INT) AS ly FROM m WHERE starts_with(name, 'regression_headers')),
       l AS (SELECT name FROM h QUALIFY ly = max(ly) OVER (PARTITION BY lv))
       SELECT m.name, CASE WHEN l.name IS NULL THEN shape ELSE [shape[1] * 2, shape[2]] END AS shape, l.name IS NOT NULL AS reinitialise FROM m LEFT JOIN l ON m.name = l.name""",
+    "asof_events": """WITH m AS (SELECT user_id, ts, event_id AS mark_id, value AS mark FROM events WHERE event_id % 3 = 0 AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+      SELECT e.event_id, e.user_id, e.ts, e.value, mark_id, mark FROM events e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.ts >= m.ts""",
     "split_names": f"SELECT event_id, {_SPLIT.format('event_id')} AS split, 'images/' || {_SPLIT.format('event_id')} || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image FROM events",
     "split_numbers": f"""SELECT event_id, split, index, 'images/' || split || '_' || lpad(CAST(index AS VARCHAR), 7, '0') || '.jpg' AS image
       FROM (SELECT event_id, split, row_number() OVER (PARTITION BY split ORDER BY ts, event_id) - 1 AS index FROM (SELECT event_id, ts, {_SPLIT.format('event_id')} AS split FROM events))""",
