@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions import polygons
+from ..functions import homography, polygons
 from ..operators import asof, dataset, evaluation as detection, head, manifest, matching, nms, pixels, prior_sizes, priors, synthetic
 from ..schema import HEIGHT, REJECT, WIDTH
 from ..sources import checkpoints, dataset_source, images
@@ -107,6 +107,18 @@ def quad_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("event_id", F.round(polygons.intersection_area("corners", "other"), 6).alias("shared"), F.round(polygons.polygon_iou("corners", "other"), 6).alias("iou"))
 
 
+def code_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centre of each code, its corners' map, and the error of moved corners in the code's own frame."""
+    e = F.col("event_id")
+    tilted = lambda c, i: F.when(i == 2, F.array(c[0] + e % 3 + 1, c[1] + e % 2)).otherwise(F.array(c[0].cast("bigint"), c[1].cast("bigint")))
+    rows = quads(spark, sf_dir).withColumn("corners", F.transform("corners", tilted))
+    mapped = rows.withColumn("m", homography.homography("corners"))
+    moved = F.transform("corners", lambda c: F.array(c[0] + 1, c[1] + 2))
+    middle = homography.project("m", F.array(F.array(F.lit(0.5), F.lit(0.5))))[0]
+    rounded = lambda c: F.transform(c, lambda v: F.round(v, 6))
+    return mapped.select("event_id", rounded(F.slice("m", 7, 2)).alias("tilt"), rounded(middle).alias("middle"), F.round(homography.frame_error("corners", moved), 6).alias("error"))
+
+
 def learned_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many sizes as the grid has anchors, learned from all boxes."""
     boxes = quads(spark, sf_dir).select(g.bbox("corners").alias("box"))
@@ -423,7 +435,7 @@ def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, quad_overlap, learned_sizes, match_learned_priors, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, asof_events, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, quad_overlap, code_frames, learned_sizes, match_learned_priors, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, asof_events, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -527,6 +539,14 @@ ORACLE_SQL = {
     "quad_overlap": f"""WITH {_QUADS}, {_clipped()}, z AS (SELECT k4.event_id, {_AREA} AS i FROM k4),
       w AS (SELECT event_id, {_AREA} AS a FROM k0), v AS (SELECT event_id, {_AREA} AS b FROM (SELECT event_id, o AS p FROM k0))
       SELECT event_id, round(i, 6) AS shared, round(i / (a + b - i), 6) AS iou FROM z JOIN w USING (event_id) JOIN v USING (event_id)""",
+    "code_frames": f"""WITH {_QUADS}, t AS (SELECT event_id, xs[1]::DOUBLE AS x0, xs[2]::DOUBLE AS x1, (xs[3] + event_id % 3 + 1)::DOUBLE AS x2, xs[4]::DOUBLE AS x3, ys[1]::DOUBLE AS y0, ys[2]::DOUBLE AS y1, (ys[3] + event_id % 2)::DOUBLE AS y2, ys[4]::DOUBLE AS y3 FROM q),
+      d AS (SELECT *, x1 - x2 AS ax, y1 - y2 AS ay, x3 - x2 AS bx, y3 - y2 AS by_, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy FROM t),
+      g AS (SELECT *, (sx * by_ - bx * sy) / (ax * by_ - bx * ay) AS g, (ax * sy - sx * ay) / (ax * by_ - bx * ay) AS h FROM d),
+      m AS (SELECT *, x1 - x0 + g * x1 AS a, x3 - x0 + h * x3 AS b, y1 - y0 + g * y1 AS dd, y3 - y0 + h * y3 AS e FROM g),
+      p AS (SELECT *, unnest([[0, 0, x0 + 1, y0 + 2], [1, 0, x1 + 1, y1 + 2], [1, 1, x2 + 1, y2 + 2], [0, 1, x3 + 1, y3 + 2]]) AS c FROM m),
+      w AS (SELECT event_id, c, ((e - y0 * h) * c[3] + (x0 * h - b) * c[4] + (b * y0 - x0 * e)) AS u, ((y0 * g - dd) * c[3] + (a - x0 * g) * c[4] + (x0 * dd - a * y0)) AS v, ((dd * h - e * g) * c[3] + (b * g - a * h) * c[4] + (a * e - b * dd)) AS z FROM p),
+      r AS (SELECT event_id, avg(sqrt((c[1] - u / z) ** 2 + (c[2] - v / z) ** 2)) AS error FROM w GROUP BY event_id)
+      SELECT event_id, [round(g, 6), round(h, 6)] AS tilt, [round((a / 2 + b / 2 + x0) / (g / 2 + h / 2 + 1), 6), round((dd / 2 + e / 2 + y0) / (g / 2 + h / 2 + 1), 6)] AS middle, round(error, 6) AS error FROM m JOIN r USING (event_id)""",
     "head_reshape": f"""SELECT vec_id, e[1:2] AS p0, e[3:4] AS p1, e[5:6] AS p2, e[7:8] AS p3, least(e[1], e[3], e[5], e[7]) AS x0, least(e[2], e[4], e[6], e[8]) AS y0,
       greatest(e[1], e[3], e[5], e[7]) AS x1, greatest(e[2], e[4], e[6], e[8]) AS y1 FROM (SELECT vec_id, {_CAST8} AS e FROM embeddings)""",
     "head_score": "SELECT vec_id, CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS margin, round(1 / (1 + exp(-(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)))), 9) AS score FROM embeddings",
