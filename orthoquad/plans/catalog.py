@@ -187,7 +187,7 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """To each event the value of its user's last event with an id divisible by 3, of the same time or before."""
     rows = events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
     marks = rows.where(F.col("event_id") % 3 == 0).select("user_id", "ts", F.col("event_id").alias("mark_id"), F.col("value").alias("mark"))
-    return asof.asof_join(rows, marks, ["user_id"], "ts", ["mark_id", "mark"], ["mark_id"])
+    return asof.asof_join(rows, marks, ["user_id"], "ts", ["mark_id", "mark"], ["mark_id"]).drop("ts")
 
 
 def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,7 +562,7 @@ ORACLE_SQL = {
       l AS (SELECT name FROM h QUALIFY ly = max(ly) OVER (PARTITION BY lv))
       SELECT m.name, CASE WHEN l.name IS NULL THEN shape ELSE [shape[1] * 2, shape[2]] END AS shape, l.name IS NOT NULL AS reinitialise FROM m LEFT JOIN l ON m.name = l.name""",
     "asof_events": """WITH m AS (SELECT user_id, ts, event_id AS mark_id, value AS mark FROM events WHERE event_id % 3 = 0 AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
-      SELECT e.event_id, e.user_id, e.ts, e.value, mark_id, mark FROM events e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.ts >= m.ts""",
+      SELECT e.event_id, e.user_id, e.value, mark_id, mark FROM events e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.ts >= m.ts""",
     "split_names": f"SELECT event_id, {_SPLIT.format('event_id')} AS split, 'images/' || {_SPLIT.format('event_id')} || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image FROM events",
     "split_numbers": f"""SELECT event_id, split, index, 'images/' || split || '_' || lpad(CAST(index AS VARCHAR), 7, '0') || '.jpg' AS image
       FROM (SELECT event_id, split, row_number() OVER (PARTITION BY split ORDER BY ts, event_id) - 1 AS index FROM (SELECT event_id, ts, {_SPLIT.format('event_id')} AS split FROM events))""",
