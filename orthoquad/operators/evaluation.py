@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.shared import keep_to_end, shared_path
-from .nms import SIDES, usable
+from .nms import usable
 from .numbering import ROW_BITS
 
 
