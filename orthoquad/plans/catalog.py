@@ -23,6 +23,7 @@ from ..sources import checkpoints, dataset_source, images
 from ..sources.annotations import scan_annotations, scan_polygons
 from ..sources.shared import keep_to_end, shared_path
 from ..sources.sinks import write_annotations, write_images
+from . import table_functions
 
 #: Sides of the priors by level and anchor: a choice of these queries.
 SIDES = {(0, 0): 16, (0, 1): 24, (0, 2): 32, (1, 0): 48, (1, 1): 64, (2, 0): 96, (2, 1): 128, (3, 0): 160, (3, 1): 192, (3, 2): 224}
@@ -92,6 +93,13 @@ def nms_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nms.nms(rows, "user_id", "event_id", "score", THRESHOLD)
 
 
+def nms_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, from SQL."""
+    table_functions.register(spark)
+    rows = quads(spark, sf_dir).select(F.col("user_id").alias("image"), F.col("event_id").alias("id"), (F.col("event_id") * 7919 % 1000).alias("score"), g.bbox("corners").alias("b"))
+    return spark.sql("SELECT image AS user_id, id AS event_id FROM suppress(TABLE(SELECT image, id, score, b.* FROM {rows}), 3, 10)", rows=rows)
+
+
 def iou_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quads(spark, sf_dir).select("event_id", g.bbox("corners").alias("box"))
     after = rows.select((F.col("event_id") - 1).alias("event_id"), F.col("box").alias("other"))
@@ -435,7 +443,7 @@ def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, iou_neighbours, quad_overlap, code_frames, learned_sizes, match_learned_priors, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, asof_events, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, nms_sql, iou_neighbours, quad_overlap, code_frames, learned_sizes, match_learned_priors, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, asof_events, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -595,3 +603,4 @@ ORACLE_SQL = {
     "checkpoint_files": "SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'regression_headers.' ELSE 'base_net.' END || CAST(n_nationkey AS VARCHAR) || '.weight' AS name, [n_regionkey + 1, n_nationkey + 1, 3]::BIGINT[] AS shape FROM nation",
     "synthetic_set": f"WITH {_FRAMES} SELECT 'images/' || name AS image, split, 240 AS width, 320 AS height, true AS ok, true AS marks, [q3, q0, q1, q2] AS ends FROM f",
 }
+ORACLE_SQL["nms_sql"] = ORACLE_SQL["nms_greedy"]
