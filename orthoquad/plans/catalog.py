@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import homography, polygons
-from ..operators import asof, dataset, evaluation as detection, head, manifest, matching, nms, pixels, prior_sizes, priors, synthetic
+from ..operators import asof, dataset, evaluation as detection, head, manifest, matching, nms, pixels, prior_sizes, priors, rollup, synthetic
 from ..schema import HEIGHT, REJECT, WIDTH
 from ..sources import checkpoints, dataset_source, images
 from ..sources.annotations import scan_annotations, scan_polygons
@@ -198,6 +198,13 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.asof_join(rows, marks, ["user_id"], "ts", ["mark_id", "mark"], ["mark_id"]).drop("ts")
 
 
+def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type and week day, by type, and in all: what is exact, and that no value is lost as sketches merge."""
+    rows = events(spark, sf_dir).select("event_type", (F.dayofweek("ts") - 1).alias("day"), "value", "user_id")
+    found = rollup.estimates(rollup.rolled(rollup.partials(rows, ["event_type", "day"], "value", "user_id"), ["event_type", "day"]))
+    return found.select("event_type", "day", "level", "n", "low", "high", "n_values", F.col("quantiles")[0].between(F.col("low"), F.col("high")).alias("median_inside"))
+
+
 def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = dataset.assign_split("event_id")
     return events(spark, sf_dir).select("event_id", split.alias("split"), dataset.image_name(split, "event_id").alias("image"))
@@ -443,7 +450,7 @@ def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("image", "split", "width", "height", g.corners_ok("corners").alias("ok"), "marks", "ends")
 
 
-QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, nms_sql, iou_neighbours, quad_overlap, code_frames, learned_sizes, match_learned_priors, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, asof_events, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
+QUERIES = {f.__name__: f for f in (rotate_corners_bbox, unrotate_corners, corner_geometry, resize_corners, augment_turns, prior_grid, match_best_prior, nms_greedy, nms_sql, iou_neighbours, quad_overlap, code_frames, learned_sizes, match_learned_priors, head_reshape, head_score, head_anchors, decode_priors, detect, manifest_diff, header_rewrite, asof_events, event_rollup, split_names, split_numbers, polygons_to_annotations, evaluation, detection_curve, average_precision, jsonl_roundtrip, pixel_rotate, dataset_roundtrip, image_files, folder_files, turned_frames, drawn_boxes, forward_outputs, inference_flow, resized_frames, channel_tensors, polygon_files, checkpoint_files, synthetic_set)}
 
 # ---- the same in SQL ------------------------------------------------------------
 _QUADS = """q AS (SELECT event_id, user_id, bx, by_, sz, sk,
@@ -571,6 +578,8 @@ ORACLE_SQL = {
       SELECT m.name, CASE WHEN l.name IS NULL THEN shape ELSE [shape[1] * 2, shape[2]] END AS shape, l.name IS NOT NULL AS reinitialise FROM m LEFT JOIN l ON m.name = l.name""",
     "asof_events": """WITH m AS (SELECT user_id, ts, event_id AS mark_id, value AS mark FROM events WHERE event_id % 3 = 0 AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
       SELECT e.event_id, e.user_id, e.value, mark_id, mark FROM events e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.ts >= m.ts""",
+    "event_rollup": """SELECT event_type, day, CAST(grouping(event_type, day) AS INT) AS level, count(*) AS n, min(value) AS low, max(value) AS high, count(value) AS n_values, true AS median_inside
+      FROM (SELECT event_type, CAST(dayofweek(ts) AS INT) AS day, value FROM events) GROUP BY ROLLUP (event_type, day)""",
     "split_names": f"SELECT event_id, {_SPLIT.format('event_id')} AS split, 'images/' || {_SPLIT.format('event_id')} || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '.jpg' AS image FROM events",
     "split_numbers": f"""SELECT event_id, split, index, 'images/' || split || '_' || lpad(CAST(index AS VARCHAR), 7, '0') || '.jpg' AS image
       FROM (SELECT event_id, split, row_number() OVER (PARTITION BY split ORDER BY ts, event_id) - 1 AS index FROM (SELECT event_id, ts, {_SPLIT.format('event_id')} AS split FROM events))""",
