@@ -179,8 +179,11 @@ def approximate(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
 
 
 def _cogroup(asked: DataFrame, offered: DataFrame, keys: list[str], names: list[str], work, schema: str) -> DataFrame:
-    """``work`` of each piece's anchors and rows; either side's columns anew, as both come from one table."""
-    side = lambda rows, sign, own: rows.select(*((F.col(c) + 0).alias(f"{sign}{c}") for c in keys), *own).groupBy(*(f"{sign}{c}" for c in keys))
+    """``work`` of each piece's anchors and rows; either side's columns anew, as both come from one table.
+
+    Keys are longs on either side: equal numbers of unlike types are dealt to unlike tasks.
+    """
+    side = lambda rows, sign, own: rows.select(*((F.col(c).cast("long") + 0).alias(f"{sign}{c}") for c in keys), *own).groupBy(*(f"{sign}{c}" for c in keys))
     return side(asked, "q", names).cogroup(side(offered, "p", ["_id", "_label", "_v", "_code"])).applyInArrow(work, schema)
 
 

@@ -45,6 +45,16 @@ def test_against_all_pairs(spark, monkeypatch, width, spread, blocks):
     assert mined(spark, rows, 20) == want and len(want) > 50
 
 
+def test_pieces_meet_where_tasks_are_not_merged(spark, monkeypatch):
+    monkeypatch.setattr(hn, "BLOCK", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = vectors(300, 7, 0.4)
+        assert mined(spark, rows, 20) == plain(rows, 20)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_odd_rows(spark):
     rows = vectors(60, 4, 0.3, 1)
     rows += [(None, "a", [1.0] * 4), (80, None, [1.0] * 4), (100, "a", None), (120, "a", [1.0, None, 0.0, 0.0]), (140, "b", [math.nan] * 4), (160, "b", [math.inf, 0.0, 0.0, 0.0])]
