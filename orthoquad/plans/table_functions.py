@@ -20,16 +20,18 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
-from ..operators.nms import EXACT, SIDES, Kept
+from ..operators.nms import CHUNK, EXACT, SIDES, Kept
 
 COLUMNS = ("image", "id", "score", *SIDES)
 
 
 class Suppress:
-    """Holds an image's kept boxes; an instance serves one image."""
+    """Holds an image's kept boxes, and up to ``CHUNK`` rows that are compared at once; an instance serves one image."""
 
     def __init__(self):
         self.kept: Kept | None = None
+        self.waiting: list[tuple] = []
+        self.threshold: Fraction | None = None
 
     @staticmethod
     def analyze(boxes: AnalyzeArgument, n: AnalyzeArgument, d: AnalyzeArgument) -> AnalyzeResult:
@@ -48,13 +50,25 @@ class Suppress:
         known = [row["image"], row["id"], row["score"], *sides]
         if None in known or not all(abs(float(v)) < float("inf") for v in known[2:]) or sides[0] > sides[2] or sides[1] > sides[3]:
             return
-        whole = all(isinstance(v, int) for v in sides)
         if self.kept is None:
-            self.kept = Kept(np.dtype(np.int64 if whole else np.float64))
-        if whole and max(map(abs, sides)) > EXACT and self.kept.boxes.dtype != np.float64:
+            self.threshold = Fraction(n, d)
+            self.kept = Kept(np.dtype(np.int64 if all(isinstance(v, int) for v in sides) else np.float64))
+        if self.kept.boxes.dtype != np.float64 and max(map(abs, sides)) > EXACT:
+            yield from self.taken()  # what came before is compared exactly
             self.kept.boxes = self.kept.boxes.astype(np.float64)
-        if self.kept.offer(np.array([sides], self.kept.boxes.dtype), Fraction(n, d))[0]:
-            yield row["image"], row["id"]
+        self.waiting.append((row["image"], row["id"], sides))
+        if len(self.waiting) == CHUNK:
+            yield from self.taken()
+
+    def taken(self) -> Iterator[tuple]:
+        """Those of the waiting rows that are kept."""
+        if self.waiting:
+            stays = self.kept.offer(np.array([s for _, _, s in self.waiting], self.kept.boxes.dtype), self.threshold)
+            yield from (w[:2] for w, k in zip(self.waiting, stays, strict=True) if k)
+            self.waiting = []
+
+    def terminate(self) -> Iterator[tuple]:
+        yield from self.taken()
 
 
 def register(spark: SparkSession) -> None:
