@@ -40,12 +40,15 @@ def draw(seed: int, width: int = WIDTH, height: int = HEIGHT, background: np.nda
     right = np.array([np.cos(angle), np.sin(angle)])
     down = np.array([-right[1], right[0]])
     origin = np.array([cx, cy]) - side / 2 * (right + down)
-    y, x = np.mgrid[0:height, 0:width]
+    # only the window around the square is looked at
+    left, top = max(0, int(cx - radius) - 1), max(0, int(cy - radius) - 1)
+    window = image[top : int(cy + radius) + 2, left : int(cx + radius) + 2]
+    y, x = np.mgrid[top : top + window.shape[0], left : left + window.shape[1]]
     u = ((x - origin[0]) * right[0] + (y - origin[1]) * right[1]) / side
     v = ((x - origin[0]) * down[0] + (y - origin[1]) * down[1]) / side
     inside = (u >= 0) & (u < 1) & (v >= 0) & (v < 1)
     dark = pattern(rng)
-    image[inside] = np.where(dark[(v[inside] * MODULES).astype(int), (u[inside] * MODULES).astype(int)], 0, 255)[:, None]
+    window[inside] = np.where(dark[(v[inside] * MODULES).astype(int), (u[inside] * MODULES).astype(int)], 0, 255)[:, None]
     return image, [(origin + side * p).tolist() for p in (0 * right, right, right + down, down)]
 
 
@@ -62,7 +65,8 @@ def generate(spark: SparkSession, n: int, seed: int = 0, train: int = 90, val: i
     """``n`` rows of split, annotation fields and decoded pixels; the same for a seed however the work is dealt.
 
     ``backgrounds`` has decoded images of three channels, numbered by ``index``
-    from 0 to ``of`` - 1; row i is drawn over number i modulo ``of``, at its size.
+    from 0 to ``of`` - 1; row i is drawn over number i modulo ``of``, at its size,
+    where that background is read.
     """
     schema = "id BIGINT, height INT, width INT, channels INT, data BINARY, corners ARRAY<ARRAY<DOUBLE>>"
 
@@ -74,7 +78,9 @@ def generate(spark: SparkSession, n: int, seed: int = 0, train: int = 90, val: i
 
     ids = spark.range(n)
     if backgrounds is not None:
-        ids = ids.withColumn("index", F.pmod("id", F.lit(of))).join(backgrounds.select(F.col("index").cast("long"), "height", "width", "data"), "index").drop("index")
+        index = F.col("index").cast("long")
+        over = backgrounds.where((index >= 0) & (index < min(n, of)))
+        ids = over.select(F.explode(F.sequence(index, F.lit(n - 1).cast("long"), F.lit(of).cast("long"))).alias("id"), "height", "width", "data")
     rows = ids.mapInPandas(run, schema)
     named = rows.withColumn("split", assign_split("id", train, val)).withColumn("image", image_name("split", "id"))
     return with_constants(named).drop("id")
