@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +53,19 @@ def outputs(rows: DataFrame) -> DataFrame:
 
 
 def forward(images: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
-    """Run a model: ``load`` is called once a task and returns a function from rows of images to ``OUTPUT`` rows."""
+    """Run a model: ``load`` is called once a task and returns a function from rows of images to ``OUTPUT`` rows.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Arrays reach the model as views of the batch, not value by value.
+    """
+    numbers = pa.list_(pa.float32())
+    schema = pa.schema([("image", pa.string()), ("prior_id", pa.int32()), ("confidence", numbers), ("ordered_corners", numbers)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            yield model(batch)
+            yield pa.RecordBatch.from_pandas(model(batch.to_pandas())[schema.names], schema, preserve_index=False)
 
-    return images.mapInPandas(run, OUTPUT)
+    return images.mapInArrow(run, OUTPUT)
 
 
 def detect(rows: DataFrame, threshold: Fraction, min_margin: float | None = None, decoder: Callable[[Column], Column] | None = None) -> DataFrame:
