@@ -2,16 +2,18 @@
 
 A text's tokens are its words, longer ones in pieces of 16 characters (white
 space is ASCII's).  Each pair of neighbours is a k-mer, hashed to 64 bits; a
-text of one token is one k-mer.  The ``SAMPLE`` distinct k-mers of least hash
-stand for the text (all, if there are no more), each with all its occurrences.
-These are numbered, so that repeats differ, and hashed with their numbers.
-Each of ``ORDERS`` fixed points puts the numbered k-mers into an order of its
-own, that of their hashes' distances from it; all numbered k-mers of two texts
-are as likely to be the minimal one.  The two minimal ones, taken in the order
-in which they stand in the text, are hashed to one component of the fingerprint.  Two texts share a component about as often as they share two
+text of one token is one k-mer.  All k-mers of a text take part, each with all
+its occurrences.  These are numbered, so that repeats differ, and hashed with
+their numbers.  Each of ``ORDERS`` fixed points puts the numbered k-mers into an
+order of its own, that of their hashes' distances from it; all numbered k-mers
+of two texts are as likely to be the minimal one.  The two minimal ones, taken
+in the order in which they stand in the text, are hashed to one component of the
+fingerprint.  Two texts share a component about as often as they share two
 k-mers in the same order; the share of equal components is their likeness.
 
-Every token of a text is hashed, whatever its length.  Null and empty texts and
+Every token of a text is hashed, whatever its length.  An order looks for its
+two minimal k-mers among those within a distance that about ``NEAR`` have, and
+among all where fewer than two lie there, so that the result is that of all.  Null and empty texts and
 those of white space alone have an empty fingerprint, alike among themselves
 and unlike any other.  Equal rows are told apart by a row number; rows with a
 null id come after all others.  Other columns are ignored, whatever their
@@ -31,15 +33,21 @@ from .quality import let
 
 #: Characters of a token at most; fixed by the expression.
 TOKEN = r"[^\x20\x09-\x0D]{1,16}"
-#: Distinct k-mers that are put into orders, and the number of orders.
-SAMPLE = 32
+#: K-mers that are put into orders, as the end of a slice (all), and the number of orders.
+SAMPLE = None
 ORDERS = 32
+#: K-mers that an order compares, about; leading bits by which points share a first selection.
+NEAR = 8
+GROUP_BITS = 3
 #: Bits of a packed key that hold a place, and of a component.
 PLACE_BITS = 30
 COMPONENT_BITS = 16
 _draw = random.Random(13)
 #: An order of hashes is that of their distances (exclusive or) from one of these.
 POINTS = [(_draw.getrandbits(64 - PLACE_BITS) << PLACE_BITS) - (1 << 63) for _ in range(ORDERS)]
+#: Points by their leading bits, and where each order stands among them.
+GROUPS = {base: [p for p in POINTS if p >> (64 - GROUP_BITS) << (64 - GROUP_BITS) == base] for base in sorted({p >> (64 - GROUP_BITS) << (64 - GROUP_BITS) for p in POINTS})}
+PLACES = [[p for group in GROUPS.values() for p in group].index(p) for p in POINTS]
 
 
 def _masked(x: Column, mask: int) -> Column:
@@ -60,51 +68,59 @@ def kmers(tokens: Column) -> Column:
     return F.transform(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.least(n, F.lit(1)))), lambda t, i: F.xxhash64(t, F.get(tokens, i + 1)))
 
 
-def sampled(hashes: Column) -> Column:
-    """The hashes of the sample's k-mers with all their repeats, in the order of the text."""
+def numbered(hashes: Column) -> Column:
+    """A key for each hash, in any order: the hash of it and of how often it came before, over its place."""
 
-    def upto(some: Column) -> Column:
-        """Of hashes that hold the least ones, those of the sample."""
-        return let(F.get(F.sort_array(F.array_distinct(some)), F.lit(SAMPLE - 1)), lambda last: F.when(last.isNull(), some).otherwise(F.filter(some, lambda h: h <= last)))
+    def runs(places: Column, first: Column) -> Column:
+        """From places in the order of their hashes, and where a hash begins there: each run of a hash is counted through."""
+        return F.flatten(F.transform(first, lambda at, j: F.transform(F.slice(places, at + 1, F.coalesce(F.get(first, j + 1), F.size(places)) - at), lambda p, o: _keyed(F.xxhash64(hashes[p], o), p))))
 
-    n = F.size(hashes)
-    limit = (F.lit(-(2.0**63)) + F.lit(2.0 * SAMPLE * 2.0**64) / F.greatest(n, F.lit(4 * SAMPLE))).cast("long")
-    # about twice the wanted hashes; all where these are too few
-    few = let(limit, lambda most: F.filter(hashes, lambda h: h < most))
-    some = let(few, lambda low: F.when(F.size(F.array_distinct(low)) >= SAMPLE, low).otherwise(hashes))
-    return let(F.when(n > 4 * SAMPLE, some).otherwise(hashes), upto)
+    def begins(places: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(places) - 1), lambda i: F.coalesce(hashes[places[i]] != F.get(hashes, F.get(places, i - 1)), F.lit(True)))
 
+    packed = F.transform(F.sort_array(F.transform(hashes, lambda h, i: _keyed(h, i))), _place)
+    exact = F.transform(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda x: x["i"])
+    once = F.transform(hashes, lambda h, i: _keyed(F.xxhash64(h, F.lit(0)), i))
 
-def numbered(hashes: Column) -> Column:
-    """Each hash with how often it came before; in the order of the text."""
+    def repeated(kinds: Column) -> Column:
+        # packed keys hold a hash's high bits, so hashes that share these may stand mixed; then a hash begins twice
+        short = lambda places: let(begins(places), lambda first: F.when(F.size(first) == kinds, runs(places, first)).otherwise(let(exact, lambda x: let(begins(x), lambda f: runs(x, f)))))
+        return F.when(kinds == F.size(hashes), once).otherwise(let(packed, short))
 
-    def runs(s: Column) -> Column:
-        """From structs of hash and place in their order: each run of a hash is counted through."""
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(s[i]["h"] != F.get(s, i - 1)["h"], F.lit(True)))
-        run = lambda f: F.transform(f, lambda at, j: F.transform(F.slice(s, at + 1, F.coalesce(F.get(f, j + 1), F.size(s)) - at), lambda x, o: F.struct(x["i"].alias("i"), F.xxhash64(x["h"], o).alias("h"))))
-        return F.transform(F.sort_array(let(first, lambda f: F.flatten(run(f)))), lambda x: x["h"])
+    return let(F.size(F.array_distinct(hashes)), repeated)
 
-    once = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))
-    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), once).otherwise(let(placed, runs))
 
+def minima(keys: Column) -> Column:
+    """One component an order: the hash of its two nearest keys in the order of the text."""
+    n = F.size(keys)
+    grouped = n >= NEAR << GROUP_BITS
+    limit = (F.lit(-(2.0**63)) + F.lit(NEAR * 2.0**64) / F.greatest(n, F.lit(2 * NEAR))).cast("long")
 
-def components(text: Column) -> Column:
-    """The fingerprint of a text as ``ORDERS`` numbers of 16 bits; empty without a token."""
+    def component(point: Column, v: Column) -> Column:
+        """From the distances of the nearest keys, in their order."""
+        a, b = v[0], F.get(v, 1)
+        own = lambda x: F.shiftright(x.bitwiseXOR(point), PLACE_BITS)
+        forward = b.isNull() | (_place(a) < _place(b))
+        return _masked(F.when(forward, F.xxhash64(own(a), own(b))).otherwise(F.xxhash64(own(b), own(a))), (1 << COMPONENT_BITS) - 1).cast("int")
 
-    def of(keys: Column) -> Column:
-        def pair(a: Column, b: Column) -> Column:
-            """Of the nearest and the second nearest key, the hash in the order of the text."""
-            one, two = F.least(_place(a), _place(b)), F.when(b.isNotNull(), F.greatest(_place(a), _place(b)))
-            return _masked(F.xxhash64(F.shiftright(keys[one], PLACE_BITS), F.shiftright(F.get(keys, two), PLACE_BITS)), (1 << COMPONENT_BITS) - 1).cast("int")
+    def of(limit: Column) -> Column:
+        def nearest(part: Column, point: Column) -> Column:
+            near = F.filter(part, lambda x: x.bitwiseXOR(point) < limit)
+            some = let(near, lambda x: F.when(F.size(x) >= 2, x).otherwise(keys))
+            return let(F.sort_array(F.transform(some, lambda x: x.bitwiseXOR(point))), lambda v: component(point, v))
 
-        least = lambda v: let(F.array_min(v), lambda a: let(F.array_min(F.filter(v, lambda x: x > a)), lambda b: pair(a, b)))
-        ranked = lambda point: F.transform(keys, lambda x: x.bitwiseXOR(point))
-        return F.when(F.size(keys) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.array(*map(F.lit, POINTS)), lambda point: let(ranked(point), least)))
+        group = lambda base: F.when(grouped, F.filter(keys, lambda x: x.bitwiseXOR(base) < F.lit((1 << (64 - GROUP_BITS)) - (1 << 63)))).otherwise(keys)
+        groups = F.array(*(F.struct(F.lit(base).cast("long").alias("base"), F.array(*(F.lit(p).cast("long") for p in points)).alias("points")) for base, points in GROUPS.items()))
+        found = F.flatten(F.transform(groups, lambda g: let(group(g["base"]), lambda part: F.transform(g["points"], lambda p: nearest(part, p)))))
+        return let(found, lambda x: F.transform(F.array(*map(F.lit, PLACES)), lambda at: x[at]))
 
-    hashes = let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), kmers)
-    own = let(let(hashes, sampled), lambda h: F.when(F.size(h) == 0, h).otherwise(numbered(h)))
-    return let(F.transform(own, lambda h, i: _keyed(h, i)), of)
+    return let(limit, of)
+
+
+def components(text: Column) -> Column:
+    """The fingerprint of a text as ``ORDERS`` numbers of 16 bits; empty without a token."""
+    some = lambda h: F.when(F.size(h) == 0, F.array().cast("array<int>")).otherwise(let(numbered(h), minima))
+    return let(let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), kmers), some)
 
 
 def shown(parts: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from orthoquad.llm import order_minhash as om
 
@@ -124,3 +125,27 @@ def test_query_of_the_entry(spark):
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == hexed(plain(text)) and r["edited_fingerprint"] == hexed(plain(edited))
     assert len(got) == len(texts)
+
+
+def test_every_kmer_takes_part(spark):
+    """Each order's two minimal k-mers are those of all k-mers, not of the 32 of least hash."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"{rnd.choice('abc')}{rnd.randint(0, 10 * n)}" for _ in range(n)) for n in (20, 33, 64, 65, 300, 3000)]
+
+    def whole_plain(text):
+        tokens = text.split(" ")
+        seen, keys = {}, []
+        for g in (chained(a, b) for a, b in zip(tokens, tokens[1:])):
+            seen[g] = seen.get(g, -1) + 1
+            keys.append(((chained(long(g), whole(seen[g])) >> om.PLACE_BITS), len(keys)))
+        near = [sorted(sorted(keys, key=lambda k: (k[0] ^ (p >> om.PLACE_BITS), k[1]))[:2], key=lambda k: k[1]) for p in om.POINTS]
+        return hexed(chained(*(long(h) for h, _ in two)) % 65536 for two in near)
+
+    got = {r["doc_id"]: r["fingerprint"] for r in om.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: whole_plain(t) for i, t in enumerate(texts)}
+
+
+def test_hashes_that_share_their_high_bits_are_numbered_apart(spark):
+    hashes = [7 << 40, (7 << 40) + 1, 7 << 40, 5, (7 << 40) + 1]
+    got = spark.createDataFrame([(hashes,)], "h array<long>").select(om.numbered(F.col("h"))).first()[0]
+    assert sorted(got, key=lambda k: k & ((1 << om.PLACE_BITS) - 1)) == [chained(long(h), whole(o)) >> om.PLACE_BITS << om.PLACE_BITS | i for i, (h, o) in enumerate(zip(hashes, (0, 0, 1, 0, 1)))]
