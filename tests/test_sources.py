@@ -198,3 +198,19 @@ def test_stream(spark, root, tmp_path):
     assert run() == 2  # files are taken once
     (root / "train" / "more.jsonl").write_text(json.dumps(SAMPLE))
     assert run() == 3
+
+
+def test_small_files_are_read_many_a_task(spark, tmp_path):
+    """Spark counts a file as 4 MB or more, so it plans 32 small ones a task; all are read, by fewer tasks."""
+    one = jpeg.encode(np.full((8, 8, 3), 90, np.uint8))
+    (tmp_path / "train/images").mkdir(parents=True)
+    for i in range(1600):
+        (tmp_path / f"train/images/{i}.jpg").write_bytes(one)
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert spark.read.format("binaryFile").load(str(tmp_path / "train/images")).rdd.getNumPartitions() > most
+    good, bad = images.decode_images(spark, str(tmp_path / "train/images"))
+    for found in (images.scan_images(spark, str(tmp_path)), images.scan_folder(spark, str(tmp_path)), good):
+        assert found.rdd.getNumPartitions() <= most and found.count() == 1600
+    assert bad.count() == 0
+    # what is not used is not read
+    assert "content" not in images.scan_images(spark, str(tmp_path)).select("image")._jdf.queryExecution().executedPlan().toString().split("FileScan")[1].split("Batched")[0]
