@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import pixels
 from .nms import nms
 
 OUTPUT = "image STRING, prior_id INT, confidence ARRAY<FLOAT>, ordered_corners ARRAY<FLOAT>"
@@ -57,15 +59,21 @@ def forward(images: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Da
 
     Arrays reach the model as views of the batch, not value by value.
     """
-    numbers = pa.list_(pa.float32())
-    schema = pa.schema([("image", pa.string()), ("prior_id", pa.int32()), ("confidence", numbers), ("ordered_corners", numbers)])
+    return images.mapInArrow(lambda batches: _outputs(batches, load), OUTPUT)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
-        for batch in batches:
-            yield pa.RecordBatch.from_pandas(model(batch.to_pandas())[schema.names], schema, preserve_index=False)
+def forward_frames(images: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], change: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> DataFrame:
+    """``forward`` of ``pixels.channels_first`` of changed frames, in one pass: neither frames nor tensors come back from it."""
+    frames = images.select("image", "height", "width", "channels", "data")
+    return frames.mapInArrow(lambda batches: _outputs(pixels.tensors(batches, change), load), OUTPUT)
 
-    return images.mapInArrow(run, OUTPUT)
+
+def _outputs(batches: Iterator[pa.RecordBatch], load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> Iterator[pa.RecordBatch]:
+    numbers = pa.list_(pa.float32())
+    schema = pa.schema([("image", pa.string()), ("prior_id", pa.int32()), ("confidence", numbers), ("ordered_corners", numbers)])
+    model = load()
+    for batch in batches:
+        yield pa.RecordBatch.from_pandas(model(batch.to_pandas())[schema.names], schema, preserve_index=False)
 
 
 def detect(rows: DataFrame, threshold: Fraction, min_margin: float | None = None, decoder: Callable[[Column], Column] | None = None) -> DataFrame:

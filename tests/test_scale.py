@@ -53,3 +53,18 @@ def test_suppression_compares_rows_in_chunks(monkeypatch):
         taken += one.eval(r._asdict(), 3, 10)
     taken += one.terminate()
     assert taken == [(1, i) for i in range(700)] and sizes == [CHUNK] * 3 + [800 - 3 * CHUNK]
+
+
+def test_frames_reach_the_model_in_one_pass(spark):
+    """As by one step after another, without frames or tensors between them."""
+    rows = spark.createDataFrame([(str(i), 3 + i % 3, 4, 3, bytearray((i * 7 + k) % 256 for k in range((3 + i % 3) * 12))) for i in range(70)], "image string, height int, width int, channels int, data binary").repartition(2)
+
+    def load():
+        return lambda b: pd.DataFrame({"image": b["image"], "prior_id": [len(t) for t in b["tensor"]], "confidence": [[t[0], t[-1]] for t in b["tensor"]], "ordered_corners": [t[100:108] for t in b["tensor"]]})
+
+    one = head.forward_frames(rows, load, lambda a: pixels.resize(pixels.upright(a)))
+    steps = head.forward(pixels.channels_first(pixels.fit(pixels.rotate_landscape(rows))), load)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, steps.collect())) and one.count() == 70
+    assert one.first()["prior_id"] == 3 * 240 * 320
+    plan = catalog.forward_outputs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
